@@ -30,9 +30,7 @@ def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
 
     The broadcast side is the bitmap, of fixed size; false positives cost time only, an exact join follows.
     """
-    at = F.expr(f"CAST((_bit % {_ROW_BITS}) div 8 + 1 AS INT)")
     hit = F.expr(f"shiftright(CAST(conv(hex(substring(_bits, CAST((_bit % {_ROW_BITS}) div 8 + 1 AS INT), 1)), 16, 10) AS INT), CAST(_bit % 8 AS INT)) & 1 = 1")
-    del at
     return (
         df.withColumn("_bit", _bit(key))
         .withColumn("_slot", F.expr(f"_bit div {_ROW_BITS}"))

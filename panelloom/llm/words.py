@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; one longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,29 +44,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64."""
-    p = 0xD6E8FEB86659FD93
-    inverse = pow(p, -1, 1 << 64)
-
-    def run(base: int) -> np.ndarray:
-        out = np.empty(size, dtype=np.uint64)
-        out[0] = 1
-        done, step = 1, base
-        while done < size:
-            n = min(done, size - done)
-            out[done : done + n] = out[:n] * np.uint64(step)
-            done, step = done + n, step * step % (1 << 64)
-        return out
-
-    return run(p), run(inverse)
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, int(n).bit_length())
-    a, b = _powers(size)
-    return a[:n], b[:n]
+    """p**i and p**-i modulo 2**64 for i < n."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        p = 0xD6E8FEB86659FD93
+        size = 1 << max(16, (n - 1).bit_length())
+        made = []
+        for base in (p, pow(p, -1, 1 << 64)):
+            out = np.ones(size, dtype=np.uint64)
+            done, step = 1, base
+            while done < size:
+                more = min(done, size - done)
+                out[done : done + more] = out[:more] * np.uint64(step)
+                done, step = done + more, step * step % (1 << 64)
+            made.append(out)
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
