@@ -5,14 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.substring_dedup import substring_dedup
+import public_tokenizers
 
+from panelloom.llm.bpe import bpe_decode, bpe_encode
+from panelloom.llm.decontaminate import contamination
+from panelloom.llm.media import read_media, store_media
+from panelloom.llm.substring_dedup import substring_dedup
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = read_media(store_media(docs).drop("text"))
+    pairs = F.concat_ws(",", F.col("fingerprint").cast("array<string>"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "n_frames", F.size("fingerprint"), F.sha1(pairs)).alias("feature"),
+        "fingerprint",
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) -> DataFrame:
+    vocab = vocab or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = bpe_decode(bpe_encode(docs, vocab, public_tokenizers.PATTERN).drop("text"), vocab)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op4_media_columns": op4_media_columns,
+    "op6_decontamination": op6_decontamination,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 ORACLE = {}
