@@ -9,6 +9,7 @@ import public_tokenizers
 
 from panelloom.llm.bpe import bpe_decode, bpe_encode
 from panelloom.llm.decontaminate import contamination
+from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.media import read_media, store_media
 from panelloom.llm.substring_dedup import substring_dedup
 
@@ -34,6 +35,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=5, percent=80)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
     ids = F.array_sort(F.col("items").cast("array<string>"))
@@ -57,6 +62,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) ->
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
 }
