@@ -10,6 +10,7 @@ import public_tokenizers
 from panelloom.llm.bpe import bpe_decode, bpe_encode
 from panelloom.llm.decontaminate import contamination
 from panelloom.llm.jaccard_join import jaccard_components
+from panelloom.llm.language_id import fold, identify, train
 from panelloom.llm.media import read_media, store_media
 from panelloom.llm.substring_dedup import substring_dedup
 
@@ -47,6 +48,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = train(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) -> DataFrame:
     vocab = vocab or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -64,6 +72,7 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
