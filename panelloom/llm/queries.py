@@ -13,12 +13,21 @@ from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.language_id import fold, identify, train
 from panelloom.llm.media import read_media, store_media
 from panelloom.llm.substring_dedup import substring_dedup
+from panelloom.llm import toxicity
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
+    out = toxicity.tag(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = read_media(store_media(docs).drop("text"))
@@ -69,6 +78,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) ->
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_media_columns": op4_media_columns,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
