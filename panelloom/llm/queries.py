@@ -9,11 +9,13 @@ import public_tokenizers
 
 from panelloom.llm.bpe import bpe_decode, bpe_encode
 from panelloom.llm.decontaminate import contamination
+from panelloom.llm.html_text import extract_text
 from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.language_id import fold, identify, train
 from panelloom.llm.media import read_media, store_media
 from panelloom.llm.substring_dedup import substring_dedup
 from panelloom.llm import toxicity
+from panelloom.llm.warc import capture_index
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=50)
@@ -28,6 +30,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = read_media(store_media(docs).drop("text"))
@@ -57,6 +64,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = capture_index(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "run", "offset", "length")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = train(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
@@ -79,9 +91,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) ->
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_media_columns": op4_media_columns,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
