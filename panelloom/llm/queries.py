@@ -12,6 +12,7 @@ from panelloom.llm.decontaminate import contamination
 from panelloom.llm.html_text import extract_text
 from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.language_id import fold, identify, train
+from panelloom.llm import license_scan
 from panelloom.llm.media import read_media, store_media
 from panelloom.llm.substring_dedup import substring_dedup
 from panelloom.llm import toxicity
@@ -88,6 +89,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) ->
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +103,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE = {}
+ORACLE = {"op10_license_scan": license_scan.oracle()}
