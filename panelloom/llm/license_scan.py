@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +57,10 @@ def bands_needed(resemblance: float, miss: float) -> int:
     return 1 if resemblance >= 1 else math.ceil(math.log(miss) / math.log(1 - resemblance))
 
 
+def _size_class(h: list[int]) -> int:
+    return 1 << (len(h) - 1).bit_length()
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """One row for each document and license found: doc_id, license_id, n_template, n_shared (largest), first_window (first shingle of it)."""
     spark = docs.sparkSession
@@ -71,34 +74,34 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     listed = _with_shingles(spark.createDataFrame(templates, "license_id string, t string"), F.col("t"), shingle).select("license_id", F.array_distinct("_h").alias("h")).collect()
     if short := [r.license_id for r in listed if not r.h]:
         raise ValueError(f"templates of fewer than {shingle} words: {short}")
-    hashed = _with_shingles(base.filter("text IS NOT NULL"), F.col("text"), shingle).drop("text")
-    found = []
-    for c in sorted({1 << (len(r.h) - 1).bit_length() for r in listed}):
-        mine = [r for r in listed if 1 << (len(r.h) - 1).bit_length() == c]
+    rng = random.Random(shingle)
+    grids, tests, signs, banded = [], [], [], []
+    for c in sorted({_size_class(r.h) for r in listed}):
+        mine = [r for r in listed if _size_class(r.h) == c]
         width = 1 if c == 1 else 2 * c
-        bands = 1 if c == 1 else bands_needed(percent / 100 * min(len(r.h) for r in mine) / width, miss)
-        rng = random.Random(c)
-        seeds = [rng.getrandbits(63) for _ in range(bands)]
-        keys = [{min(x ^ s for x in r.h) for r in mine} for s in seeds]
+        seeds = [rng.getrandbits(63) for _ in range(bands_needed(percent / 100 * min(len(r.h) for r in mine) / width if c > 1 else 1, miss))]
         least = [f"array_min(transform(win, x -> x ^ {s}L))" for s in seeds]
-        windows = hashed.filter(F.size("_h") > 0).select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, size(_h) - 1, {c}), s -> slice(_h, s + 1, {width}))")).alias("at", "win"))
-        near = windows.filter(reduce(lambda a, b: a | b, (F.expr(m).isin(list(k)) for m, k in zip(least, keys))))
-        signed = near.select("doc_id", "at", "win", F.posexplode(F.array(*map(F.expr, least))).alias("band", "key"))
-        banded = spark.createDataFrame([(r.license_id, j, min(x ^ s for x in r.h), list(r.h)) for r in mine for j, s in enumerate(seeds)], "license_id string, band int, key bigint, h array<bigint>")
-        hits = signed.join(F.broadcast(banded), ["band", "key"])  # at most MAX_TEMPLATES * bands rows
-        shared = F.size(F.array_intersect("win", "h"))
-        found.append(
-            hits.withColumn("n_shared", shared).filter(F.col("n_shared") * 100 >= F.size("h") * percent).select("doc_id", "license_id", F.size("h").alias("n_template"), "n_shared", (F.col("at") * c).alias("first_window"))
-        )
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("doc_id", "license_id", "n_template").agg(F.max("n_shared").alias("n_shared"), F.min("first_window").alias("first_window"))
+        grids.append(f"transform(sequence(0, size(_h) - 1, {c}), s -> struct({c} AS c, s AS at, slice(_h, s + 1, {width}) AS win))")
+        tests.append(f"WHEN {c} THEN " + " OR ".join(f"{m} IN ({', '.join(f'{min(x ^ s for x in r.h)}L' for r in mine)})" for m, s in zip(least, seeds)).replace("-9223372036854775808L", "CAST(-9223372036854775808 AS BIGINT)"))
+        signs.append(f"WHEN {c} THEN array({', '.join(least)})")
+        banded += [(c, j, min(x ^ s for x in r.h), r.license_id, list(r.h)) for r in mine for j, s in enumerate(seeds)]
+    # outer explode: its empty rows are dropped below, while the inner form would add a filter that hashes every text once more
+    hashed = _with_shingles(base, F.col("text"), shingle).drop("text")
+    grid = F.expr(f"CASE WHEN size(_h) > 0 THEN concat({', '.join(grids)}) END")
+    windows = hashed.select("doc_id", F.explode_outer(grid).alias("g")).select("doc_id", "g.c", "g.at", "g.win")
+    near = windows.filter(F.expr(f"CASE c {' '.join(tests)} ELSE false END"))
+    signed = near.select("doc_id", "c", "at", "win", F.posexplode_outer(F.expr(f"CASE c {' '.join(signs)} END")).alias("band", "key"))
+    bands = spark.createDataFrame(banded, "c int, band int, key bigint, license_id string, h array<bigint>")
+    hits = signed.join(F.broadcast(bands), ["c", "band", "key"])  # at most MAX_TEMPLATES templates of some dozens of bands
+    matched = hits.withColumn("n_shared", F.size(F.array_intersect("win", "h"))).filter(F.col("n_shared") * 100 >= F.size("h") * percent)
+    return matched.groupBy("doc_id", "license_id", F.size("h").alias("n_template")).agg(F.max("n_shared").alias("n_shared"), F.min("at").alias("first_window"))
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, shingle: int = 5, percent: int = 80) -> str:
     """DuckDB SQL for license_scan: every window of the same grid against every template's shingles, without bands."""
     listed = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in templates)
-    cut = "list_filter(string_split_regex(lower({}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
-    gram = "list_transform(range(1, len(w) - {n} + 2), i -> array_to_string(w[i:i + {n} - 1], ' '))".format(n=shingle)
+    cut = "list_filter(string_split_regex(lower({}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    gram = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))".format(n=shingle)
     return f"""
 WITH t(license_id, txt) AS (VALUES {listed}),
 tw AS (SELECT license_id, {cut.format("txt")} AS w FROM t),
