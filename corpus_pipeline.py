@@ -27,7 +27,7 @@ from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.substring_dedup import substring_dedup
 
 #: Share of a document's letters that its language must reach.
-LEAST = 0.4
+LEAST = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -63,7 +63,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe_decode(bpe_encode(docs.select(*COLUMNS), vocab, public_tokenizers.PATTERN), vocab)
-    return coded.select("doc_id", F.decode("decoded", F.lit("UTF-8")).alias("text"), "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return coded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
