@@ -39,7 +39,7 @@ def visibility(series: DataFrame, kind: str = "natural", limit: int = 32, undire
         seen = "forall(slice(ahead, 1, j - 1), v -> v < x AND v < ahead[j - 1])"
         weight = "least(x, ahead[j - 1])"
     elif kind == "natural":
-        seen = "forall(sequence(1, j), m -> m = j OR ahead[m - 1] < ahead[j - 1] + (x - ahead[j - 1]) * (CAST(j - m AS DOUBLE) / j))"
+        seen = "forall(sequence(1, j), m -> m = j OR ahead[m - 1] < ahead[j - 1] + (x - ahead[j - 1]) * (j - m) / j)"
         weight = "abs((ahead[j - 1] - x) / j)"
     else:
         raise ValueError("kind must be 'natural' or 'horizontal'")

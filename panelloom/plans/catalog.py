@@ -342,7 +342,7 @@ def horizontal_visibility(spark, sf):
     return temporal.visibility(_series(spark, sf), "horizontal")
 
 
-@query("natural_visibility", "ser", _SEEN.format(w="abs((b.x - a.x) / (b.t - a.t))", blocked="k.x >= b.x + (a.x - b.x) * (CAST(b.t - k.t AS DOUBLE) / (b.t - a.t))"))
+@query("natural_visibility", "ser", _SEEN.format(w="abs((b.x - a.x) / (b.t - a.t))", blocked="k.x >= b.x + (a.x - b.x) * (b.t - k.t) / (b.t - a.t)"))
 def natural_visibility(spark, sf):
     return temporal.visibility(_series(spark, sf), "natural")
 
