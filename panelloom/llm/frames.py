@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.session import ship_package, shared_dir, stored  # noqa: F401  operators take them from here
+from panelloom.session import release, ship_package, shared_dir, stored  # noqa: F401  operators take them from here
 
 #: Bits of the semi-filter: 2**25 bits are 1,024 rows of 4 KB, 4 MB, whatever the input; that bounds the broadcast.
 FILTER_BITS = 1 << 25

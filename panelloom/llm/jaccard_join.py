@@ -10,7 +10,7 @@ whole sequence as one). Two documents link when 100 * intersection >= percent *
 3. A set's prefix has size - needed overlap + l shingles of that order. l starts at 1 and grows with the estimated number
    of candidates behind the prefix; two sets can only link if their prefixes share at least min(l, l') shingles.
 4. Buckets (prefix shingles of two sets or more) give candidates. Large groups are contracted first: each bucket compares
-   its members with one hub, exact verification joins them to components, twice with other hubs. Then every remaining pair
+   its members with one hub, exact verification joins them to components, some times with other hubs. Then every remaining pair
    of different components that shares enough prefix shingles is verified, so no link between components is lost.
    With every_link the contraction is skipped and every linked pair of classes comes out.
 5. Verification fetches the sets of candidates only and intersects them exactly.
@@ -27,19 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import key_bitmap, maybe_in, ship_package, stored
+from panelloom.llm.frames import key_bitmap, maybe_in, release, ship_package, stored
 from panelloom.llm.words import chunks, mix, ngrams, prefix_sums, range_hash, words
 
 #: Shingles that may be ordered by their count: bounds what the driver gathers and broadcasts to 12 MB.
 HEAVY_LIMIT = 1_000_000
 #: Summed count from which a shingle counts as common.
-HEAVY_FROM = 64
+HEAVY_FROM = 8
+#: Estimated candidates from which a prefix is made longer.
+COSTLY = 64
 #: Shingles of different sets that are counted together inside a task.
 COUNTED = 2_000_000
 MOST_EXTRA = 4
 
 _SCAN = "doc_id long, n int, f1 long, f2 long, token long, cnt long"
-_PREFIX = "token long, f1 long, n int, l int"
+_PREFIX = "token long, f1 long, n int, place int"
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +136,11 @@ def _prefixes(n: int, percent: int, shared):
             needed = -(-sizes * percent // 100)
             single = rank < (sizes - needed + 1)[row]
             cost = np.bincount(row, np.where(single & (level > 0), np.exp2(level.astype(float)), 0.0), piece.num_rows)
-            extra = np.minimum(MOST_EXTRA, np.log2(1 + cost / HEAVY_FROM).astype(np.int64))
+            extra = np.minimum(MOST_EXTRA, np.log2(1 + cost / COSTLY).astype(np.int64))
             matches = np.minimum(1 + extra, np.maximum(needed, 1))
             take = rank < (sizes - needed + matches)[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[take].view(np.int64)), pa.array(f1[row[take]]), pa.array(sizes[row[take]].astype(np.int32)), pa.array(matches[row[take]].astype(np.int32))], names=["token", "f1", "n", "l"]
+                [pa.array(hashes[take].view(np.int64)), pa.array(f1[row[take]]), pa.array(sizes[row[take]].astype(np.int32)), pa.array((rank[take] * 8 + matches[row[take]]).astype(np.int32))], names=["token", "f1", "n", "place"]
             )
 
     return run
@@ -182,7 +184,10 @@ def components(links: DataFrame) -> DataFrame:
         low = stored(low, "low")
         jump = low.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         labels = stored(low.join(jump, "comp", "left").select("id", "was", F.least("comp", "next").alias("comp")), "labels")
-        if labels.filter("comp <> was").isEmpty():
+        done = labels.filter("comp <> was").isEmpty()
+        release(low)
+        if done:
+            release(edges)
             return labels.select("id", "comp")
 
 
@@ -206,10 +211,10 @@ class _Join:
         shared = stored(prefixes.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo < hi").select("token"), "shared")
         near = maybe_in(prefixes, F.col("token"), key_bitmap(shared, F.col("token"))).filter("_maybe").drop("_maybe")
         near = stored(near.join(shared, "token").distinct(), "near")
-        self.buckets = stored(near.join(self.classes.select("f1", "id"), "f1").select("token", "id", "n", "l").distinct(), "buckets")
-        wanted = stored(self.buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-        few = maybe_in(keyed, F.col("doc_id"), key_bitmap(wanted, F.col("doc_id"))).filter("_maybe").drop("_maybe")
-        self.sets = stored(few.join(wanted, "doc_id").mapInArrow(_sets(n), "doc_id long, set binary"), "sets")
+        release(prefixes, shared)
+        self.keyed = keyed
+        self.buckets = stored(near.join(self.classes.select("f1", "id"), "f1").select("token", "id", "n", "place").distinct(), "buckets")
+        release(near)
         self.tested: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -218,38 +223,54 @@ class _Join:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        left = stored(pairs.join(self.sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a"), "half")
-        both = left.join(self.sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
+        ends = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
+        few = maybe_in(self.keyed, F.col("doc_id"), key_bitmap(ends, F.col("doc_id"))).filter("_maybe").drop("_maybe")
+        sets = stored(few.join(ends, "doc_id").mapInArrow(_sets(self.n), "doc_id long, set binary"), "sets")
+        left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+        both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+        links = stored(both.mapInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
+        release(sets, ends)
+        return links
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link, with enough shared prefix shingles."""
+        """Pairs (a, b) that can link: by size, by shared shingles in the prefixes that the pair's own overlap demands, and by
+        what can still come after the last of those."""
         p = self.percent
-        return (
-            pairs.filter((F.greatest("n1", "n2") * p <= F.least("n1", "n2") * 100))
-            .groupBy("a", "b")
-            .agg(F.count("*").alias("hits"), F.min(F.least("l1", "l2")).alias("need"))
-            .filter("hits >= need")
-            .select("a", "b")
+        overlap = f"(({p} * (n1 + n2) + {99 + p}) div {100 + p})"
+        need = "least(p1 & 7, p2 & 7)"
+        pairs = pairs.filter(f"greatest(n1, n2) * {p} <= least(n1, n2) * 100").filter(f"shiftright(p1, 3) < n1 - {overlap} + {need} AND shiftright(p2, 3) < n2 - {overlap} + {need}")
+        last = lambda k: F.max(F.shiftright(f"p{k}", 3)).alias(f"last{k}")
+        grouped = (
+            pairs.groupBy("a", "b")
+            .agg(F.count("*").alias("hits"), F.min(F.expr(need)).alias("need"), last(1), last(2), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
         )
+        most = F.expr("hits + least(n1 - 1 - last1, n2 - 1 - last2)")
+        return grouped.filter((F.col("hits") >= F.col("need")) & (most * (100 + p) >= (F.col("n1") + F.col("n2")) * p)).select("a", "b")
 
     def hub_pairs(self, comps: DataFrame | None, turn: int) -> DataFrame:
         """Each bucket's members against one member of it, unless they are joined already."""
         b = self.labelled(comps)
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "l", "comp"))
+        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "place", "comp"))
         hubs = stored(b.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token", "hub"), "hubs")
         pairs = b.join(hubs, "token").filter("comp <> hub.comp")
-        return self._sized(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), F.col("n").alias("n1"), F.col("hub.n").alias("n2"), F.col("l").alias("l1"), F.col("hub.l").alias("l2")))
+        flip = F.col("id") > F.col("hub.id")
+        pick = lambda x, y, name: F.when(flip, y).otherwise(x).alias(name)
+        h = {c: F.col(f"hub.{c}") for c in ("id", "n", "place")}
+        return self._sized(
+            pairs.select(
+                F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), pick(F.col("n"), h["n"], "n1"), pick(h["n"], F.col("n"), "n2"), pick(F.col("place"), h["place"], "p1"), pick(h["place"], F.col("place"), "p2")
+            )
+        )
 
     def all_pairs(self, comps: DataFrame | None) -> DataFrame:
-        """Every pair of different components that shares enough prefix shingles."""
+        """Every pair of different components that can link."""
         b = self.labelled(comps)
         mixed = stored(b.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token"), "mixed")
         b = stored(b.join(mixed, "token"), "residual")
-        x = b.select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("l").alias("l1"), F.col("comp").alias("c1"))
-        y = b.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("comp").alias("c2"))
+        x = b.select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("place").alias("p1"), F.col("comp").alias("c1"))
+        y = b.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("comp").alias("c2"))
         near = x.join(y, (x.token == y.token) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")))
-        return self._sized(near.select("a", "b", "n1", "n2", "l1", "l2"))
+        return self._sized(near.select("a", "b", "n1", "n2", "p1", "p2"))
 
     def labelled(self, comps: DataFrame | None) -> DataFrame:
         if comps is None:
@@ -268,7 +289,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     return join.verify(join.all_pairs(None))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_turns: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_turns: int = 4) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     join = _Join(_prepared(docs, id_col, text_col), n, percent)
     links, comps = None, None
@@ -276,10 +297,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         found = join.verify(join.hub_pairs(comps, turn))
         links = found if links is None else links.union(found)
         comps = components(links)
+        if found.count() * 50 < comps.count():
+            break
     found = join.verify(join.all_pairs(comps))
     if not found.isEmpty():
         comps = components(found if links is None else links.union(found))
     # equal sets and equal ids are one node: ids of a class point to its smallest id
     named = join.rows.join(join.classes, ["f1", "f2", "n"], "left")
     linked = named.join(comps, "id", "left") if comps is not None else named.withColumn("comp", F.lit(None).cast("long"))
-    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "id", "doc_id").alias("component_id"))
+    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id"))

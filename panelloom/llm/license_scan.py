@@ -76,6 +76,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
         raise ValueError(f"templates of fewer than {shingle} words: {short}")
     rng = random.Random(shingle)
     grids, tests, signs, banded = [], [], [], []
+    least_of: set[int] = set()  # shingles that are the least of a template in some band
     for c in sorted({_size_class(r.h) for r in listed}):
         mine = [r for r in listed if _size_class(r.h) == c]
         width = 1 if c == 1 else 2 * c
@@ -84,12 +85,16 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
         grids.append(f"transform(sequence(0, size(_h) - 1, {c}), s -> struct({c} AS c, s AS at, slice(_h, s + 1, {width}) AS win))")
         tests.append(f"WHEN {c} THEN " + " OR ".join(f"{m} IN ({', '.join(f'{min(x ^ s for x in r.h)}L' for r in mine)})" for m, s in zip(least, seeds)).replace("-9223372036854775808L", "CAST(-9223372036854775808 AS BIGINT)"))
         signs.append(f"WHEN {c} THEN array({', '.join(least)})")
+        least_of |= {min(r.h, key=lambda x, s=s: x ^ s) for r in mine for s in seeds}
         banded += [(c, j, min(x ^ s for x in r.h), r.license_id, list(r.h)) for r in mine for j, s in enumerate(seeds)]
     # outer explode: its empty rows are dropped below, while the inner form would add a filter that hashes every text once more
     hashed = _with_shingles(base, F.col("text"), shingle).drop("text")
-    grid = F.expr(f"CASE WHEN size(_h) > 0 THEN concat({', '.join(grids)}) END")
+    # a band agrees only where the window holds the template's least shingle itself (equal keys under one XOR are equal
+    # hashes), so texts and windows without any such shingle need no bands
+    held = f"array({', '.join(f'{x}L' for x in sorted(least_of))})"
+    grid = F.expr(f"CASE WHEN arrays_overlap(_h, {held}) THEN concat({', '.join(grids)}) END")
     windows = hashed.select("doc_id", F.explode_outer(grid).alias("g")).select("doc_id", "g.c", "g.at", "g.win")
-    near = windows.filter(F.expr(f"CASE c {' '.join(tests)} ELSE false END"))
+    near = windows.filter(F.expr(f"arrays_overlap(win, {held})")).filter(F.expr(f"CASE c {' '.join(tests)} ELSE false END"))
     signed = near.select("doc_id", "c", "at", "win", F.posexplode_outer(F.expr(f"CASE c {' '.join(signs)} END")).alias("band", "key"))
     bands = spark.createDataFrame(banded, "c int, band int, key bigint, license_id string, h array<bigint>")
     hits = signed.join(F.broadcast(bands), ["c", "band", "key"])  # at most MAX_TEMPLATES templates of some dozens of bands

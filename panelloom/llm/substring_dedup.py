@@ -258,14 +258,16 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(F.col(text_col)).alias("tag"))
     runs = stored(docs.filter("doc_id IS NOT NULL").mapInArrow(_runs(n, ANCHOR_WORDS), _RUNS), "runs")
 
+    # sides of joins are stored first: a plain exchange on both sides lets Spark split the partition of a common anchor
     anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).filter("lo < hi")
-    shared = stored(runs.join(anchors.select("anchor", (F.col("s0") < F.col("s1")).alias("varied")), "anchor"), "shared")
+    anchors = stored(anchors.select("anchor", (F.col("s0") < F.col("s1")).alias("varied")), "anchors")
+    shared = stored(runs.join(anchors, "anchor"), "shared")
     segs = stored(
         shared.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "tag", "start")).alias("o"), F.max("doc_id").alias("hi"), F.max("n_win").alias("n_win"), F.max("varied").alias("varied")),
         "segments",
     )
     varied = segs.filter("varied")
-    sizes = varied.groupBy("anchor").agg((F.count("*") > shard_segments).alias("wide"))
+    sizes = stored(varied.groupBy("anchor").agg((F.count("*") > shard_segments).alias("wide")), "sizes")
     wanted = stored(
         varied.join(sizes, "anchor").groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.tag").alias("tag"), "wide").agg(F.collect_list(F.struct("anchor", "seg", F.col("o.start").alias("start"), "n_win")).alias("wanted")),
         "wanted",
@@ -275,15 +277,16 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     by_automaton = narrow.repartition("anchor").sortWithinPartitions("anchor", "owner").mapInArrow(_match(n), _MASKS)
     windows = texts.join(wanted.filter("wide"), ["doc_id", "tag"]).select("doc_id", "text", "wanted").mapInArrow(_segments(n, True), _WIDE)
     windows = stored(windows, "windows")
-    least = windows.groupBy("anchor", "win").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most")
+    least = stored(windows.groupBy("anchor", "win").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most"), "least")
     by_window = windows.join(least, ["anchor", "win"]).filter("owner > least").groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
     masks = by_automaton.unionByName(by_window)
 
-    owned = (
+    owned = stored(
         segs.select("anchor", "seg", F.col("o.doc_id").alias("owner"), "hi")
         .join(masks, ["anchor", "seg"], "left")
         .filter("owner < hi OR mask IS NOT NULL")
-        .drop("hi")
+        .drop("hi"),
+        "owned",
     )
     marks = (
         shared.join(owned, ["anchor", "seg"])
