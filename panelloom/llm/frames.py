@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.session import release, ship_package, shared_dir, stored  # noqa: F401  operators take them from here
+from panelloom import session
+from panelloom.session import release, shared_dir, stored  # noqa: F401  operators take them from here
+
+#: Rows of an Arrow batch to Python workers, where the session has Spark's own 10,000: whole texts, so fewer rows at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Bits of the semi-filter: 2**25 bits are 1,024 rows of 4 KB, 4 MB, whatever the input; that bounds the broadcast.
 FILTER_BITS = 1 << 25
 _ROW_BITS = 32768
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package known to the executors, and batches of texts small."""
+    session.ship_package(spark)
+    if int(spark.conf.get(_BATCH)) == 10_000:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
