@@ -1,14 +1,21 @@
-"""Main text of web pages: page structure first, a host suffix array for what structure leaves open.
+"""Main text of web pages: what a host repeats on distinct pages goes, page structure settles the rest.
 
 Blocks of a page are chrome (inside menus, headers, footers, sidebars, notices, adverts, forms, reader comments), article
-(inside article or main) or open. Where a page has an article, its text is the article's blocks; nothing that repeats on
-other pages is taken from it. Where it has none, its open blocks are judged by the host's suffix array: the token streams of
-a shard of the host's pages (chrome and open blocks) are concatenated, suffixes are sorted by their first RUN tokens (prefix
-doubling), and stretches found on two distinct pages or more are boilerplate; a block mostly covered by them goes, unique
-runs stay.
+(inside article or main) or open. The words of all blocks of a page are its stream; a run is RUN consecutive words of it.
+A run that stands on two distinct pages of a host or more is boilerplate, inside an article as well as outside. A block that
+such runs cover wholly goes; from others the runs inside the block are cut, and unique words stay. Of what is left, chrome
+goes too; inside an article, class names are chrome only where all their words are (`related-work` is not).
 
-A host of any size is dealt into shards of about SHARD_PAGES pages, so no host lands in one task; boilerplate stands on
-most pages of a host and so on most pages of each shard. Article tokens don't enter the index, as they are never removed.
+Runs are counted over the whole host, however many pages it has:
+
+1. Pages are stored in pieces of about PIECE_BYTES. A run's anchor is the least hash of its GRAM-grams, with the host; equal
+   runs have equal anchors. Each piece sends its distinct anchors, with a page of each, to buckets by their hash; a bucket
+   answers by a bit for each anchor: does it stand on two distinct pages?
+2. The runs of anchors that do are sent and answered in the same way, as 64-bit hashes.
+3. Each piece cuts the runs whose bit is set. Pages of one host with equal blocks are one page to the rule.
+
+A bucket has about BUCKET_KEYS words' keys, each once a piece, so no host and no run lands in one task.
+`covered` is the same rule for pages held in one place, by a suffix array.
 
 Nulls and edges: a null or empty html gives an empty text; a null url is a host of its own name (empty); tags cut off at the
 end of the page are dropped; a comment or raw element that never ends runs to the end; repeated rows give equal texts;
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.frames import ship_package, stored
-from panelloom.llm.words import SPACED, chunks, words
+from panelloom.llm.words import SPACED, chunks, mix, prefix_sums, range_hash, sliding_min, words
 
 RUN = 8
-SHARD_PAGES = 64
+GRAM = 4
+#: Bytes of html in one piece of pages, rows in it at most, and words of all pages for each bucket of keys.
+PIECE_BYTES = 1 << 22
+PIECE_ROWS = 50_000
+BUCKET_KEYS = 1 << 22
 
 _TAG = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!?/A-Za-z][^<]*\Z")
 _ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -52,8 +64,10 @@ def _furniture(attrs: str, inside: bool) -> bool:
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            hit = HINTS.intersection(_SPLIT.split(value))
-            if hit and not (inside and hit <= {"header"}):
+            if inside:  # whole names only: repetition decides on the others
+                if any(parts and HINTS.issuperset(parts) and parts != ["header"] for parts in (list(filter(None, _SPLIT.split(v))) for v in value.split())):
+                    return True
+            elif HINTS.intersection(_SPLIT.split(value)):
                 return True
         elif name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -159,78 +173,180 @@ def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return np.split(gone, np.cumsum(sizes)[:-1]) if len(streams) else []
 
 
-def _article(batches):
-    """Texts of the pages that have an article."""
-    for piece in chunks(batches, "html"):
-        keep, texts = [], []
-        for r, page in enumerate(piece.column("html").to_pylist()):
-            found = blocks(page) if page else []
-            if not page or any(kind == 2 for _, kind in found):
-                keep.append(r)
-                texts.append("\n".join(text for text, kind in found if kind == 2))
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([piece.column("page_id").take(take), piece.column("url").take(take), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-
-def _streams(batches):
-    """Blocks outside articles, for the hosts' indexes."""
-    kind_ = pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())]))
-    for piece in chunks(batches, "html"):
-        keep, side, whole = [], [], []
-        for r, page in enumerate(piece.column("html").to_pylist()):
-            if page:
-                found = blocks(page)
-                keep.append(r)
-                whole.append(any(kind == 2 for _, kind in found))
-                side.append([{"text": text, "open": kind == 1} for text, kind in found if kind < 2])
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [piece.column("page_id").take(take), piece.column("url").take(take), piece.column("host").take(take), pa.array(whole, pa.bool_()), pa.array(side, kind_)],
-            names=["page_id", "url", "host", "has_article", "side"],
-        )
-
-
-def _judge(batches):
-    """Texts of the pages without an article; a shard's rows come one after the other."""
-    key, pages = None, []
+def _pieces(batches):
+    """Pieces of pages, one a row: their block texts (a line each) and kinds (a digit each)."""
+    for chunk in chunks(batches, "html", PIECE_BYTES):
+        for piece in (chunk.slice(at, PIECE_ROWS) for at in range(0, chunk.num_rows, PIECE_ROWS)):
+            pages, size = [], 0
+            for page_id, url, host, page in zip(*(piece.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
+                found = blocks(page) if page else []
+                text = "\n".join(t for t, _ in found)
+                size += text.count(" ") + len(found)
+                pages.append({"page_id": page_id, "url": url, "host": host, "text": text, "kinds": "".join(str(k) for _, k in found)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([size], pa.int64()), pa.array([pages], _PAGES)], names=["piece", "n_words", "pages"]
+            )
 
-    def flush():
-        open_ = [p for p in pages if not p[2]]
-        if not open_:
-            return None
-        streams = [[t for b in p[3] for t in b["text"].split()] for p in pages]
-        texts = []
-        for p, gone in zip(pages, covered(streams)):
-            if p[2]:
-                continue
-            at, kept = 0, []
-            for b in p[3]:
-                n = len(b["text"].split())
-                if b["open"] and gone[at : at + n].mean() <= 0.5:
-                    kept.append(b["text"])
-                at += n
-            texts.append("\n".join(kept))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in open_], pa.int64()), pa.array([p[1] for p in open_], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
+_PAGES = pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("kinds", pa.string())]))
+_PIECES = "piece long, n_words long, pages array<struct<page_id:long,url:string,host:string,text:string,kinds:string>>"
+
+
+class _Piece:
+    """Runs of a piece's pages (at: first word), with their page, key and anchor, and each page's identity."""
+
+    def __init__(self, pages: list[dict]) -> None:
+        self.w = w = words(pa.array([p["text"] for p in pages], pa.large_string()), SPACED)
+        hosts = words(pa.array(["h" + p["host"].replace(" ", "_") for p in pages], pa.large_string()), np.ones(256, bool)).hashes
+        lines = words(pa.array([p["text"] + "\n" + p["kinds"] + "." for p in pages], pa.large_string()), np.ones(256, bool)).hashes
+        self.identity = mix(lines ^ mix(hosts))
+        total, row_of = len(w.hashes), w.row_of
+        if total < RUN:
+            self.at, self.page, self.key, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return
+        sums, salt = prefix_sums(w.hashes), mix(hosts)[row_of]
+        i = np.arange(total - RUN + 1)
+        whole = i + RUN <= w.first[1:][row_of[: len(i)]]
+        j = np.arange(total - GRAM + 1)
+        anchor = sliding_min(mix(range_hash(sums, j, j + GRAM) ^ salt[: len(j)]), RUN - GRAM + 1)
+        self.at = i[whole]
+        self.page = row_of[self.at]
+        self.key = mix(range_hash(sums, self.at, self.at + RUN) ^ salt[self.at])
+        self.anchor = anchor[self.at]
+
+    def keep(self, mask: np.ndarray) -> None:
+        self.at, self.page, self.key, self.anchor = self.at[mask], self.page[mask], self.key[mask], self.anchor[mask]
+
+
+def _answered(keys: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
+    """Whether each key's bit is set; answers have the bits of a piece's distinct keys by bucket, in ascending order."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    bits = np.zeros(len(distinct), bool)
+    bucket = distinct % np.uint64(buckets)
+    for a in answers or []:
+        mine = np.flatnonzero(bucket == np.uint64(a["bucket"]))
+        bits[mine] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(mine)).astype(bool)
+    return bits[back]
+
+
+def _rows(batches):
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "has_article", "side", "host", "shard"))):
-            if row[4:] != key:
-                if pages and (out := flush()):
-                    yield out
-                key, pages = row[4:], []
-            pages.append(row[:4])
-    if pages and (out := flush()):
-        yield out
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _send(buckets: int, runs: bool):
+    """Distinct anchors of each piece, or distinct runs of the answered anchors, for each bucket.
+
+    owner is a page's identity (its number among `pages`), or the number 65535 where the piece has two pages or more."""
+
+    def send(batches):
+        for row in _rows(batches):
+            p = _Piece(row["pages"])
+            if runs:
+                p.keep(_answered(p.anchor, buckets, row["anchors"]))
+            keys, back = np.unique(p.key if runs else p.anchor, return_inverse=True)
+            same, who = np.unique(p.identity, return_inverse=True)
+            lo, hi = np.full(len(keys), len(same)), np.full(len(keys), -1)
+            np.minimum.at(lo, back, who[p.page])
+            np.maximum.at(hi, back, who[p.page])
+            owner = np.where(lo < hi, 65535, lo).astype(np.uint16)
+            bucket = keys % np.uint64(buckets)
+            for b in np.unique(bucket).tolist():
+                mine = bucket == np.uint64(b)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), pa.array([row["piece"]], pa.int64()), pa.array([same.tobytes()], pa.binary()), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([owner[mine].tobytes()], pa.binary())],
+                    names=["bucket", "piece", "pages", "keys", "owner"],
+                )
+
+    return send
+
+
+def _answer(batches):
+    """A bit for each key of a bucket that stands on two distinct pages or more; a bucket's rows come one after the other."""
+    bucket, rows = None, []
+
+    def flush():
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        owner = [np.frombuffer(r["owner"], np.uint16) for r in rows]
+        pages = np.concatenate([np.append(np.frombuffer(r["pages"], np.uint64), np.uint64(0))[np.minimum(o, len(r["pages"]) // 8)] for r, o in zip(rows, owner)])
+        many = np.concatenate(owner) == 65535
+        order = np.argsort(keys, kind="stable")
+        ordered, pages, many = keys[order], pages[order], many[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        repeated = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(pages, first) < np.maximum.reduceat(pages, first))
+        bits = np.zeros(len(keys), bool)
+        bits[order] = np.repeat(repeated, np.diff(np.append(first, len(keys))))
+        at = np.cumsum([0] + [len(o) for o in owner])
+        packed = [np.packbits(bits[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([r["piece"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(packed, pa.binary())], names=["piece", "bucket", "bits"])
+
+    for row in _rows(batches):
+        if row["bucket"] != bucket:
+            if rows:
+                yield flush()
+            bucket, rows = row["bucket"], []
+        rows.append(row)
+    if rows:
+        yield flush()
+
+
+def _cut(buckets: int):
+    """Texts of the pages without their host's repeated runs and without chrome."""
+
+    def cut(batches):
+        for row in _rows(batches):
+            p = _Piece(row["pages"])
+            p.keep(_answered(p.anchor, buckets, row["anchors"]))
+            p.keep(_answered(p.key, buckets, row["runs"]))
+            total = len(p.w.hashes)
+            lines = [page["text"].split("\n") if page["kinds"] else [] for page in row["pages"]]
+            sizes = np.array([line.count(" ") + 1 for page in lines for line in page], np.int64)
+            block = np.repeat(np.arange(len(sizes)), sizes)
+            inner = p.at[block[p.at] == block[p.at + RUN - 1]]
+
+            def cover(at):
+                change = np.zeros(total + 1, np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, at + RUN, -1)
+                return np.cumsum(change[:-1]) > 0
+
+            gone, any_ = cover(inner), cover(p.at)
+            first = np.cumsum(sizes) - sizes
+            some, whole = (np.logical_or.reduceat(gone, first), np.logical_and.reduceat(any_, first)) if len(sizes) else (gone, any_)
+            texts, k = [], 0
+            for page, mine in zip(row["pages"], lines):
+                kept = []
+                for line, kind in zip(mine, page["kinds"]):
+                    if kind != "0" and not whole[k]:
+                        if some[k]:
+                            line = " ".join(t for t, g in zip(line.split(" "), gone[first[k] : first[k] + sizes[k]].tolist()) if not g)
+                        if line:
+                            kept.append(line)
+                    k += 1
+                texts.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x["page_id"] for x in row["pages"]], pa.int64()), pa.array([x["url"] for x in row["pages"]], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
+
+    return cut
+
+
+def _exchange(pieces: DataFrame, buckets: int, runs: bool) -> DataFrame:
+    """For each piece the answers to its keys, by bucket."""
+    sent = pieces.mapInArrow(_send(buckets, runs), "bucket int, piece long, pages binary, keys binary, owner binary")
+    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "piece long, bucket int, bits binary")
+    name = "runs" if runs else "anchors"
+    return stored(answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), name)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of pages: page_id, url and text (blocks of the main text, joined by line feeds)."""
     ship_package(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    result = "page_id long, url string, text string"
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[^/?#]*//([^/?#]*)", 1), F.lit("")))
-    side = stored(rows.withColumn("host", host).mapInArrow(_streams, "page_id long, url string, host string, has_article boolean, side array<struct<text:string,open:boolean>>"), "streams")
-    shards = stored(side.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).alias("shards"), F.bool_and("has_article").alias("settled")), "hosts")
-    dealt = side.join(shards.filter("NOT settled"), "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    judged = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id").mapInArrow(_judge, result)
-    return rows.mapInArrow(_article, result).unionByName(judged)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
+    pieces = stored(rows.mapInArrow(_pieces, _PIECES), "pieces")
+    buckets = int(pieces.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_KEYS + 1
+    with_anchors = pieces.join(_exchange(pieces, buckets, False), "piece", "left")
+    answered = with_anchors.join(_exchange(with_anchors, buckets, True), "piece", "left")
+    return answered.select("pages", "anchors", "runs").mapInArrow(_cut(buckets), "page_id long, url string, text string")

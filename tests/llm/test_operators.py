@@ -236,6 +236,24 @@ def test_html(spark):
     assert all(got[10 + k] == f"own text number {k} of this page" for k in range(150)) and len(got) == len(rows)
 
 
+def test_html_repeats_over_a_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PIECE_BYTES", 1 << 12)  # many pieces: what repeats must be found across them
+    rng = random.Random(5)
+    own = lambda k, n: " ".join(f"p{k}x{rng.randrange(10**6)}" for _ in range(n))
+    rare, rows, want = "five pages of this large host share this very line of text", [], {}
+    for k in range(640):
+        a, b, c = own(k, 9), own(k, 12), own(k, 3)
+        line = f"{a} {rare} {c}" if k % 128 == 0 else a
+        rows.append((k, f"http://big/{k}", f"<body><div>{b}</div><article><p>{line}</p><div id='related-work'>{c}</div></article></body>"))
+        want[k] = "\n".join((b, f"{a} {c}" if k % 128 == 0 else a, c))
+    copy = own("copy", 30)
+    rows += [(1000 + k, f"http://twice/{k}", f"<body><div>{copy}</div></body>") for k in range(2)]
+    rows += [(1002, "http://else/1", f"<body><div>{copy}</div></body>")]
+    want |= {1000: copy, 1001: copy, 1002: copy}
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+
+
 def test_covered_against_brute_force():
     rng = random.Random(6)
     for _ in range(20):
