@@ -4,9 +4,9 @@ containment verifies them.
 Words are runs outside [\x00-\x2F\x3A-\x60\x7B-\x7F] of the lower-cased text; shingles are `shingle` words, as 64-bit hashes.
 Templates are dealt into classes by their number of distinct shingles t (c = the power of two from t on). For a class,
 windows of 2c shingles start at every c-th shingle (c = 1: windows of one shingle), so an occurrence of t <= c shingles in a
-row lies in a window as a whole. A band is the minimum of the window's hashes under one XOR permutation; the number of bands
-follows from the smallest resemblance that a match can have, percent/100 * t / 2c, so that a match is missed by all bands
-with a probability of at most `miss`. A window that agrees with a template in a band is verified: it must hold at least
+row lies in a window as a whole. A band is the minimum of the window's hashes, hashed once more with a seed; the number of bands
+follows from the smallest resemblance that a match can have, p t / (2c + (1 - p) t) with p = percent/100, so that a match is
+missed by all bands with a probability of at most `miss`. A window that agrees with a template in a band is verified: it must hold at least
 `percent` per cent of the template's distinct shingles.
 
 Templates are a stated list held by the driver (at most MAX_TEMPLATES, at least `shingle` words each); nothing else is
@@ -80,16 +80,21 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     for c in sorted({_size_class(r.h) for r in listed}):
         mine = [r for r in listed if _size_class(r.h) == c]
         width = 1 if c == 1 else 2 * c
-        seeds = [rng.getrandbits(63) for _ in range(bands_needed(percent / 100 * min(len(r.h) for r in mine) / width if c > 1 else 1, miss))]
-        least = [f"array_min(transform(win, x -> x ^ {s}L))" for s in seeds]
+        share, t = percent / 100, min(len(r.h) for r in mine)
+        seeds = [rng.getrandbits(63) for _ in range(bands_needed(share * t / (width + (1 - share) * t) if c > 1 else 1, miss))]
+        least = [f"array_min(transform(win, x -> xxhash64(x, {s}L)))" for s in seeds]
+        # the templates' own minima, each with its shingle, by the same functions
+        mins = spark.createDataFrame([(r.license_id, list(r.h)) for r in mine], "license_id string, h array<bigint>").select(
+            "license_id", "h", F.array(*(F.expr(f"array_min(transform(h, x -> struct(xxhash64(x, {s}L) AS key, x AS shingle)))") for s in seeds)).alias("least")
+        ).collect()
         grids.append(f"transform(sequence(0, size(_h) - 1, {c}), s -> struct({c} AS c, s AS at, slice(_h, s + 1, {width}) AS win))")
-        tests.append(f"WHEN {c} THEN " + " OR ".join(f"{m} IN ({', '.join(f'{min(x ^ s for x in r.h)}L' for r in mine)})" for m, s in zip(least, seeds)).replace("-9223372036854775808L", "CAST(-9223372036854775808 AS BIGINT)"))
+        tests.append(f"WHEN {c} THEN " + " OR ".join(f"{m} IN ({', '.join(f'{r.least[j].key}L' for r in mins)})" for j, m in enumerate(least)).replace("-9223372036854775808L", "CAST(-9223372036854775808 AS BIGINT)"))
         signs.append(f"WHEN {c} THEN array({', '.join(least)})")
-        least_of |= {min(r.h, key=lambda x, s=s: x ^ s) for r in mine for s in seeds}
-        banded += [(c, j, min(x ^ s for x in r.h), r.license_id, list(r.h)) for r in mine for j, s in enumerate(seeds)]
+        least_of |= {b.shingle for r in mins for b in r.least}
+        banded += [(c, j, b.key, r.license_id, list(r.h)) for r in mins for j, b in enumerate(r.least)]
     # outer explode: its empty rows are dropped below, while the inner form would add a filter that hashes every text once more
     hashed = _with_shingles(base, F.col("text"), shingle).drop("text")
-    # a band agrees only where the window holds the template's least shingle itself (equal keys under one XOR are equal
+    # a band agrees only where the window holds the template's least shingle itself (equal keys under one seed are equal
     # hashes), so texts and windows without any such shingle need no bands
     held = f"array({', '.join(f'{x}L' for x in sorted(least_of))})"
     grid = F.expr(f"CASE WHEN arrays_overlap(_h, {held}) THEN concat({', '.join(grids)}) END")
