@@ -4,9 +4,9 @@ Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z. A window is `n
 fewer words (not none) is one window. A document word inside any occurrence of a window is hit.
 
 A shard is a piece of a task's documents (about 1 MB of text). Its suffix array holds the suffixes that can match: those
-inside runs of bigrams that some test item has. Ranks of the first 1, 2, 4, 8, 16 words come from prefix doubling over
-shard and test words together, so that one argsort gives the array, two binary searches give all occurrences of a test
-window, and comparing words from the neighbours on gives each test suffix's longest verbatim match and its place.
+inside runs of bigrams that some test item has. Ranks of the first 1, 2, 4, 8, 16 ... words come from prefix doubling over
+shard and test words together, until they cover a window and either tell all suffixes of the shard apart or cover the
+longest possible match; so one argsort gives the array, two binary searches give all occurrences of a test window, and comparing words from the neighbours on gives each test suffix's longest verbatim match and its place.
 
 The test items are the stated query set: they are read in blocks of at most `block_words` words, whose size bounds the
 broadcast, and each block passes over all documents.
@@ -35,6 +35,11 @@ _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("item_at", pa.int32()), (
 _RESULT = "row long, doc_id long, n_words long, spans array<struct<first:int,last:int>>, items array<long>, longest array<struct<item_id:long,item_at:int,doc_at:int,n_words:int>>"
 
 
+def _longest_run(words: np.ndarray) -> int:
+    """Words between two zeros, at most."""
+    return int(np.diff(np.flatnonzero(np.concatenate(([0], words, [0])) == 0)).max()) - 1
+
+
 class TestBlock:
     """Words of some test items, ready to be searched for."""
 
@@ -84,11 +89,12 @@ class TestBlock:
         joint = np.concatenate((shard, np.zeros(1, np.int64), test, np.zeros(16, np.int64)))
         base = len(shard) + 1
         ranks, depth = {1: joint}, 1
-        while depth < 16:
+        array = np.flatnonzero(shard)
+        needed, longest = int(self.lengths.max()), min(_longest_run(shard), _longest_run(test))
+        while depth < needed or depth < longest and len(np.unique(ranks[depth][array])) < len(array):
             ranks[depth * 2] = self._pair(ranks[depth], depth)
             depth *= 2
-        array = np.flatnonzero(shard)
-        array = array[np.argsort(ranks[16][array], kind="stable")]
+        array = array[np.argsort(ranks[depth][array], kind="stable")]
         pos, size, item = [], [], []
         for m in np.unique(self.lengths).tolist():
             rank = self._of_length(ranks, m)
@@ -102,7 +108,7 @@ class TestBlock:
             pos.append(place[found])
             size.append(np.full(len(found), m))
             item.append(self.row_of[mine[which]])
-        return np.concatenate(pos), np.concatenate(size), np.concatenate(item), self._longest(joint, base, test_at, ranks, array, place)
+        return np.concatenate(pos), np.concatenate(size), np.concatenate(item), self._longest(joint, base, test_at, ranks[depth], array, place)
 
     def _candidates(self, w) -> np.ndarray:
         """Positions of words inside runs that a window of the shortest length could start in or cross."""
@@ -129,22 +135,13 @@ class TestBlock:
         return np.unique(rank * (int(rank.max()) + 1) + later, return_inverse=True)[1] + 1
 
     def _of_length(self, ranks: dict[int, np.ndarray], m: int) -> np.ndarray:
-        if m > 16:  # longer windows: sixteen words at a time, then the last sixteen
-            rank, done = ranks[16], 16
-            while done < m:
-                step = min(16, m - done)
-                later = np.zeros_like(rank)
-                later[: len(rank) - (done + step - 16)] = ranks[16][done + step - 16 :]
-                rank = np.unique(rank * (int(later.max()) + 1) + later, return_inverse=True)[1] + 1
-                done += step
-            return rank
         p = 1 << (m.bit_length() - 1)
         return ranks[p] if p == m else self._pair(ranks[p], m - p)
 
-    def _longest(self, joint, base, test_at, ranks, array, place) -> list[tuple]:
+    def _longest(self, joint, base, test_at, rank, array, place) -> list[tuple]:
         """(item number, item position, shard position, words): each test suffix's longest match of a window or more, where it can't be begun a word earlier."""
-        keys = ranks[16][base + test_at]
-        spot = np.searchsorted(ranks[16][array], keys, "left")
+        keys = rank[base + test_at]
+        spot = np.searchsorted(rank[array], keys, "left")
         best = np.zeros(len(keys), np.int64)
         where = np.zeros(len(keys), np.int64)
         for side in (-1, 0):

@@ -133,6 +133,20 @@ def test_contamination(spark, block_words):
     assert max(m.n_words for m in longest) >= 25
 
 
+def test_longest_match_among_near_copies(spark):
+    rng = random.Random(11)
+    item = [f"i{k}" for k in range(60)]
+    fill = lambda n: [f"{rng.choice('xyz')}{rng.randrange(999)}" for _ in range(n)]
+    ends = [20, 17, 50, 33, 24]
+    rows = [(k, " ".join(fill(5) + item[:e] + [f"i{rng.randrange(e)}", f"i{rng.randrange(e)}"] + fill(3))) for k, e in enumerate(ends)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = frame(spark, rows).coalesce(1)
+    first = [(r.doc_id, m.doc_at, m.n_words) for r in contamination(docs, bench).collect() for m in r.longest if m.item_at == 0]
+    assert first == [(2, 5, 50)]
+    hits = {r.doc_id: r.n_hit for r in contamination(docs, bench, n=20).collect()}  # windows longer than 16 words
+    assert hits == {k: e if e >= 20 else 0 for k, e in enumerate(ends)}
+
+
 def test_perfect_hash():
     keys = [b"k%d" % k for k in range(5000)]
     p = PerfectHash(keys)
