@@ -36,6 +36,9 @@ from panelloom.llm.words import chunks, mix, ngrams, prefix_sums, range_hash, sl
 ANCHOR_WORDS = 8
 #: Distinct segments of one anchor that a single automaton may hold.
 SHARD_SEGMENTS = 256
+#: Bits that hold a position while the least gram is sought, and windows of a piece of text for that (a text of any length has pieces).
+POSITION_BITS = 22
+PIECE_WORDS = 1 << 20
 
 _RUNS = "doc_id long, tag int, anchor long, seg long, start int, n_win int"
 _NARROW = "anchor long, seg long, owner long, n_win int, words string"
@@ -98,15 +101,22 @@ class SuffixAutomaton:
         return out
 
 
+def _least(grams: np.ndarray, fits: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least gram of each window (leftmost of equals); positions take the low POSITION_BITS bits."""
+    if len(grams) > 1 << POSITION_BITS:
+        raise ValueError(f"more than {1 << POSITION_BITS} grams")
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    tagged = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    tagged[~fits] = np.uint64(2**64 - 1)
+    return (sliding_min(tagged, width) & low).astype(np.int64)
+
+
 def _window_runs(w, k: int, n: int):
     """Segments: first window, number of windows and anchor, for all windows of a piece."""
     grams, fits = ngrams(w, k)
     if len(w.hashes) < n:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    low = np.uint64((1 << 22) - 1)
-    tagged = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    tagged[~fits] = np.uint64(2**64 - 1)
-    best = (sliding_min(tagged, n - k + 1) & low).astype(np.int64)
+    best = np.concatenate([lo + _least(grams[lo : lo + PIECE_WORDS + n - k], fits[lo : lo + PIECE_WORDS + n - k], n - k + 1) for lo in range(0, len(w.hashes) - n + 1, PIECE_WORDS)])
     at = np.arange(len(best))
     last = np.repeat(w.first[1:], np.diff(w.first))[: len(best)]
     whole = at + n <= last

@@ -78,6 +78,19 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_anchors_beyond_the_position_bits():
+    rng = random.Random(9)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(80)]
+
+    def anchors(text):
+        w = words(pa.array([" ".join(text)], pa.large_string()))
+        start, count, anchor = _window_runs(w, 8, 50)
+        return np.repeat(anchor, count)
+
+    alone, late = anchors(passage), anchors([str(k % 1009) for k in range((1 << 22) + 100)] + passage)
+    assert len(alone) == 31 and alone.tolist() == late[-31:].tolist()
+
+
 def test_jaccard(spark):
     rows = corpus() + [(None, "one two")]
     sets = {i: shingle_set(t) for i, t in rows if i is not None}
