@@ -339,11 +339,23 @@ _SEEN = "SELECT a.series, a.t AS src, b.t AS dst, {w} AS weight FROM ser a JOIN
 
 @query("horizontal_visibility", "ser", _SEEN.format(w="least(a.x, b.x)", blocked="(k.x >= a.x OR k.x >= b.x)"))
 def horizontal_visibility(spark, sf):
-    return temporal.visibility(_series(spark, sf), "horizontal")
+    return temporal.visibility(_series(spark, sf), "horizontal", limit=32)
 
 
 @query("natural_visibility", "ser", _SEEN.format(w="abs((b.x - a.x) / (b.t - a.t))", blocked="k.x >= b.x + (a.x - b.x) * (b.t - k.t) / (b.t - a.t)"))
 def natural_visibility(spark, sf):
+    return temporal.visibility(_series(spark, sf), "natural", limit=32)
+
+
+@query("horizontal_visibility_all")
+def horizontal_visibility_all(spark, sf):
+    """Rows only: edges of any length."""
+    return temporal.visibility(_series(spark, sf), "horizontal")
+
+
+@query("natural_visibility_all")
+def natural_visibility_all(spark, sf):
+    """Rows only: edges of any length."""
     return temporal.visibility(_series(spark, sf), "natural")
 
 
@@ -355,7 +367,7 @@ def natural_visibility(spark, sf):
     "WHERE NOT EXISTS (SELECT 1 FROM ch k WHERE k.series = a.series AND k.c = a.c AND k.t > a.t AND k.t < b.t AND (k.x >= a.x OR k.x >= b.x))) SELECT series, src, dst, round(avg(w), 6) AS weight FROM e GROUP BY 1, 2, 3",
 )
 def chunked_visibility(spark, sf):
-    return rounded(temporal.chunked_visibility(_series(spark, sf), 48, 24), "weight")
+    return rounded(temporal.chunked_visibility(_series(spark, sf), 48, 24, limit=32), "weight")
 
 
 @query("takens", "ser", "SELECT a.series, a.t, [a.x, b.x, c.x] AS v FROM ser a JOIN ser b ON b.series = a.series AND b.t = a.t + 2 JOIN ser c ON c.series = a.series AND c.t = a.t + 4")

@@ -167,3 +167,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = run_available(hourly_stream(spark, str(tmp_path / "events")), "hourly_test", str(tmp_path / "cp"))
     want = events.groupBy((F.col("user_id") % 36).alias("node"), F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value"))
     assert sorted((r.node, r.value) for r in got.collect()) == sorted((r.node, r.value) for r in want.collect())
+
+
+def test_visibility_of_any_length(spark):
+    rng = random.Random(4)
+    x = [float(rng.randrange(-40, 40)) for _ in range(300)]
+    x[10] = x[280] = 90.0
+    for kind in ("horizontal", "natural"):
+        want = []
+        for i in range(300):
+            for j in range(i + 1, 300):
+                if all((x[k] < min(x[i], x[j])) if kind == "horizontal" else x[k] < x[j] + (x[i] - x[j]) * (j - k) / (j - i) for k in range(i + 1, j)):
+                    want.append((i, j))
+        assert pairs(temporal.visibility(series(spark, x), kind)) == sorted(want) and (10, 280) in want
