@@ -424,7 +424,7 @@ def quantile_graph(spark, sf):
 @query("cao_dimension")
 def cao_dimension(spark, sf):
     """Rows only: an iterative estimate for each series."""
-    return temporal.cao_dimension(_series(spark, sf), max_dim=8)
+    return temporal.cao_dimension(_series(spark, sf))
 
 
 # Overlapping predictions, propagation, scores

@@ -180,3 +180,11 @@ def test_visibility_of_any_length(spark):
                 if all((x[k] < min(x[i], x[j])) if kind == "horizontal" else x[k] < x[j] + (x[i] - x[j]) * (j - k) / (j - i) for k in range(i + 1, j)):
                     want.append((i, j))
         assert pairs(temporal.visibility(series(spark, x), kind)) == sorted(want) and (10, 280) in want
+
+
+def test_cao_query_takes_every_dimension(monkeypatch):
+    from panelloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_series", lambda spark, sf: None)
+    monkeypatch.setattr(temporal, "cao_dimension", lambda series, lag=1, max_dim=15: max_dim)
+    assert catalog.cao_dimension(None, None) == 15
