@@ -50,3 +50,10 @@ def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
         .withColumn("_maybe", F.coalesce(hit, F.lit(False)) & key.isNotNull())
         .drop("_slot", "_bits", "_bit")
     )
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """df without the rows whose keys (none null) are among those of gone; rows that the bitmap clears aren't shuffled."""
+    split = maybe_in(df, F.xxhash64(*keys), key_bitmap(gone, F.xxhash64(*keys)))
+    sure, others = split.filter("NOT _maybe").drop("_maybe"), split.filter("_maybe").drop("_maybe")
+    return sure.unionByName(others.join(gone, keys, "left_anti"))

@@ -3,21 +3,26 @@ r"""N-gram Jaccard self-join by adaptive multi-match prefixes, and the connected
 Words are [^\x20\x09-\x0D]+ after lower-casing A-Z; a document's set holds its distinct n-word shingles (fewer words: the
 whole sequence as one). Two documents link when 100 * intersection >= percent * union.
 
-1. Documents with equal sets are one class, whose smallest id stands for all (128-bit set fingerprints, map-side minimum).
+1. A scan gives each document its set's size, a 128-bit fingerprint and a sketch (parities of SKETCH buckets of shingles).
+   Documents with equal sets are one class, whose smallest id stands for all; only such representatives go on.
 2. Shingles that many different sets share are found from counts inside pieces of every partition, summed over all; they
    are put last in the global order of shingles, the more common the later. The list is bounded (HEAVY_LIMIT); the order
    only steers cost, any order gives the same links.
 3. A set's prefix has size - needed overlap + l shingles of that order. l starts at 1 and grows with the estimated number
    of candidates behind the prefix; two sets can only link if their prefixes share at least min(l, l') shingles.
 4. Buckets (prefix shingles of two sets or more) give candidates. Large groups are contracted first: each bucket compares
-   its members with one hub, exact verification joins them to components, some times with other hubs. Then every remaining pair
+   its members with one hub, the member with the fewest rare shingles, which is the middle of a group of near copies. Linked
+   members become one component, and buckets of one component are dropped. While comparing all that is left would cost far
+   more than its size, hubs go on, and prefixes are made anew from the counts of the buckets left. Then every remaining pair
    of different components that shares enough prefix shingles is verified, so no link between components is lost.
-   With every_link the contraction is skipped and every linked pair of classes comes out.
-5. Verification fetches the sets of candidates only and intersects them exactly.
+   jaccard_links skips the contraction: every linked pair of classes comes out.
+5. Candidates whose sketches differ in more bits than a link allows go (sets that differ in d shingles differ in at most d
+   parities); for the others the sets themselves are fetched and intersected, shingles being compared by 64-bit hashes.
 
 Nulls and edges: a text that is null or without words has an empty set and links with nothing (n_shingles 0, its own
 component); a null id is never linked and its component is null; rows that share an id are one node, and each keeps its
-row; an empty table gives an empty result.
+row; texts of any length are one set; equal similarities link alike; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,21 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import key_bitmap, maybe_in, release, ship_package, stored
+from panelloom.llm.frames import key_bitmap, maybe_in, release, ship_package, stored, without
 from panelloom.llm.words import chunks, mix, ngrams, prefix_sums, range_hash, words
 
-#: Shingles that may be ordered by their count: bounds what the driver gathers and broadcasts to 12 MB.
+#: Shingles that may be ordered by their count: bounds what the driver gathers and broadcasts to 16 MB.
 HEAVY_LIMIT = 1_000_000
 #: Summed count from which a shingle counts as common.
 HEAVY_FROM = 8
 #: Estimated candidates from which a prefix is made longer.
 COSTLY = 64
-#: Shingles of different sets that are counted together inside a task.
-COUNTED = 2_000_000
+#: Shingles of different sets that are counted together inside a task, and sets that a task remembers to emit a prefix once.
+COUNTED = 1_000_000
+REMEMBERED = 200_000
 MOST_EXTRA = 4
+#: Bits of a sketch, in longs of 64.
+SKETCH = 512
+#: All pairs of what is left are compared once they are at most so many times its rows; at most so many turns come before.
+PAIRS_PER_ROW = 4
+TURNS = 6
+#: A turn that leaves more of the pairs than this isn't worth another one.
+SHRINK = 0.7
 
-_SCAN = "doc_id long, n int, f1 long, f2 long, token long, cnt long"
-_PREFIX = "token long, f1 long, n int, place int"
+_LONGS = [f"s{k}" for k in range(SKETCH // 64)]
+_SCAN = f"doc_id long, tag long, n int, f1 long, f2 long, {', '.join(f'{s} long' for s in _LONGS)}, token long, cnt long"
+_PREFIX = "token long, id long, n int, place int, light int"
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +88,17 @@ def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+def _sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parities of each row's shingles in SKETCH buckets, as longs (row, long)."""
+    rows = len(first) - 1
+    bit = np.repeat(np.arange(rows), np.diff(first)) * SKETCH + (mix(hashes) >> np.uint64(20)).astype(np.int64) % SKETCH
+    odd = (np.bincount(bit, minlength=rows * SKETCH) & 1).astype(bool)
+    return np.packbits(odd.reshape(rows, SKETCH), axis=1).view(np.int64)
+
+
 def _scan(n: int):
+    names = ["doc_id", "tag", "n", "f1", "f2", *_LONGS, "token", "cnt"]
+
     def run(batches):
         seen: set[int] = set()
         kept: list[np.ndarray] = []
@@ -85,15 +109,17 @@ def _scan(n: int):
             some = count >= 2
             k = int(some.sum())
             empty = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([empty, pa.nulls(k, pa.int32()), empty, empty, pa.array(tokens[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=["doc_id", "n", "f1", "f2", "token", "cnt"])
+            return pa.RecordBatch.from_arrays([empty, empty, pa.nulls(k, pa.int32()), empty, empty, *[empty] * len(_LONGS), pa.array(tokens[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
 
         for piece in chunks(batches):
             hashes, first = shingle_sets(piece.column("text"), n)
             f1, f2 = _fingerprints(hashes, first)
             sizes = np.diff(first)
-            k = piece.num_rows
-            empty = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(f1), pa.array(f2), empty, empty], names=["doc_id", "n", "f1", "f2", "token", "cnt"])
+            empty = pa.nulls(piece.num_rows, pa.int64())
+            sketch = _sketches(hashes, first)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("tag"), pa.array(sizes.astype(np.int32)), pa.array(f1), pa.array(f2), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), empty, empty], names=names
+            )
             for r, f in enumerate(f1.tolist()):
                 if sizes[r] and f not in seen:
                     seen.add(f)
@@ -122,6 +148,7 @@ def _levels(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndar
 def _prefixes(n: int, percent: int, shared):
     def run(batches):
         heavy = shared.value
+        seen: set[tuple[int, int]] = set()
         for piece in chunks(batches):
             hashes, first = shingle_sets(piece.column("text"), n)
             if not len(hashes):
@@ -136,11 +163,21 @@ def _prefixes(n: int, percent: int, shared):
             needed = -(-sizes * percent // 100)
             single = rank < (sizes - needed + 1)[row]
             cost = np.bincount(row, np.where(single & (level > 0), np.exp2(level.astype(float)), 0.0), piece.num_rows)
+            light = np.bincount(row, level == 0, piece.num_rows)
             extra = np.minimum(MOST_EXTRA, np.log2(1 + cost / COSTLY).astype(np.int64))
             matches = np.minimum(1 + extra, np.maximum(needed, 1))
-            take = rank < (sizes - needed + matches)[row]
+            # rows that repeat an id and a set add nothing: a task sends them once, as far as it remembers
+            new = np.zeros(piece.num_rows, bool)
+            for r, key in enumerate(zip(piece.column("doc_id").to_pylist(), f1.tolist())):
+                if key not in seen:
+                    seen.add(key)
+                    new[r] = True
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            take = (rank < (sizes - needed + matches)[row]) & new[row]
+            at = row[take]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[take].view(np.int64)), pa.array(f1[row[take]]), pa.array(sizes[row[take]].astype(np.int32)), pa.array((rank[take] * 8 + matches[row[take]]).astype(np.int32))], names=["token", "f1", "n", "place"]
+                [pa.array(hashes[take].view(np.int64)), piece.column("doc_id").take(pa.array(at)), *(pa.array(x.astype(np.int32)) for x in (sizes[at], rank[take] * 8 + matches[at], light[at]))], names=["token", "id", "n", "place", "light"]
             )
 
     return run
@@ -158,8 +195,8 @@ def _sets(n: int):
 def _linked(percent: int):
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
                 good = []
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -177,7 +214,7 @@ def _linked(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of links (a, b) can reach; minimum labels with pointer jumps."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"), "labels")
+    last = labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels.id == near.a, "left").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
@@ -185,51 +222,74 @@ def components(links: DataFrame) -> DataFrame:
         jump = low.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         labels = stored(low.join(jump, "comp", "left").select("id", "was", F.least("comp", "next").alias("comp")), "labels")
         done = labels.filter("comp <> was").isEmpty()
-        release(low)
+        release(low, last)
+        last = labels
         if done:
             release(edges)
             return labels.select("id", "comp")
 
 
 class _Join:
-    """One run of the join: buckets, sets and what has been verified."""
+    """One run of the join: classes, sketches, common shingles and buckets."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int) -> None:
         self.n, self.percent = n, percent
-        spark = docs.sparkSession
-        ship_package(spark)
+        self.spark = docs.sparkSession
+        ship_package(self.spark)
         scanned = stored(docs.mapInArrow(_scan(n), _SCAN), "sets-scan")
-        self.rows = scanned.filter("n IS NOT NULL").select("doc_id", "n", "f1", "f2")
-        counts = scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= HEAVY_FROM)
-        top = counts.orderBy(F.desc("cnt"), "token").limit(HEAVY_LIMIT).select("token", F.least(F.floor(F.log2("cnt")), F.lit(60)).alias("level")).toPandas()
+        rows = scanned.filter("n IS NOT NULL").drop("token", "cnt")
+        real = rows.filter("doc_id IS NOT NULL AND n > 0")
+        classes = stored(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
+        # each row with its class's id; empty sets and null ids have none
+        named = stored(real.select("doc_id", "tag", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).select("doc_id", "tag", "n", "id"), "named")
+        self.rows = named.select("doc_id", "n", "id").unionByName(rows.filter("doc_id IS NULL OR n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("id")))
+        copies = stored(named.filter("doc_id <> id").select("doc_id", "tag").distinct(), "copies")
+        self.keyed = docs.filter("doc_id IS NOT NULL")
+        self.nodes = without(self.keyed, copies, ["doc_id", "tag"])
+        self.sketches = stored(without(real.drop("f1", "f2"), copies, ["doc_id", "tag"]).drop("tag").distinct().withColumnRenamed("doc_id", "id"), "sketches")
+        # an id with different sets is one node: its classes are linked
+        same = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("hi")).filter("a < hi").select("doc_id", "a")
+        self.same = stored(named.join(same, "doc_id").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "same")
+        counts = scanned.filter("token IS NOT NULL").groupBy("token").agg(F.sum("cnt").alias("cnt"))
+        self.heavy = self._heaviest(counts)
+        release(classes)
+
+    def _heaviest(self, counts: DataFrame) -> DataFrame:
+        """At most HEAVY_LIMIT common shingles (token, cnt)."""
+        return stored(counts.filter(F.col("cnt") >= HEAVY_FROM).orderBy(F.desc("cnt"), "token").limit(HEAVY_LIMIT), "heavy")
+
+    def buckets(self, ids: DataFrame | None = None) -> DataFrame:
+        """Prefix shingles that two nodes or more have (of the given ids only), a row for each node."""
+        top = self.heavy.select("token", F.least(F.floor(F.log2("cnt")), F.lit(60)).alias("level")).toPandas()
         tokens = top["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(tokens)
-        heavy = spark.sparkContext.broadcast((tokens[order], top["level"].to_numpy(np.uint64)[order]))
-        keyed = docs.filter("doc_id IS NOT NULL")
-        prefixes = stored(keyed.mapInArrow(_prefixes(n, percent, heavy), _PREFIX), "prefixes")
-        self.classes = stored(self.rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "classes")
-        shared = stored(prefixes.groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo < hi").select("token"), "shared")
+        heavy = self.spark.sparkContext.broadcast((tokens[order], top["level"].to_numpy(np.uint64)[order]))
+        nodes = self.nodes if ids is None else self._of(self.nodes, ids)
+        prefixes = stored(nodes.select("doc_id", "text").mapInArrow(_prefixes(self.n, self.percent, heavy), _PREFIX), "prefixes")
+        shared = stored(prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("token"), "shared")
         near = maybe_in(prefixes, F.col("token"), key_bitmap(shared, F.col("token"))).filter("_maybe").drop("_maybe")
-        near = stored(near.join(shared, "token").distinct(), "near")
+        out = stored(near.join(shared, "token"), "buckets")
         release(prefixes, shared)
-        self.keyed = keyed
-        self.buckets = stored(near.join(self.classes.select("f1", "id"), "f1").select("token", "id", "n", "place").distinct(), "buckets")
-        release(near)
-        self.tested: DataFrame | None = None
+        return out
+
+    @staticmethod
+    def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+        few = maybe_in(docs, F.col("doc_id"), key_bitmap(ids, F.col("doc_id"))).filter("_maybe").drop("_maybe")
+        return few.join(ids, "doc_id", "left_semi")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link; pairs are remembered as tested."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        ends = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-        few = maybe_in(self.keyed, F.col("doc_id"), key_bitmap(ends, F.col("doc_id"))).filter("_maybe").drop("_maybe")
-        sets = stored(few.join(ends, "doc_id").mapInArrow(_sets(self.n), "doc_id long, set binary"), "sets")
-        left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+        """Those of the pairs (a, b) that link."""
+        p = self.percent
+        side = lambda k: self.sketches.select(F.col("id").alias("ab"[k]), F.col("n").alias(f"n{k}"), *(F.col(s).alias(f"{s}_{k}") for s in _LONGS))
+        differ = " + ".join(f"bit_count({s}_0 ^ {s}_1)" for s in _LONGS)
+        close = pairs.join(side(0), "a").join(side(1), "b").filter(f"{differ} <= n0 + n1 - 2 * (({p} * (n0 + n1) + {99 + p}) div {100 + p})")
+        close = stored(close.select("a", "b").distinct(), "close")
+        ends = stored(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "ends")
+        sets = stored(self._of(self.keyed.select("doc_id", "text"), ends).mapInArrow(_sets(self.n), "doc_id long, set binary"), "sets")
+        left = close.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
         both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        links = stored(both.mapInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
-        release(sets, ends)
+        links = stored(both.mapInArrow(_linked(p), "a long, b long").distinct(), "links")
+        release(sets, ends, close)
         return links
 
     def _sized(self, pairs: DataFrame) -> DataFrame:
@@ -247,62 +307,80 @@ class _Join:
         most = F.expr("hits + least(n1 - 1 - last1, n2 - 1 - last2)")
         return grouped.filter((F.col("hits") >= F.col("need")) & (most * (100 + p) >= (F.col("n1") + F.col("n2")) * p)).select("a", "b")
 
-    def hub_pairs(self, comps: DataFrame | None, turn: int) -> DataFrame:
-        """Each bucket's members against one member of it, unless they are joined already."""
-        b = self.labelled(comps)
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "place", "comp"))
-        hubs = stored(b.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token", "hub"), "hubs")
-        pairs = b.join(hubs, "token").filter("comp <> hub.comp")
-        flip = F.col("id") > F.col("hub.id")
-        pick = lambda x, y, name: F.when(flip, y).otherwise(x).alias(name)
-        h = {c: F.col(f"hub.{c}") for c in ("id", "n", "place")}
+    def hub_pairs(self, b: DataFrame, turn: int) -> DataFrame:
+        """Each bucket's members against one of them, the one with the fewest rare shingles; later turns take any."""
+        rare = F.shiftleft(F.col("light").cast("long"), 40) if turn == 0 else F.lit(0)
+        order = rare + F.xxhash64("id", F.lit(turn)).bitwiseAND((1 << 40) - 1)
+        hubs = b.withColumn("order", order).groupBy("token").agg(*(F.min_by(c, "order").alias(f"h_{c}") for c in ("id", "n", "place", "comp")), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        hubs = stored(hubs.filter("c0 < c1").drop("c0", "c1"), "hubs")
+        pairs = b.join(hubs, "token").filter("comp <> h_comp")
+        flip = F.col("id") > F.col("h_id")
+        pick = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)
         return self._sized(
-            pairs.select(
-                F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), pick(F.col("n"), h["n"], "n1"), pick(h["n"], F.col("n"), "n2"), pick(F.col("place"), h["place"], "p1"), pick(h["place"], F.col("place"), "p2")
-            )
+            pairs.select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"), pick("n", "h_n", "n1"), pick("h_n", "n", "n2"), pick("place", "h_place", "p1"), pick("h_place", "place", "p2"))
         )
 
-    def all_pairs(self, comps: DataFrame | None) -> DataFrame:
+    def all_pairs(self, b: DataFrame) -> DataFrame:
         """Every pair of different components that can link."""
-        b = self.labelled(comps)
-        mixed = stored(b.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token"), "mixed")
-        b = stored(b.join(mixed, "token"), "residual")
         x = b.select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("place").alias("p1"), F.col("comp").alias("c1"))
         y = b.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("comp").alias("c2"))
         near = x.join(y, (x.token == y.token) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")))
         return self._sized(near.select("a", "b", "n1", "n2", "p1", "p2"))
 
-    def labelled(self, comps: DataFrame | None) -> DataFrame:
-        if comps is None:
-            return self.buckets.withColumn("comp", F.col("id"))
-        joined = self.buckets.join(comps, "id", "left")
-        return stored(joined.withColumn("comp", F.coalesce("comp", "id")), "labelled")
+    @staticmethod
+    def left_over(b: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, float, int]:
+        """Rows of buckets that still hold two components, what comparing all their pairs would make, and their number."""
+        if comps is not None:
+            b = stored(b.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+        mixed = b.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token", "m")
+        mixed = stored(mixed, "mixed")
+        most, rows = mixed.agg(F.sum(F.col("m") * (F.col("m") - 1.0) / 2), F.sum("m")).first()
+        kept = stored(b.join(mixed, "token", "left_semi"), "residual")
+        if comps is not None:
+            release(b)
+        return kept, most or 0.0, rows or 0
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every linked pair (a, b), a < b, of different sets; a set stands for its class and is named by the smallest id."""
     join = _Join(_prepared(docs, id_col, text_col), n, percent)
-    return join.verify(join.all_pairs(None))
+    return join.verify(join.all_pairs(join.buckets().withColumn("comp", F.col("id"))))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hub_turns: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     join = _Join(_prepared(docs, id_col, text_col), n, percent)
-    links, comps = None, None
-    for turn in range(hub_turns):
-        found = join.verify(join.hub_pairs(comps, turn))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        if found.count() * 50 < comps.count():
+    links, comps = join.same, None if join.same.isEmpty() else components(join.same)
+    first = join.buckets()
+    left, most, rows = join.left_over(first.withColumn("comp", F.col("id")), comps)
+    release(first)
+    renewed = False
+    for turn in range(turns):
+        if most <= PAIRS_PER_ROW * rows:
             break
-    found = join.verify(join.all_pairs(comps))
-    if not found.isEmpty():
-        comps = components(found if links is None else links.union(found))
-    # equal sets and equal ids are one node: ids of a class point to its smallest id
-    named = join.rows.join(join.classes, ["f1", "f2", "n"], "left")
-    linked = named.join(comps, "id", "left") if comps is not None else named.withColumn("comp", F.lit(None).cast("long"))
+        links = links.union(join.verify(join.hub_pairs(left, turn)))
+        comps = components(links)
+        before, was = left, most
+        left, most, rows = join.left_over(left, comps)
+        release(before)
+        if most > PAIRS_PER_ROW * rows and most > SHRINK * was:  # hubs don't reach what is left
+            if renewed:
+                break
+            # new prefixes from the counts that the buckets really have
+            ids = stored(left.select(F.col("id").alias("doc_id")).distinct(), "ids")
+            join.heavy = join._heaviest(join.heavy.unionByName(left.groupBy("token").agg(F.count("*").alias("cnt"))).groupBy("token").agg(F.max("cnt").alias("cnt")))
+            release(left)
+            anew = join.buckets(ids)
+            left, most, rows = join.left_over(anew.withColumn("comp", F.col("id")), comps)
+            release(anew, ids)
+            renewed = True
+    if rows:
+        found = join.verify(join.all_pairs(left))
+        if not found.isEmpty():
+            comps = components(links.union(found))
+    linked = join.rows.join(comps, "id", "left") if comps is not None else join.rows.withColumn("comp", F.lit(None).cast("long"))
     return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id"))
