@@ -42,6 +42,19 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, key: str, parts: int, name: str = "step") -> DataFrame:
+    """As stored, in `parts` buckets by the key: joins on the key with frames dealt into as many parts don't shuffle it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(parts, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._stored_at = path
+    out.schema  # resolved: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of stored frames that nothing will read again: what was made of them is stored itself."""
     for df in frames:
