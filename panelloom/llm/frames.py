@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom import session
-from panelloom.session import release, shared_dir, stored  # noqa: F401  operators take them from here
+from panelloom.session import release, shared_dir, stored, stored_by  # noqa: F401  operators take them from here
 
 #: Rows of an Arrow batch to Python workers, where the session has Spark's own 10,000: whole texts, so fewer rows at once.
 BATCH_ROWS = 1000

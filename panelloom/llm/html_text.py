@@ -14,12 +14,15 @@ Runs are counted over the whole host, however many pages it has:
 2. The runs of anchors that do are sent and answered in the same way, as 64-bit hashes.
 3. Each piece cuts the runs whose bit is set. Pages of one host with equal blocks are one page to the rule.
 
-A bucket has about BUCKET_KEYS words' keys, each once a piece, so no host and no run lands in one task.
+A bucket has about BUCKET_KEYS words' keys, each once a piece, so no host and no run lands in one task. Pieces are stored in
+buckets by their number, so that the answers come to them and texts are never shuffled. Anchors are sent as 32 bits: two that
+meet by chance only send more runs.
 `covered` is the same rule for pages held in one place, by a suffix array.
 
 Nulls and edges: a null or empty html gives an empty text; a null url is a host of its own name (empty); tags cut off at the
-end of the page are dropped; a comment or raw element that never ends runs to the end; repeated rows give equal texts;
-an empty table gives an empty result.
+end of the page are dropped; a quote that is never closed ends with its tag; a comment or raw element that never ends runs to
+the end; repeated rows give equal texts and count as one page; pages of any length are read whole, in linear time; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from __future__ import annotations
 import html
 import re
 import uuid
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import ship_package, stored
+from panelloom.llm.frames import ship_package, stored_by
 from panelloom.llm.words import SPACED, chunks, mix, prefix_sums, range_hash, sliding_min, words
 
 RUN = 8
@@ -42,16 +46,20 @@ GRAM = 4
 PIECE_BYTES = 1 << 22
 PIECE_ROWS = 50_000
 BUCKET_KEYS = 1 << 22
+#: Owner of a key that a piece has on two pages or more, and buckets of pieces at most (what Spark allows).
+MANY = 65535
+MOST_PARTS = 100_000
 
-_TAG = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!?/A-Za-z][^<]*\Z")
+_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 # HTML element names by how they count here.
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object head select".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes svg head select".split())
 CHROME = frozenset("nav footer aside form menu dialog button fieldset datalist audio video canvas".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Words of class, id and role that name page furniture.
@@ -74,33 +82,81 @@ def _furniture(attrs: str, inside: bool) -> bool:
     return False
 
 
+class _Finder:
+    """Next place of a string in a page; one that isn't there any more isn't sought again, which keeps parsing linear."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.next = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        known = self.next.get(what, -2)
+        if known != -1 and known < at:
+            known = self.next[what] = self.page.find(what, at)
+        return known
+
+
+def markup(page: str):
+    """(text before, tag name with its slash or "", attributes) of each piece of markup, in page order; the last has no tag."""
+    finder = _Finder(page)
+    at = done = 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = finder.find("-->", at + 4)
+            yield page[done:at], "", ""
+            at = done = len(page) if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, at + 1)
+        if name is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = finder.find(">", at)
+                yield page[done:at], "", ""
+                at = done = len(page) if end < 0 else end + 1
+            else:
+                at += 1  # a plain less-than sign
+            continue
+        to = name.end()
+        while (m := _STOP.search(page, to)) is not None and m.group() != ">":
+            to = finder.find(m.group(), m.end()) + 1
+            if not to:  # never closed: the tag ends where it can
+                m = _STOP.search(page, end - 1) if (end := finder.find(">", name.end()) + 1) else None
+                break
+        yield page[done:at], name.group().lower(), page[name.end() : m.start()] if m else ""
+        at = done = m.end() if m else len(page)
+        if m and name.group().lower() in RAW and page[m.start() - 1] != "/":
+            if (end := re.compile(rf"</{re.escape(name.group())}\b[^>]*>", re.I).search(page, at)) is None:
+                at = done = len(page)
+            else:
+                at = done = end.end()
+    yield page[done:], "", ""
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, kind) of each block in page order; kind 0 chrome, 1 open, 2 article."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     skip: list[str] = []  # open elements from the outermost chrome element on
     depth = 0  # of article and main
-    at = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, 0 if skip else 2 if depth else 1))
-
-    while (m := _TAG.search(page, at)) is not None:
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m.group() == "<!--":
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
+                out.append((text, 0 if skip and not inline() else 2 if depth else 1))
+
+    def inline() -> bool:  # chrome inside a line: its words go, the line stays one block
+        return skip[0] not in BLOCKS and skip[0] not in CHROME
+
+    for text, name, attrs in markup(page):
+        if text and not (skip and inline()):
+            parts.append(text)
+        if not name or name in RAW:
             continue
-        name = (m.group(2) or "").lower()
-        if not name:
+        if name == "br":
+            parts.append(" ")
             continue
-        if m.group(1):
+        if name[0] == "/":
+            name = name[1:]
             if name in BLOCKS or name in CHROME:
                 flush()
             if skip and name in skip:
@@ -109,20 +165,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             elif name in ("article", "main") and depth:
                 depth -= 1
             continue
-        attrs = m.group(3)
-        if name in RAW:
-            if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if name == "br":
-            parts.append(" ")
-            continue
         if name in BLOCKS or name in CHROME:
             flush()
         if name in VOID or attrs.endswith("/"):
             continue
-        chrome = name in CHROME or name == "header" and not depth or bool(attrs) and _furniture(attrs, depth > 0)
+        chrome = name in CHROME or name in ("header", "noscript") and not depth or bool(attrs) and _furniture(attrs, depth > 0)
         if name in ("article", "main") and not chrome:
             if skip and not depth:
                 skip.clear()  # furniture that was never closed
@@ -132,8 +179,6 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if skip or chrome:
             if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or not skip:  # their end tags may be left out
                 skip.append(name)
-    if at < len(page):
-        parts.append(page[at:])
     flush()
     return out
 
@@ -218,15 +263,35 @@ class _Piece:
         self.at, self.page, self.key, self.anchor = self.at[mask], self.page[mask], self.key[mask], self.anchor[mask]
 
 
-def _answered(keys: np.ndarray, buckets: int, answers: list[dict] | None) -> np.ndarray:
-    """Whether each key's bit is set; answers have the bits of a piece's distinct keys by bucket, in ascending order."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    bits = np.zeros(len(distinct), bool)
-    bucket = distinct % np.uint64(buckets)
-    for a in answers or []:
-        mine = np.flatnonzero(bucket == np.uint64(a["bucket"]))
-        bits[mine] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=len(mine)).astype(bool)
-    return bits[back]
+class _Keys:
+    """The distinct keys of a piece in the order they are sent: by bucket, owner and key.
+
+    owner is a page's identity (its number among `pages`), or MANY where the piece has two pages or more."""
+
+    def __init__(self, p: _Piece, runs: bool, buckets: int) -> None:
+        keys, self.back = np.unique(p.key if runs else p.anchor, return_inverse=True)
+        self.pages, who = np.unique(p.identity, return_inverse=True)
+        lo, hi = np.full(len(keys), len(self.pages)), np.full(len(keys), -1)
+        np.minimum.at(lo, self.back, who[p.page])
+        np.maximum.at(hi, self.back, who[p.page])
+        owner = np.where(lo < hi, MANY, lo).astype(np.uint16)
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        self.order = np.lexsort((keys, owner, bucket))
+        self.owner, bucket = owner[self.order], bucket[self.order]
+        keys = keys[self.order]
+        self.keys = keys if runs else (keys >> np.uint64(32)).astype(np.uint32)
+        self.buckets, first = np.unique(bucket, return_index=True)
+        self.ends = np.append(first, len(keys))
+
+    def answered(self, answers: list[dict] | None) -> np.ndarray:
+        """Whether the bit of each run or anchor of the piece is set."""
+        bits = np.zeros(len(self.keys), bool)
+        place = {b: i for i, b in enumerate(self.buckets.tolist())}
+        for a in answers or []:
+            i = place[a["bucket"]]
+            mine = slice(self.ends[i], self.ends[i + 1])
+            bits[self.order[mine]] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=self.ends[i + 1] - self.ends[i]).astype(bool)
+        return bits[self.back]
 
 
 def _rows(batches):
@@ -236,41 +301,31 @@ def _rows(batches):
 
 
 def _send(buckets: int, runs: bool):
-    """Distinct anchors of each piece, or distinct runs of the answered anchors, for each bucket.
-
-    owner is a page's identity (its number among `pages`), or the number 65535 where the piece has two pages or more."""
+    """Distinct anchors of each piece, or distinct runs of the answered anchors, for each bucket."""
 
     def send(batches):
         for row in _rows(batches):
             p = _Piece(row["pages"])
             if runs:
-                p.keep(_answered(p.anchor, buckets, row["anchors"]))
-            keys, back = np.unique(p.key if runs else p.anchor, return_inverse=True)
-            same, who = np.unique(p.identity, return_inverse=True)
-            lo, hi = np.full(len(keys), len(same)), np.full(len(keys), -1)
-            np.minimum.at(lo, back, who[p.page])
-            np.maximum.at(hi, back, who[p.page])
-            owner = np.where(lo < hi, 65535, lo).astype(np.uint16)
-            bucket = keys % np.uint64(buckets)
-            for b in np.unique(bucket).tolist():
-                mine = bucket == np.uint64(b)
+                p.keep(_Keys(p, False, buckets).answered(row["anchors"]))
+            k = _Keys(p, runs, buckets)
+            for b, lo, hi in zip(k.buckets.tolist(), k.ends[:-1].tolist(), k.ends[1:].tolist()):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([row["piece"]], pa.int64()), pa.array([same.tobytes()], pa.binary()), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([owner[mine].tobytes()], pa.binary())],
-                    names=["bucket", "piece", "pages", "keys", "owner"],
+                    [pa.array([b], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (k.pages, k.keys[lo:hi], k.owner[lo:hi]))], names=["bucket", "piece", "pages", "keys", "owner"]
                 )
 
     return send
 
 
-def _answer(batches):
+def _answer(runs: bool, batches):
     """A bit for each key of a bucket that stands on two distinct pages or more; a bucket's rows come one after the other."""
     bucket, rows = None, []
 
     def flush():
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64 if runs else np.uint32) for r in rows])
         owner = [np.frombuffer(r["owner"], np.uint16) for r in rows]
         pages = np.concatenate([np.append(np.frombuffer(r["pages"], np.uint64), np.uint64(0))[np.minimum(o, len(r["pages"]) // 8)] for r, o in zip(rows, owner)])
-        many = np.concatenate(owner) == 65535
+        many = np.concatenate(owner) == MANY
         order = np.argsort(keys, kind="stable")
         ordered, pages, many = keys[order], pages[order], many[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -297,8 +352,8 @@ def _cut(buckets: int):
     def cut(batches):
         for row in _rows(batches):
             p = _Piece(row["pages"])
-            p.keep(_answered(p.anchor, buckets, row["anchors"]))
-            p.keep(_answered(p.key, buckets, row["runs"]))
+            p.keep(_Keys(p, False, buckets).answered(row["anchors"]))
+            p.keep(_Keys(p, True, buckets).answered(row["runs"]))
             total = len(p.w.hashes)
             lines = [page["text"].split("\n") if page["kinds"] else [] for page in row["pages"]]
             sizes = np.array([line.count(" ") + 1 for page in lines for line in page], np.int64)
@@ -332,21 +387,23 @@ def _cut(buckets: int):
     return cut
 
 
-def _exchange(pieces: DataFrame, buckets: int, runs: bool) -> DataFrame:
-    """For each piece the answers to its keys, by bucket."""
+def _exchange(pieces: DataFrame, buckets: int, parts: int, runs: bool) -> DataFrame:
+    """For each piece the answers to its keys, dealt as the pieces are."""
     sent = pieces.mapInArrow(_send(buckets, runs), "bucket int, piece long, pages binary, keys binary, owner binary")
-    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "piece long, bucket int, bits binary")
+    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_answer, runs), "piece long, bucket int, bits binary")
     name = "runs" if runs else "anchors"
-    return stored(answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), name)
+    gathered = answers.repartition(parts, "piece").groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    return stored_by(gathered, "piece", parts, name)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of pages: page_id, url and text (blocks of the main text, joined by line feeds)."""
     ship_package(pages.sparkSession)
-    host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[^/?#]*//([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
-    pieces = stored(rows.mapInArrow(_pieces, _PIECES), "pieces")
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[^/?#]*//([^/?#]*)", 1), F.lit("")))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    parts = min(MOST_PARTS, max(1, rows.rdd.getNumPartitions()))
+    pieces = stored_by(rows.mapInArrow(_pieces, _PIECES), "piece", parts, "pieces")
     buckets = int(pieces.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_KEYS + 1
-    with_anchors = pieces.join(_exchange(pieces, buckets, False), "piece", "left")
-    answered = with_anchors.join(_exchange(with_anchors, buckets, True), "piece", "left")
+    with_anchors = pieces.join(_exchange(pieces, buckets, parts, False).hint("shuffle_hash"), "piece", "left")
+    answered = with_anchors.join(_exchange(with_anchors, buckets, parts, True).hint("shuffle_hash"), "piece", "left")
     return answered.select("pages", "anchors", "runs").mapInArrow(_cut(buckets), "page_id long, url string, text string")
