@@ -4,42 +4,32 @@ containment verifies them.
 Words are runs outside [\x00-\x2F\x3A-\x60\x7B-\x7F] of the lower-cased text; shingles are `shingle` words, as 64-bit hashes.
 Templates are dealt into classes by their number of distinct shingles t (c = the power of two from t on). For a class,
 windows of 2c shingles start at every c-th shingle (c = 1: windows of one shingle), so an occurrence of t <= c shingles in a
-row lies in a window as a whole. A band is the minimum of the window's hashes, hashed once more with a seed; the number of bands
-follows from the smallest resemblance that a match can have, p t / (2c + (1 - p) t) with p = percent/100, so that a match is
-missed by all bands with a probability of at most `miss`. A window that agrees with a template in a band is verified: it must hold at least
-`percent` per cent of the template's distinct shingles.
-
-Templates are a stated list held by the driver (at most MAX_TEMPLATES, at least `shingle` words each); nothing else is
-collected. Nulls and edges: null or short texts have no shingles and no match; a null id is reported as it is; rows that
-repeat an id are reported together; no templates, or an empty table, give an empty result.
+row lies in a window as a whole. A band is the minimum of the window's hashes, hashed once more with the band's seed; the number
+of bands follows from the smallest resemblance that a match of the class can have, p t / (2c + (1 - p) t) with p = percent/100
+and t = c/2 + 1, so that a match is missed by all bands with a probability of at most `miss`. Windows and templates that agree
+in a band meet by an equi-join on (class, band, key) and are verified: the window must hold at least `percent` per cent of the
+template's distinct shingles.
+
+Templates are a table (license_id, text) of at most MAX_TEMPLATES rows of at most MAX_WORDS words and at least `shingle` words
+each; those bounds are checked and are what the broadcast rests on. Nothing else is collected. Nulls and edges: null or short
+texts have no shingles and no match; texts of any length are read whole; a null id is reported as it is; rows that repeat an id
+are reported together; ties are reported once, by the first window; other columns are ignored, whatever their names; no
+templates, or an empty table, give an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.licenses import TEMPLATES
+
 MAX_TEMPLATES = 2000
+MAX_WORDS = 20_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Public licence notices.
-TEMPLATES = [
-    ("mit-notice", "Released under the MIT License."),
-    ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    (
-        "mit-grant",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
-        "the following conditions:",
-    ),
-]
-
 
 def _with_shingles(df: DataFrame, text: Column, n: int) -> DataFrame:
     """df with _h, the hashes of all n-word shingles in order; fewer words give none."""
@@ -57,52 +47,38 @@ def bands_needed(resemblance: float, miss: float) -> int:
     return 1 if resemblance >= 1 else math.ceil(math.log(miss) / math.log(1 - resemblance))
 
 
-def _size_class(h: list[int]) -> int:
-    return 1 << (len(h) - 1).bit_length()
-
-
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+def license_scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """One row for each document and license found: doc_id, license_id, n_template, n_shared (largest), first_window (first shingle of it)."""
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    empty = "doc_id bigint, license_id string, n_template int, n_shared int, first_window int"
-    if not templates:
-        return spark.createDataFrame([], empty)
-    listed = _with_shingles(spark.createDataFrame(templates, "license_id string, t string"), F.col("t"), shingle).select("license_id", F.array_distinct("_h").alias("h")).collect()
-    if short := [r.license_id for r in listed if not r.h]:
-        raise ValueError(f"templates of fewer than {shingle} words: {short}")
-    rng = random.Random(shingle)
-    grids, tests, signs, banded = [], [], [], []
-    least_of: set[int] = set()  # shingles that are the least of a template in some band
-    for c in sorted({_size_class(r.h) for r in listed}):
-        mine = [r for r in listed if _size_class(r.h) == c]
-        width = 1 if c == 1 else 2 * c
-        share, t = percent / 100, min(len(r.h) for r in mine)
-        seeds = [rng.getrandbits(63) for _ in range(bands_needed(share * t / (width + (1 - share) * t) if c > 1 else 1, miss))]
-        least = [f"array_min(transform(win, x -> xxhash64(x, {s}L)))" for s in seeds]
-        # the templates' own minima, each with its shingle, by the same functions
-        mins = spark.createDataFrame([(r.license_id, list(r.h)) for r in mine], "license_id string, h array<bigint>").select(
-            "license_id", "h", F.array(*(F.expr(f"array_min(transform(h, x -> struct(xxhash64(x, {s}L) AS key, x AS shingle)))") for s in seeds)).alias("least")
-        ).collect()
-        grids.append(f"transform(sequence(0, size(_h) - 1, {c}), s -> struct({c} AS c, s AS at, slice(_h, s + 1, {width}) AS win))")
-        tests.append(f"WHEN {c} THEN " + " OR ".join(f"{m} IN ({', '.join(f'{r.least[j].key}L' for r in mins)})" for j, m in enumerate(least)).replace("-9223372036854775808L", "CAST(-9223372036854775808 AS BIGINT)"))
-        signs.append(f"WHEN {c} THEN array({', '.join(least)})")
-        least_of |= {b.shingle for r in mins for b in r.least}
-        banded += [(c, j, b.key, r.license_id, list(r.h)) for r in mins for j, b in enumerate(r.least)]
-    # outer explode: its empty rows are dropped below, while the inner form would add a filter that hashes every text once more
-    hashed = _with_shingles(base, F.col("text"), shingle).drop("text")
+    if isinstance(templates, list):
+        templates = spark.createDataFrame(templates, "license_id string, text string")
+    listed = _with_shingles(templates.select("license_id", "text"), F.col("text"), shingle).select("license_id", F.array_distinct("_h").alias("h"))
+    # one row of counts: the bounds of the broadcast
+    n, least, most = listed.agg(F.count("*"), F.min(F.size("h")), F.max(F.size("h"))).first()
+    if n > MAX_TEMPLATES or (most or 0) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates, or one of over {MAX_WORDS} words")
+    if n and not least:
+        raise ValueError(f"templates of fewer than {shingle} words")
+    share = percent / 100
+    classes = [1 << k for k in range((most or 1).bit_length() + 1) if 1 << k < 2 * (most or 1)]
+    bands = {c: 1 if c == 1 else bands_needed(share * (c // 2 + 1) / (2 * c + (1 - share) * (c // 2 + 1)), miss) for c in classes}
+    count = f"CASE c {' '.join(f'WHEN {c} THEN {b}' for c, b in bands.items())} END"
+    # the templates' own minima, each with its shingle, by the same functions; MAX_TEMPLATES rows of some dozens of bands
+    sized = listed.withColumn("c", F.expr("CAST(shiftleft(1L, CAST(ceil(log2(size(h))) AS INT)) AS INT)"))
+    banded = sized.select("license_id", "c", "h", F.posexplode(F.expr(f"transform(sequence(1, {count}), s -> array_min(transform(h, x -> struct(xxhash64(x, s) AS key, x AS shingle))))")).alias("band", "least"))
+    banded = banded.select("license_id", "c", "h", "band", "least.key", "least.shingle")
     # a band agrees only where the window holds the template's least shingle itself (equal keys under one seed are equal
     # hashes), so texts and windows without any such shingle need no bands
-    held = f"array({', '.join(f'{x}L' for x in sorted(least_of))})"
-    grid = F.expr(f"CASE WHEN arrays_overlap(_h, {held}) THEN concat({', '.join(grids)}) END")
+    held = banded.agg(F.collect_set("shingle").alias("held")).scalar()
+    # outer explode: its empty rows are dropped below, while the inner form would add a filter that hashes every text once more
+    hashed = _with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), shingle).drop("text")
+    grids = [f"transform(sequence(0, size(_h) - 1, {c}), s -> struct({c} AS c, s AS at, slice(_h, s + 1, {c if c == 1 else 2 * c}) AS win))" for c in classes]
+    grid = F.when(F.arrays_overlap("_h", held), F.expr(f"concat({', '.join(grids)})"))
     windows = hashed.select("doc_id", F.explode_outer(grid).alias("g")).select("doc_id", "g.c", "g.at", "g.win")
-    near = windows.filter(F.expr(f"arrays_overlap(win, {held})")).filter(F.expr(f"CASE c {' '.join(tests)} ELSE false END"))
-    signed = near.select("doc_id", "c", "at", "win", F.posexplode_outer(F.expr(f"CASE c {' '.join(signs)} END")).alias("band", "key"))
-    bands = spark.createDataFrame(banded, "c int, band int, key bigint, license_id string, h array<bigint>")
-    hits = signed.join(F.broadcast(bands), ["c", "band", "key"])  # at most MAX_TEMPLATES templates of some dozens of bands
+    near = windows.filter(F.arrays_overlap("win", held))
+    signed = near.select("doc_id", "c", "at", "win", F.posexplode_outer(F.expr(f"transform(sequence(1, {count}), s -> array_min(transform(win, x -> xxhash64(x, s))))")).alias("band", "key"))
+    hits = signed.join(F.broadcast(banded.drop("shingle")), ["c", "band", "key"])
     matched = hits.withColumn("n_shared", F.size(F.array_intersect("win", "h"))).filter(F.col("n_shared") * 100 >= F.size("h") * percent)
     return matched.groupBy("doc_id", "license_id", F.size("h").alias("n_template")).agg(F.max("n_shared").alias("n_shared"), F.min("at").alias("first_window"))
 

@@ -308,6 +308,9 @@ def test_warc(spark):
     raw = "<p>é</p>".encode()
     assert by[1].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode() and by[1].payload_bytes == len(raw)
     assert [(by[i].record_type, by[i].refers_to) for i in (1, 2, 3, 4, None, 9)] == [("revisit", 9), ("revisit", 9), ("revisit", 4), ("response", None), ("response", None), ("response", None)]
+    heads = [h for data in warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, run int")).collect() for _, _, h, _ in warc.records(bytes(data["data"]))]
+    assert sorted((h["X-Page-ID"], h["WARC-Type"], h.get("X-Refers-To-Page-ID")) for h in heads if h["X-Page-ID"] in ("1", "9")) == [("1", "revisit", "9"), ("9", "response", None)]
+    assert warc.capture_index(spark.createDataFrame([], "page_id long, url string, html string, run int")).count() == 0
     damaged = bytearray(warc.record(1, "http://a", b"payload"))
     with pytest.raises(Exception):
         list(warc.records(bytes(damaged[:-3])))
@@ -317,7 +320,14 @@ def test_loser_tree():
     rng = random.Random(0)
     for k in range(9):
         runs = [sorted(rng.randint(0, 30) for _ in range(rng.randint(0, 9))) for _ in range(k)]
-        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(itertools.chain(*runs))
+        assert list(warc.LoserTree(lambda x: x, runs)) == sorted(itertools.chain(*runs))
+    late, got = warc.LoserTree(lambda x: x), []
+    for run in sorted([sorted(rng.randint(b, b + 40) for _ in range(5)) for b in range(0, 300, 3)]):  # opened as the merge comes to them
+        while late.first() is not None and late.first() < run[0]:
+            got.append(late.take())
+        late.put(run)
+    got += list(late)
+    assert got == sorted(got) and len(got) == 500 and late.k <= 64
 
 
 def test_license_scan(spark):
@@ -333,7 +343,7 @@ def test_license_scan(spark):
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
     assert license_scan.license_scan(df, []).count() == 0
     with pytest.raises(ValueError):
-        license_scan.license_scan(df, [("x", "too short")])
+        license_scan.license_scan(df, [("x", "too short")]).count()
 
 
 def test_license_scan_misses(spark):
@@ -341,7 +351,7 @@ def test_license_scan_misses(spark):
     rows = []
     for _, text in license_scan.TEMPLATES:
         t = text.split()
-        for k in range(600):
+        for k in range(120):
             cut = list(t)
             if len(t) - 4 >= 8:  # one shingle of at least six less, at either end
                 cut = cut[1:] if k % 2 else cut[:-1]
@@ -353,3 +363,8 @@ def test_license_scan_misses(spark):
     want = {(r[0], r[1]) for r in con.execute(license_scan.oracle()).fetchall()}
     got = {(r.doc_id, r.license_id) for r in license_scan.license_scan(frame(spark, rows)).collect()}
     assert got <= want and len(want) >= 2000 and len(want - got) <= 1  # 1e-4 of them
+    # templates of five shingles, each damaged so that four are left, in documents of other words
+    small = [(f"t{k}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))) for k in range(600)]
+    damaged = [(k, " ".join(filler(rng.randrange(30)) + t.split()[k % 2 : 8 + k % 2] + filler(30))) for k, (_, t) in enumerate(small)]
+    found = {(r.doc_id, r.license_id) for r in license_scan.license_scan(frame(spark, damaged), spark.createDataFrame(small, "license_id string, text string")).collect()}
+    assert len(found) >= 599 and found <= {(k, f"t{k}") for k in range(600)}
