@@ -3,29 +3,34 @@ r"""Benchmark decontamination: suffix arrays over shards of the training text, b
 Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z. A window is `n` consecutive words of an item; an item of
 fewer words (not none) is one window. A document word inside any occurrence of a window is hit.
 
-A shard is a piece of a task's documents (about 1 MB of text). Its suffix array holds the suffixes that can match: those
-inside runs of bigrams that some test item has. Ranks of the first 1, 2, 4, 8, 16 ... words come from prefix doubling over
+A shard is a piece of a task's documents (256 KB of text, or one longer text). Its suffix array holds the suffixes that can
+match: those inside runs of bigrams that some test item has; it is searched for the items that have one of those bigrams. Ranks of the first 1, 2, 4, 8, 16 ... words come from prefix doubling over
 shard and test words together, until they cover a window and either tell all suffixes of the shard apart or cover the
 longest possible match; so one argsort gives the array, two binary searches give all occurrences of a test window, and comparing words from the neighbours on gives each test suffix's longest verbatim match and its place.
 
 The test items are the stated query set: they are read in blocks of at most `block_words` words, whose size bounds the
-broadcast, and each block passes over all documents.
+broadcast, and each block passes over all documents. With several blocks each pass is written before the next block is read,
+so that the driver has one block at a time.
 
 Nulls and edges: null or wordless texts and items have no words, so no hit; repeated item rows count once by id; null item
-ids are ignored; repeated documents keep a row each; empty tables give an empty, or an untouched, result.
+ids are ignored; repeated documents keep a row each; texts of any length are searched whole; of equally long matches the
+first in order is told; other columns are ignored by `contamination`, whatever their names, and kept by `decontaminate`;
+empty tables give an empty, or an untouched, result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.frames import ship_package
-from panelloom.llm.words import ALNUM, chunks, ngrams, words
+from panelloom.llm.frames import ship_package, stored
+from panelloom.llm.words import ALNUM, Words, chunks, ngrams, words
 
 #: Words of test items in one block: about 16 MB of broadcast data.
 BLOCK_WORDS = 1_000_000
@@ -45,35 +50,52 @@ class TestBlock:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        w = words(pa.array([t for _, t in items], pa.large_string()), ALNUM, lower=True)
-        self.n = n
-        self.items = np.array([i for i, _ in items], dtype=np.int64)
-        self.hashes = w.hashes
-        self.first = w.first
-        self.row_of = w.row_of
-        self.vocabulary = np.unique(w.hashes)
-        bigrams, fits = ngrams(w, 2)
-        self.bigrams = np.unique(bigrams[fits])
-        sizes = np.diff(w.first)
+    def __init__(self, items: np.ndarray, hashes: np.ndarray, first: np.ndarray, n: int) -> None:
+        self.n, self.items, self.hashes, self.first = n, items, hashes, first
+        sizes = np.diff(first)
+        self.row_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.vocabulary = np.unique(hashes)
+        bigrams, fits = ngrams(Words(np.zeros(0, np.uint8), first[:0], first[:0], hashes, first), 2)
+        at = np.flatnonzero(fits)
+        self.bigrams, number = np.unique(bigrams[at], return_inverse=True)
+        # rows of each bigram, one after the other
+        self.rows = self.row_of[at[np.argsort(number, kind="stable")]]
+        self.rows_first = np.append(0, np.cumsum(np.bincount(number, minlength=len(self.bigrams)))).astype(np.int64)
         self.shortest = int(min(n, sizes[sizes > 0].min())) if (sizes > 0).any() else n
         starts, lengths = [], []
         for row, size in enumerate(sizes.tolist()):
             if size:
                 count = max(1, size - n + 1)
-                starts.append(np.arange(w.first[row], w.first[row] + count))
+                starts.append(np.arange(first[row], first[row] + count))
                 lengths.append(np.full(count, min(n, size)))
         self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
 
+    @classmethod
+    def of(cls, items: list[tuple[int, str]], n: int) -> TestBlock:
+        w = words(pa.array([t for _, t in items], pa.large_string()), ALNUM, lower=True)
+        return cls(np.array([i for i, _ in items], dtype=np.int64), w.hashes, w.first, n)
+
+    def part(self, rows: np.ndarray) -> TestBlock:
+        """The block of these rows alone."""
+        sizes = np.diff(self.first)[rows]
+        at = np.repeat(self.first[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return TestBlock(self.items[rows], self.hashes[at], np.append(0, np.cumsum(sizes)), self.n)
+
     def find(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
         """Occurrences (word position, length, item number) in the shard, and longest matches from maximal starts."""
         none = np.zeros(0, np.int64)
         if not len(w.hashes) or not len(self.starts):
             return none, none, none, []
-        at = self._candidates(w)
+        at, rows = self._candidates(w)
         if not len(at):
             return none, none, none, []
+        if rows is not None and len(rows) < len(self.items):
+            pos, size, item, longest = self.part(rows)._search(w, at)
+            return pos, size, rows[item], [(int(rows[i]), *rest) for i, *rest in longest]
+        return self._search(w, at)
+
+    def _search(self, w, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
         vocab = self.vocabulary
         last = np.repeat(w.first[1:], np.diff(w.first))
         # one text: shard words from candidate runs, then test words; 0 separates
@@ -110,13 +132,14 @@ class TestBlock:
             item.append(self.row_of[mine[which]])
         return np.concatenate(pos), np.concatenate(size), np.concatenate(item), self._longest(joint, base, test_at, ranks[depth], array, place)
 
-    def _candidates(self, w) -> np.ndarray:
-        """Positions of words inside runs that a window of the shortest length could start in or cross."""
+    def _candidates(self, w) -> tuple[np.ndarray, np.ndarray | None]:
+        """Positions of words inside runs that a window of the shortest length could start in or cross, and the rows of the
+        items that share a bigram with those runs (None: all)."""
         if self.shortest == 1:
-            return np.flatnonzero(np.isin(w.hashes, self.vocabulary))
+            return np.flatnonzero(np.isin(w.hashes, self.vocabulary)), None
         grams, fits = ngrams(w, 2)
         if not len(grams):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), None
         slot = np.searchsorted(self.bigrams, grams)
         slot[slot == len(self.bigrams)] = 0
         good = fits & (self.bigrams[slot] == grams)
@@ -125,8 +148,12 @@ class TestBlock:
         keep = end - begin >= self.shortest - 1
         begin, count = begin[keep], end[keep] - begin[keep] + 1
         if not len(begin):
-            return np.zeros(0, np.int64)
-        return np.unique(np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            return np.zeros(0, np.int64), None
+        # bigrams of the runs kept, and their items
+        inner = np.repeat(begin, count - 1) + np.arange((count - 1).sum()) - np.repeat(np.cumsum(count - 1) - (count - 1), count - 1)
+        some = np.unique(slot[inner])
+        rows = np.concatenate([self.rows[a:b] for a, b in zip(self.rows_first[some].tolist(), self.rows_first[some + 1].tolist())])
+        return np.unique(np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)), np.unique(rows)
 
     @staticmethod
     def _pair(rank: np.ndarray, shift: int) -> np.ndarray:
@@ -217,21 +244,23 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     spark = docs.sparkSession
     ship_package(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    base = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = [TestBlock(b, n) for b in _blocks(items, block_words)]
-    if len(blocks) > 1:  # rows need a name of their own to meet again
-        base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = None
-    for block in blocks:
-        part = base.mapInArrow(_search(spark.sparkContext.broadcast(block)), _RESULT)
-        if len(blocks) > 1:
-            part = part.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("doc_id")))
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) > 1:
-        found = found.groupBy("row", "copy", "doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "longest")))
-        covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))")
-    else:
+    text = F.col(text_col)
+    base = docs.select(F.xxhash64(text).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    blocks = _blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    search = lambda block: base.mapInArrow(_search(spark.sparkContext.broadcast(TestBlock.of(block, n))), _RESULT)
+    if second is None:
+        found = search(first)
         covered = F.expr("aggregate(spans, 0L, (a, s) -> a + s.last - s.first + 1)")
+    else:
+        # rows that repeat an id and a text are told once by each pass, and are as many as before in the end
+        keys = ["row", "doc_id"]
+        passes = [stored(search(block).groupBy(*keys).agg(*(F.any_value(c).alias(c) for c in ("n_words", "spans", "items", "longest"))), "pass") for block in chain((first, second), blocks)]
+        found = reduce(DataFrame.unionByName, passes).groupBy(*keys).agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "longest")))
+        many = base.groupBy(*keys).agg(F.count("*").alias("n"))
+        same = (found["row"] == many["row"]) & found["doc_id"].eqNullSafe(many["doc_id"])
+        found = found.join(many, same).select(found["*"], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+        covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.first, s.last)))))")
     return found.select(
         "doc_id", "n_words", covered.cast("long").alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"), "longest", (F.size("spans") > 0).alias("contaminated")
     )
@@ -255,6 +284,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str
     spark = docs.sparkSession
     ship_package(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    for block in _blocks(items, block_words):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(TestBlock(block, n)), text_col), docs.schema)
+    for k, block in enumerate(_blocks(items, block_words)):
+        if k:  # one block is searched for at a time
+            docs = stored(docs, "pass")
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(TestBlock.of(block, n)), text_col), docs.schema)
     return docs

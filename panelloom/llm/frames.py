@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from panelloom import session
 from panelloom.session import release, shared_dir, stored, stored_by  # noqa: F401  operators take them from here
 
-#: Rows of an Arrow batch to Python workers, where the session has Spark's own 10,000: whole texts, so fewer rows at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch to Python workers, where the session doesn't say (Spark's own are 10,000 rows and 64 MB):
+#: whole texts, so less at once. Spark reads them when a query runs, so they stay set in the session.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 #: Bits of the semi-filter: 2**25 bits are 1,024 rows of 4 KB, 4 MB, whatever the input; that bounds the broadcast.
 FILTER_BITS = 1 << 25
@@ -18,10 +18,11 @@ _ROW_BITS = 32768
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make the package known to the executors, and batches of texts small."""
+    """Make the package known to the executors, and batches of texts small where the session leaves that to Spark."""
     session.ship_package(spark)
-    if int(spark.conf.get(_BATCH)) == 10_000:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    for name, small in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, small)
 
 
 def _bit(key: Column) -> Column:

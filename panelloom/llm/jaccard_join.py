@@ -3,7 +3,8 @@ r"""N-gram Jaccard self-join by adaptive multi-match prefixes, and the connected
 Words are [^\x20\x09-\x0D]+ after lower-casing A-Z; a document's set holds its distinct n-word shingles (fewer words: the
 whole sequence as one). Two documents link when 100 * intersection >= percent * union.
 
-1. A scan gives each document its set's size, a 128-bit fingerprint and a sketch (parities of SKETCH buckets of shingles).
+1. A scan gives each document its set's size, a 128-bit fingerprint and a sketch (parities of its shingles'
+   numbers in buckets, two to four buckets for each shingle).
    Documents with equal sets are one class, whose smallest id stands for all; only such representatives go on.
 2. Shingles that many different sets share are found from counts inside pieces of every partition, summed over all; they
    are put last in the global order of shingles, the more common the later. The list is bounded (HEAVY_LIMIT); the order
@@ -45,16 +46,13 @@ COSTLY = 64
 COUNTED = 1_000_000
 REMEMBERED = 200_000
 MOST_EXTRA = 4
-#: Bits of a sketch, in longs of 64.
-SKETCH = 512
 #: All pairs of what is left are compared once they are at most so many times its rows; at most so many turns come before.
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 64
 TURNS = 6
 #: A turn that leaves more of the pairs than this isn't worth another one.
 SHRINK = 0.7
 
-_LONGS = [f"s{k}" for k in range(SKETCH // 64)]
-_SCAN = f"doc_id long, tag long, n int, f1 long, f2 long, {', '.join(f'{s} long' for s in _LONGS)}, token long, cnt long"
+_SCAN = "doc_id long, tag long, n int, f1 long, f2 long, sketch array<long>, token long, cnt long"
 _PREFIX = "token long, id long, n int, place int, light int"
 
 
@@ -88,16 +86,20 @@ def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def _sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parities of each row's shingles in SKETCH buckets, as longs (row, long)."""
-    rows = len(first) - 1
-    bit = np.repeat(np.arange(rows), np.diff(first)) * SKETCH + (mix(hashes) >> np.uint64(20)).astype(np.int64) % SKETCH
-    odd = (np.bincount(bit, minlength=rows * SKETCH) & 1).astype(bool)
-    return np.packbits(odd.reshape(rows, SKETCH), axis=1).view(np.int64)
+def _sketches(hashes: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Parities of each row's shingles in as many buckets as the power of two from twice the set's size on, in longs of 64;
+    halves of a sketch added modulo 2 are the sketch of half the length."""
+    sizes = np.diff(first)
+    longs = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 64))).astype(np.int64) >> 6)
+    offset = np.append(0, np.cumsum(longs))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = offset[row] * 64 + ((mix(hashes) >> np.uint64(20)).astype(np.int64) & (longs[row] * 64 - 1))
+    odd = np.bincount(bit, minlength=int(offset[-1]) * 64) & 1
+    return pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(np.packbits(odd.astype(bool), bitorder="little").view(np.int64)))
 
 
 def _scan(n: int):
-    names = ["doc_id", "tag", "n", "f1", "f2", *_LONGS, "token", "cnt"]
+    names = ["doc_id", "tag", "n", "f1", "f2", "sketch", "token", "cnt"]
 
     def run(batches):
         seen: set[int] = set()
@@ -109,17 +111,14 @@ def _scan(n: int):
             some = count >= 2
             k = int(some.sum())
             empty = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, pa.nulls(k, pa.int32()), empty, empty, *[empty] * len(_LONGS), pa.array(tokens[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([empty, empty, pa.nulls(k, pa.int32()), empty, empty, pa.nulls(k, pa.list_(pa.int64())), pa.array(tokens[some].view(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
 
         for piece in chunks(batches):
             hashes, first = shingle_sets(piece.column("text"), n)
             f1, f2 = _fingerprints(hashes, first)
             sizes = np.diff(first)
             empty = pa.nulls(piece.num_rows, pa.int64())
-            sketch = _sketches(hashes, first)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("tag"), pa.array(sizes.astype(np.int32)), pa.array(f1), pa.array(f2), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), empty, empty], names=names
-            )
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tag"), pa.array(sizes.astype(np.int32)), pa.array(f1), pa.array(f2), _sketches(hashes, first), empty, empty], names=names)
             for r, f in enumerate(f1.tolist()):
                 if sizes[r] and f not in seen:
                     seen.add(f)
@@ -280,9 +279,13 @@ class _Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         p = self.percent
-        side = lambda k: self.sketches.select(F.col("id").alias("ab"[k]), F.col("n").alias(f"n{k}"), *(F.col(s).alias(f"{s}_{k}") for s in _LONGS))
-        differ = " + ".join(f"bit_count({s}_0 ^ {s}_1)" for s in _LONGS)
-        close = pairs.join(side(0), "a").join(side(1), "b").filter(f"{differ} <= n0 + n1 - 2 * (({p} * (n0 + n1) + {99 + p}) div {100 + p})")
+        side = lambda k: self.sketches.select(F.col("id").alias("ab"[k]), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        fold = "CASE WHEN size({x}) > size({y}) THEN zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (u, v) -> u ^ v) ELSE {x} END"
+        # sets of one size class or two neighbouring ones; others, which only a low percent lets through, aren't judged here
+        differ = f"aggregate(zip_with({fold.format(x='s0', y='s1')}, {fold.format(x='s1', y='s0')}, (u, v) -> bit_count(u ^ v)), 0, (u, v) -> u + coalesce(v, 0))"
+        bound = f"n0 + n1 - 2 * (({p} * (n0 + n1) + {99 + p}) div {100 + p})"
+        near = f"greatest(size(s0), size(s1)) > 2 * least(size(s0), size(s1)) OR {differ} <= {bound}"
+        close = pairs.join(side(0), "a").join(side(1), "b").filter(near)
         close = stored(close.select("a", "b").distinct(), "close")
         ends = stored(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "ends")
         sets = stored(self._of(self.keyed.select("doc_id", "text"), ends).mapInArrow(_sets(self.n), "doc_id long, set binary"), "sets")
@@ -360,7 +363,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     release(first)
     renewed = False
     for turn in range(turns):
-        if most <= PAIRS_PER_ROW * rows:
+        if turn and most <= PAIRS_PER_ROW * rows:
             break
         links = links.union(join.verify(join.hub_pairs(left, turn)))
         comps = components(links)

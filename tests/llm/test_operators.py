@@ -127,9 +127,10 @@ def test_contamination(spark, block_words):
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
     items = [(1, text(14)), (2, text(25)), (10, "Short Item here"), (3, None), (4, "..."), (2, text(12))]
-    rows = [(0, None), (1, ""), (2, items[0][1].upper()), (3, f"{text(9)}, {items[1][1]} {text(400)}"), (4, "a short item HERE b"), (5, text(2000)), (5, text(5))]
+    rows = [(0, None), (1, ""), (2, items[0][1].upper()), (3, f"{text(9)}, {items[1][1]} {text(400)}"), (4, "a short item HERE b"), (5, text(2000)), (5, text(5)), (6, items[0][1]), (6, items[0][1]), (6, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = contamination(frame(spark, rows), bench, block_words=block_words).collect()
+    wanted = []
     for i, t in rows:
         w, _ = windows(t)
         hit, ids = set(), set()
@@ -139,7 +140,10 @@ def test_contamination(spark, block_words):
                     if tuple(w[k : k + len(win)]) == win:
                         hit.update(range(k, k + len(win)))
                         ids.add(item)
-        assert any(r.doc_id == i and (r.n_words, r.n_hit, r.items, r.contaminated) == (len(w), len(hit), sorted(ids), bool(hit)) for r in got)
+        wanted.append((i, len(w), len(hit), sorted(ids), bool(hit)))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.items, r.contaminated) for r in got) == sorted(wanted)
+    assert contamination(frame(spark, []), bench, block_words=block_words).count() == 0
+    assert contamination(frame(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
     kept = decontaminate(frame(spark, rows), bench, block_words=block_words)
     assert kept.columns == ["doc_id", "text", "words", "seg"] and kept.count() == sum(not r.contaminated for r in got)
     longest = [m for r in got if r.doc_id == 3 for m in r.longest]
