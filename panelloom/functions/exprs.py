@@ -42,11 +42,11 @@ DECAYS = {
     "inverse": lambda h, k: 1 / h.cast("double"),
     "inverse_square": lambda h, k: 1 / (h * h).cast("double"),
     "logarithmic": lambda h, k: 1 / (1 + F.ln(h.cast("double"))),
-    "linear": lambda h, k: F.greatest(F.lit(0.0), 1 - (h - 1) / F.lit(float(k))),
+    "linear": lambda h, k: F.greatest(F.lit(0.0), 1 - (h - 1) / k.cast("double")),
 }
 
 
-def decay(name: str, h: Column, k: int) -> Column:
+def decay(name: str, h: Column, k: int | Column) -> Column:
     if name not in DECAYS:
         raise ValueError(f"unknown decay {name!r}: one of {sorted(DECAYS)}")
-    return DECAYS[name](h, k)
+    return DECAYS[name](h, F.lit(k) if isinstance(k, int) else k)

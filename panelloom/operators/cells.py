@@ -69,6 +69,29 @@ def resample(df: DataFrame, factor: int) -> DataFrame:
     )
 
 
+RESAMPLES = ("mean", "sum", "nearest")
+
+
+def resample_to(df: DataFrame, freq: str, how: str = "nearest") -> DataFrame:
+    """(node, ts, value, observed) on a coarser calendar grid such as '6 hours': the mean or sum of a bucket, or its cell that is
+    nearest to the bucket's begin; a bucket is observed if all its cells are."""
+    if how not in RESAMPLES:
+        raise ValueError(f"unknown aggregation {how!r}: one of {RESAMPLES}")
+    bucket = F.window("ts", freq).start
+    value = {"mean": F.avg("value"), "sum": F.sum("value"), "nearest": F.min_by("value", "ts")}[how]
+    return df.groupBy("node", bucket.alias("ts")).agg(value.alias("value"), F.bool_and("observed").alias("observed"))
+
+
+def nan_mean(value: Column) -> Column:
+    """Mean of what is there; 0 where nothing is."""
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def nan_std(value: Column) -> Column:
+    """Sample deviation of what is there; 0 where fewer than two are."""
+    return F.coalesce(F.stddev_samp(value), F.lit(0.0))
+
+
 def standard_scaler(df: DataFrame, by: list[str], where: Column | None = None) -> DataFrame:
     """bias and scale of each group: mean and population deviation."""
     rows = df if where is None else df.filter(where)
@@ -92,7 +115,9 @@ def unscale(df: DataFrame) -> DataFrame:
 
 
 def whiten(df: DataFrame, keep: float = 0.95, seed: int = 42) -> DataFrame:
-    """Keep a share of the observed cells for training, by a hash of the cell; the others become evaluation cells."""
-    u = F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    """Keep a share of the observed cells for training, by an arithmetic hash of the cell (nodes are numbers); the others become
+    evaluation cells."""
+    first = (F.col("t") * 69069 + F.col("node") * 1103515245 + seed * 12345) % 2147483647
+    u = (first * 48271) % 2147483647 / 2147483647.0
     kept = F.col("observed") & (u < keep)
     return df.withColumn("kept", kept).withColumn("eval", (F.col("observed") | F.col("eval")) & ~kept)

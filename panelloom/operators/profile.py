@@ -12,9 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import stored
+from panelloom.session import release, ship_package, stored
 
 EPS = 1e-8
+#: Rounds of label or path loops at most: labels halve their way each round, paths grow by a step.
+LABEL_ROUNDS = 64
+HOP_ROUNDS = 10_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -72,25 +75,59 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached; labels fall along edges and jump, until none changes."""
     links = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "links")
     labels = stored(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")), "labels")
-    while True:
+    for _ in range(LABEL_ROUNDS):
         near = links.join(labels, links.dst == labels.node).groupBy("src").agg(F.min("component").alias("near"))
         low = labels.join(near, labels.node == near.src).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         low = stored(low, "low")
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = stored(low.join(jump, "component").select("node", "was", F.col("next").alias("component")), "labels")
+        before, labels = labels, stored(low.join(jump, "component").select("node", "was", F.col("next").alias("component")), "labels")
+        release(low, before)
         if labels.filter("component <> was").isEmpty():
+            release(links)
             return labels.select("node", "component")
+    raise RuntimeError(f"components did not settle in {LABEL_ROUNDS} rounds")
 
 
 def component_profile(edges: DataFrame, comps: DataFrame | None = None) -> DataFrame:
-    """Per component: rank by size, nodes, share of all nodes, edges, density."""
+    """Per component: rank by size, nodes, share of all nodes, edges, density, mean clustering."""
     comps = components(edges) if comps is None else comps
     size = comps.groupBy("component").agg(F.count("*").alias("nodes"))
     inner = undirected(edges).join(comps, F.col("src") == F.col("node")).groupBy("component").agg(F.count("*").alias("edges"))
     total = comps.agg(F.count("*").alias("total"))
-    rows = size.join(inner, "component", "left").join(F.broadcast(total)).withColumn("edges", F.coalesce("edges", F.lit(0)))
-    rank = F.row_number().over(Window.orderBy(F.desc("nodes"), "component")) - 1
-    return rows.select("component", rank.alias("component_id"), "nodes", (F.col("nodes") / F.col("total")).alias("share"), "edges", F.try_divide(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)).alias("density"))
+    local = clustering(edges).join(comps, "node").groupBy("component").agg(F.avg("clustering").alias("clustering"))
+    rows = size.join(inner, "component", "left").join(local, "component", "left").join(F.broadcast(total)).withColumn("edges", F.coalesce("edges", F.lit(0)))
+    # ranks: components of more nodes come first, counted by size; within a size by their number
+    sizes = size.groupBy("nodes").agg(F.count("*").alias("_c"))  # a row for each size that occurs
+    before = sizes.select("nodes", F.coalesce(F.sum("_c").over(Window.orderBy(F.desc("nodes")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = (F.col("_before") + F.row_number().over(Window.partitionBy("nodes").orderBy("component")) - 1).cast("int")
+    return rows.join(before, "nodes").select("component", rank.alias("component_id"), "nodes", (F.col("nodes") / F.col("total")).alias("share"), "edges", F.try_divide(2 * F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)).alias("density"), "clustering")
+
+
+def degree_centrality(edges: DataFrame) -> DataFrame:
+    """(node, centrality): degree over the number of other nodes."""
+    d = degrees(edges)
+    n = d.agg(F.count("*").alias("n"))  # one row
+    return d.join(F.broadcast(n)).select("node", F.try_divide(F.col("degree"), F.col("n") - 1).alias("centrality"))
+
+
+def record(edges: DataFrame, paths: DataFrame | None = None, comps: DataFrame | None = None) -> DataFrame:
+    """One row: what is known of a graph, and its components as an array, ready for a JSON file.
+
+    Counts, density, spreads of degrees, strengths and weights, clustering, triangles, component sizes, and the paths' figures."""
+    comps = components(edges) if comps is None else comps
+    paths = hop_paths(edges) if paths is None else paths
+    d = stored(degrees(edges), "degrees")
+    local = clustering(edges).agg(F.avg("clustering").alias("binary_clustering_coefficient"), F.avg("weighted").alias("clustering_coefficient"))
+    parts = stored(component_profile(edges, comps), "parts")
+    sizes = parts.agg(
+        F.count("*").alias("component_count"), F.max("nodes").alias("largest_component_size"), F.max("share").alias("connectivity_ratio"), F.avg("nodes").alias("component_size_mean"), F.median("nodes").alias("component_size_median"),
+        F.stddev_pop("nodes").alias("component_size_std"), F.min("nodes").alias("component_size_min"), F.sort_array(F.collect_list(F.struct("component_id", "component", "nodes", "share", "edges", "density", "clustering"))).alias("component_metrics"),
+    )
+    out = counts(edges)
+    rows = [spread(d, "degree", "degree"), spread(d, "strength", "strength"), spread(undirected(edges), "weight", "weight"), local, triangles(edges).agg(F.count("*").alias("triangle_count")), sizes, path_profile(paths)]
+    for one in rows:  # a row each
+        out = out.join(F.broadcast(one))
+    return out.withColumn("is_weighted", (F.col("min_weight") != 1.0) | (F.col("max_weight") != 1.0))
 
 
 def hop_paths(edges: DataFrame) -> DataFrame:
@@ -99,14 +136,16 @@ def hop_paths(edges: DataFrame) -> DataFrame:
     The result is quadratic in the size of a component, which all-pairs paths are."""
     step = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
     done = stored(step.withColumn("hops", F.lit(1)), "paths")
-    front, hops = done, 1
-    while True:
-        hops += 1
+    front = done
+    for hops in range(2, HOP_ROUNDS):
         nxt = front.select("src", F.col("dst").alias("m")).join(step.select(F.col("src").alias("m"), "dst"), "m").filter("src <> dst").select("src", "dst").distinct()
-        front = stored(nxt.join(done, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "front")
+        old, front = front, stored(nxt.join(done, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "front")
         if front.isEmpty():
+            release(step)
             return done
-        done = stored(done.unionByName(front), "paths")
+        before, done = done, stored(done.unionByName(front), "paths")
+        release(before, *([old] if old is not before else []))
+    raise RuntimeError(f"paths of more than {HOP_ROUNDS} hops")
 
 
 def path_profile(paths: DataFrame) -> DataFrame:
@@ -191,8 +230,8 @@ def _betweenness(a: np.ndarray) -> np.ndarray:
     return out / max(1, (n - 1) * (n - 2))
 
 
-def _communities(a: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Greedy local moves by modularity gain in node order, until none helps: one level of community search."""
+def _moves(a: np.ndarray, rounds: int) -> np.ndarray:
+    """Greedy moves of single nodes by modularity gain in node order, until none helps."""
     n, total = len(a), a.sum()
     part, strength = np.arange(n), a.sum(axis=1)
     for _ in range(rounds):
@@ -205,17 +244,53 @@ def _communities(a: np.ndarray, rounds: int = 20) -> np.ndarray:
                 part[v], moved = best, True
         if not moved:
             break
-    return part
+    return np.unique(part, return_inverse=True)[1]
+
+
+def _communities(a: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Communities by modularity: moves of nodes, then of the communities found as nodes of a smaller graph, until none merge."""
+    part = np.arange(len(a))
+    while True:
+        found = _moves(a, rounds)
+        part = found[part]
+        if found.max(initial=-1) + 1 == len(a):
+            return part
+        ones = np.eye(found.max() + 1)[found]
+        a = ones.T @ a @ ones
+
+
+def _whole_components(edges: DataFrame, comps: DataFrame, limit: int) -> DataFrame:
+    """(component, src, dst, weight) of the components of at most `limit` nodes: larger ones aren't sent anywhere."""
+    small = comps.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).select("component")
+    return edges.join(comps.join(small, "component", "left_semi"), F.col("src") == F.col("node")).select("component", "src", "dst", "weight")
+
+
+def communities(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> DataFrame:
+    """(node, community): the smallest node of its community, by greedy modularity in several levels; components of more than
+    `limit` nodes keep their component as their community."""
+    ship_package(edges.sparkSession)
+    kind = dict(comps.dtypes)["node"]
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, a = _matrix(pdf)
+        part = _communities(a)
+        least = pd.Series(ids).groupby(part).min()
+        return pd.DataFrame({"node": ids, "community": least.to_numpy()[part]})
+
+    found = _whole_components(edges, comps, limit).groupBy("component").applyInPandas(find, f"node {kind}, community {kind}")
+    return comps.join(found, "node", "left").select("node", F.coalesce("community", "component").alias("community"))
 
 
 def dense_profile(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> DataFrame:
-    """Per component of at most `limit` nodes: spectrum of the normalised Laplacian, weighted paths, betweenness, communities."""
+    """Per component of at most `limit` nodes: spectrum of the normalised Laplacian, weighted paths, betweenness, communities.
+    Larger components get NULLs: their matrix isn't built."""
+    ship_package(edges.sparkSession)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, a = _matrix(pdf)
         n = len(ids)
-        row = {"component": pdf["component"].iloc[0], "nodes": n, "gap": None, "largest": None, "energy": None, "weighted_path": None, "weighted_diameter": None, "betweenness": None, "communities": None}
-        if n <= limit:
+        row = {"component": pdf["component"].iloc[0]}
+        if n:
             d = a.sum(axis=1)
             root = 1 / np.sqrt(np.where(d > 0, d, 1))
             values = np.linalg.eigvalsh(np.eye(n) - root[:, None] * a * root[None, :])
@@ -236,18 +311,20 @@ def dense_profile(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> Data
         return pd.DataFrame([row])
 
     kind = dict(comps.dtypes)["component"]
-    schema = f"component {kind}, nodes long, gap double, largest double, energy double, weighted_path double, weighted_diameter double, betweenness double, communities long"
-    named = edges.join(comps, edges.src == comps.node).select("component", "src", "dst", "weight")
-    return named.groupBy("component").applyInPandas(measure, schema)
+    schema = f"component {kind}, gap double, largest double, energy double, weighted_path double, weighted_diameter double, betweenness double, communities long"
+    measured = _whole_components(edges, comps, limit).groupBy("component").applyInPandas(measure, schema)
+    return comps.groupBy("component").agg(F.count("*").alias("nodes")).join(measured, "component", "left")
 
 
 def eigenvector_centrality(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """Power iteration of A + 1 from the all-one vector, scaled to a largest entry of 1: a join and an aggregate a round."""
-    x = stored(nodes_of(edges).withColumn("x", F.lit(1.0)), "eigen")
+    x = kept = stored(nodes_of(edges).withColumn("x", F.lit(1.0)), "eigen")
     for _ in range(rounds):
         y = edges.join(x, edges.src == x.node).groupBy("dst").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
         nxt = x.join(y, x.node == y.dst, "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x"))
-        nxt = stored(nxt, "eigen")
+        before, nxt = kept, stored(nxt, "eigen")
+        release(before)
+        kept = nxt
         x = nxt.join(F.broadcast(nxt.agg(F.max("x").alias("top")))).select("node", (F.col("x") / F.col("top")).alias("x"))
     return x
 

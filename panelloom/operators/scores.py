@@ -22,6 +22,7 @@ def error_columns(p: Column, t: Column) -> dict[str, Column]:
         "wape": F.try_divide(absolute, F.sum(t)),
         "nmae": F.try_divide(F.avg(F.abs(e)), F.max(t) - F.min(t)),
         "nrmse": F.try_divide(F.sqrt(F.avg(e * e)), F.max(t) - F.min(t)),
+        "nrmse_2": F.sqrt(F.try_divide(F.sum(e * e), F.sum(t * t))),
         "r2": 1 - F.try_divide(F.sum(e * e), F.sum(t * t) - F.sum(t) * F.try_divide(F.sum(t), F.count(t))),
     }
 

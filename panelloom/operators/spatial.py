@@ -25,7 +25,8 @@ def registered(table: dict, name: str):
 
 
 def both_ways(pairs: DataFrame, value: str) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), value))
+    """Each pair in both directions, from one pass over the pairs."""
+    return pairs.selectExpr(f"inline(array(named_struct('src', src, 'dst', dst, '{value}', {value}), named_struct('src', dst, 'dst', src, '{value}', {value})))")
 
 
 @registered(DISTANCES, "masked_euclidean")
@@ -103,6 +104,11 @@ def _finish(edges: DataFrame, symmetric: bool, binary: bool) -> DataFrame:
     return out.withColumn("weight", F.lit(1.0)) if binary else out
 
 
+#: Affinities that take distances of 0 and more only, and distances that may be negative.
+NON_NEGATIVE_ONLY = {"gaussian"}
+MAY_BE_NEGATIVE: set[str] = set()
+
+
 def resolve_k(k: float, nodes: int) -> int:
     """An absolute k, or a share of the other nodes rounded half to even."""
     if isinstance(k, int):
@@ -113,16 +119,46 @@ def resolve_k(k: float, nodes: int) -> int:
 
 
 @registered(SPARSIFIERS, "topk")
-def top_k(edges: DataFrame, k: int = 3, symmetric: bool = True, binary: bool = False) -> DataFrame:
-    """The k heaviest edges of each node (ties by neighbour), then the larger of both directions."""
+def top_k(edges: DataFrame, k: float = 3, symmetric: bool = True, binary: bool = False, loops: bool = False, nodes: int | None = None) -> DataFrame:
+    """The k heaviest edges of each node (ties by neighbour), then the larger of both directions.
+
+    A k of type float is a share of the other nodes, rounded half to even; `nodes` is their number, by default that of the
+    edges' nodes. loops: edges of a node with itself stay, beside the k."""
+    if isinstance(k, float):
+        k = resolve_k(k, edges.select("src").union(edges.select("dst")).distinct().count() if nodes is None else nodes)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    kept = edges.filter("src <> dst AND weight > 0").withColumn("_r", rank).filter(F.col("_r") <= k)
+    kept = edges.filter("src <> dst AND weight > 0").withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    if loops:
+        kept = kept.unionByName(edges.filter("src = dst").select(*kept.columns))
     return _finish(kept, symmetric, binary)
 
 
+def geographic_knn(affinity: DataFrame, k: float, weighted: bool = True, loops: bool = False, symmetric: bool = False) -> DataFrame:
+    """Each station's k most similar ones by the geographic affinity; with loops it is one of its own k."""
+    edges = affinity.select("src", "dst", "weight")
+    if loops:
+        own = edges.select("src").union(edges.select("dst")).distinct()
+        edges = edges.unionByName(own.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight")))
+    if isinstance(k, float):
+        n = edges.select("src").distinct().count()
+        k = min(max(round(k * (n if loops else n - 1)), 0), n)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return _finish(edges.withColumn("_r", rank).filter(F.col("_r") <= k), symmetric, not weighted)
+
+
+def dense(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, row): each node's weights to all nodes in order of their ids, 0 where there is no edge."""
+    ids = nodes.agg(F.sort_array(F.collect_set("node")).alias("ids"))  # one row: a row of the matrix has as many entries
+    near = edges.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("near"))
+    rows = nodes.select(F.col("node").alias("src")).distinct().join(near, "src", "left").join(F.broadcast(ids))
+    return rows.select("src", F.transform("ids", lambda i: F.coalesce(F.try_element_at("near", i), F.lit(0.0))).alias("row"))
+
+
 @registered(SPARSIFIERS, "threshold")
-def threshold(edges: DataFrame, tau: float = 0.5, symmetric: bool = True, binary: bool = True) -> DataFrame:
-    return _finish(edges.filter((F.col("weight") >= tau) & (F.col("src") != F.col("dst"))), symmetric, binary)
+def threshold(edges: DataFrame, tau: float = 0.5, symmetric: bool = True, binary: bool = True, loops: bool = False) -> DataFrame:
+    """Edges of a weight of tau or more; loops: also those of a node with itself."""
+    kept = edges.filter(F.col("weight") >= tau)
+    return _finish(kept if loops else kept.filter("src <> dst"), symmetric, binary)
 
 
 def knn_graph(distances: DataFrame, k: int) -> DataFrame:
@@ -153,6 +189,8 @@ class SimilarityGraph:
         for name, table in ((distance, DISTANCES), (affinity, AFFINITIES), (sparsifier, SPARSIFIERS)):
             if name not in table:
                 raise ValueError(f"unknown part {name!r}: one of {sorted(table)}")
+        if affinity in NON_NEGATIVE_ONLY and distance in MAY_BE_NEGATIVE:
+            raise ValueError(f"{affinity} takes no negative distances, which {distance} may give")
         self.names, self.kwargs = (distance, affinity, sparsifier), kwargs
 
     def to_dict(self) -> dict:

@@ -20,6 +20,18 @@ def members(samples_: DataFrame) -> DataFrame:
     return samples_.select("sample", F.explode(F.sequence("first_t", "last_t")).alias("t"))
 
 
+def horizon_members(samples_: DataFrame, horizon: int) -> DataFrame:
+    """(sample, t) of every step of the windows and of the `horizon` steps after them."""
+    after = samples_.select("sample", F.explode(F.sequence(F.col("last_t") + 1, F.col("last_t") + horizon)).alias("t"))
+    return members(samples_).unionByName(after).distinct()
+
+
+def in_sample(samples_: DataFrame, test: tuple[int, ...] = (3, 6, 9, 12)) -> DataFrame:
+    """(sample, phase): all samples are for training; those of the test and validation months are told once more."""
+    told = month_split(samples_, test).filter("phase IN ('test', 'val')").select("sample", "phase")
+    return samples_.select("sample", F.lit("train").alias("phase")).unionByName(told)
+
+
 def month_split(samples_: DataFrame, test: tuple[int, ...] = (3, 6, 9, 12)) -> DataFrame:
     """phase of each sample: test or val if both ends lie in those months (val: the month before each test month), train
     if both lie outside of the two, else NULL (straddlers)."""
@@ -45,7 +57,10 @@ def out_of_sample(samples_: DataFrame, window: int, test: tuple[int, ...] = (3,
     tests = rows.filter("is_test").withColumn("new", F.coalesce(F.col("sample") - F.lag("sample").over(order) > 1, F.lit(True)))
     block = rows.agg(F.floor(F.floor(F.count_if("is_rest") * share) / 4).cast("long").alias("size"))
     heads = tests.filter("new").select((F.col("sample") - window).alias("stop")).join(F.broadcast(block))
-    val = heads.select(F.explode(F.sequence(F.col("stop") - F.col("size"), F.col("stop") - 1)).alias("sample")).distinct()
+    # blocks that begin before the first sample go on at the last one
+    total = rows.agg(F.count("*").alias("total"))
+    val = heads.filter("size > 0").select(F.explode(F.sequence(F.col("stop") - F.col("size"), F.col("stop") - 1)).alias("sample"))
+    val = val.join(F.broadcast(total)).select(F.expr("pmod(sample, total)").alias("sample")).distinct()
     val = rows.filter("is_rest").join(val, "sample", "left_semi").drop("is_test", "is_rest")
     rest = rows.filter("is_rest").drop("is_test", "is_rest")
     hit = overlapping(rest, val)
@@ -54,8 +69,19 @@ def out_of_sample(samples_: DataFrame, window: int, test: tuple[int, ...] = (3,
     return mark(rows.filter("is_test"), "test").unionByName(mark(val, "val")).unionByName(mark(train, "train"))
 
 
-def month_shift_mask(df: DataFrame, months: int = 1) -> DataFrame:
-    """eval: observed here, missing `months` later at the same day and time (clamped to the month's end, first one counts)."""
-    later = df.select("node", F.expr(f"ts - make_ym_interval(0, {months})").alias("ts"), F.col("observed").alias("later_observed"), F.col("t").alias("later_t"))
-    first = later.groupBy("node", "ts").agg(F.min_by("later_observed", "later_t").alias("later_observed"))
-    return df.join(first, ["node", "ts"], "left").withColumn("eval", F.col("observed") & ~F.coalesce("later_observed", F.lit(True))).drop("later_observed")
+def month_shift_mask(df: DataFrame, infer_from: str = "next") -> DataFrame:
+    """eval: observed here, missing in the next (or previous) month at the same day and time.
+
+    Months are those of the panel, in order; the month after the last one is the first. Days that a month doesn't have fall on
+    its last day, where the first to come counts; cells without a counterpart aren't for evaluation."""
+    if infer_from not in ("next", "previous"):
+        raise ValueError("infer_from must be 'next' or 'previous'")
+    offset = 1 if infer_from == "next" else -1
+    month = (F.year("ts") * 12 + F.month("ts") - 1).cast("int")
+    grid = df.select(month.alias("m")).distinct().agg(F.array_sort(F.collect_set("m")).alias("g"))  # one row, a number a month
+    # month i takes over the rows of the month beside it: shifted by as many months as lie between the two
+    moves = grid.select(F.posexplode("g").alias("i", "to"), "g").select("to", F.expr(f"element_at(g, CAST(pmod(i + {offset}, size(g)) AS INT) + 1)").alias("m"))
+    later = df.select("node", "t", "ts", F.col("observed").alias("later"), month.alias("m")).join(F.broadcast(moves), "m")
+    shifted = later.select("node", F.expr("ts + make_ym_interval(0, to - m)").alias("ts"), "t", "later")
+    first = shifted.groupBy("node", "ts").agg(F.min_by("later", "t").alias("later"))
+    return df.join(first, ["node", "ts"], "left").withColumn("eval", F.col("observed") & ~F.coalesce("later", F.lit(True))).drop("later")

@@ -14,14 +14,20 @@ from panelloom.functions import exprs
 from panelloom.session import ship_package
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge of each series in both directions, from one pass over the edges."""
+    return edges.selectExpr("inline(array(named_struct('series', series, 'src', src, 'dst', dst, 'weight', weight), named_struct('series', series, 'src', dst, 'dst', src, 'weight', weight)))")
+
+
 def khop(steps: DataFrame, k: int, decay: str = "exponential", undirected: bool = False) -> DataFrame:
-    """Edges t -> t + h for 1 <= h <= k inside each series; no join, as steps are dense."""
+    """Edges t -> t + h for 1 <= h <= k inside each series; no join, as steps are dense. A linear decay falls over as many hops
+    as the series has, if k is more."""
     if k < 0:
         raise ValueError("k must not be negative")
     last = F.max("t").over(Window.partitionBy("series"))
     hops = steps.withColumn("last", last).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(k))) if k else F.lit(None).cast("int"))
-    edges = hops.filter(F.col("t") + F.col("h") <= F.col("last")).select("series", F.col("t").alias("src"), (F.col("t") + F.col("h")).alias("dst"), exprs.decay(decay, F.col("h"), max(k, 1)).alias("weight"))
-    return edges.unionByName(edges.select("series", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")) if undirected else edges
+    edges = hops.filter(F.col("t") + F.col("h") <= F.col("last")).select("series", F.col("t").alias("src"), (F.col("t") + F.col("h")).alias("dst"), exprs.decay(decay, F.col("h"), F.least(F.lit(max(k, 1)), F.greatest("last", F.lit(1)))).alias("weight"))
+    return both_ways(edges) if undirected else edges
 
 
 def _ahead(series: DataFrame, limit: int) -> DataFrame:
@@ -80,7 +86,7 @@ def visibility(series: DataFrame, kind: str = "natural", limit: int | None = Non
         raise ValueError("kind must be 'natural' or 'horizontal'")
     if limit is None:
         seers = _unlimited(series, kind)
-        return seers.unionByName(seers.select("series", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")) if undirected else seers
+        return both_ways(seers) if undirected else seers
     rows = _ahead(series, limit)
     if kind == "horizontal":
         seen = "forall(slice(ahead, 1, j - 1), v -> v < x AND v < ahead[j - 1])"
@@ -94,7 +100,7 @@ def visibility(series: DataFrame, kind: str = "natural", limit: int | None = Non
         .select("series", "t", "x", "ahead", F.explode("js").alias("j"))
         .select("series", F.col("t").alias("src"), (F.col("t") + F.col("j")).alias("dst"), F.expr(weight).alias("weight"))
     )
-    return seers.unionByName(seers.select("series", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")) if undirected else seers
+    return both_ways(seers) if undirected else seers
 
 
 def chunked_visibility(series: DataFrame, window: int, stride: int, kind: str = "horizontal", limit: int | None = None) -> DataFrame:
@@ -116,22 +122,57 @@ def takens(series: DataFrame, dim: int, lag: int = 1) -> DataFrame:
     return series.withColumn("v", F.array(*parts)).withColumn("_end", F.lead("t", (dim - 1) * lag).over(by_time)).filter("_end IS NOT NULL").select("series", "t", "v")
 
 
-def neighbours(points: DataFrame, radius: float, theiler: int = -1) -> DataFrame:
+def takens_by(series: DataFrame, dims: DataFrame, lag: int = 1, most: int = 15) -> DataFrame:
+    """Time-delay embedding (series, t, v) in each series' own dimension: dims has (series, dim), 1 <= dim <= most."""
+    by_time = Window.partitionBy("series").orderBy("t")
+    ahead = [F.lead("x", k * lag).over(by_time) for k in range(most)]
+    rows = series.withColumn("v", F.array(*ahead)).join(dims, "series").withColumn("v", F.slice("v", F.lit(1), F.col("dim").cast("int")))
+    return rows.filter(F.element_at("v", -1).isNotNull()).select("series", "t", "v")
+
+
+def radii(points: DataFrame, share: float) -> DataFrame:
+    """(series, radius): share of the diagonal of each series' bounding box, whatever its dimension."""
+    spans = points.select("series", F.posexplode("v").alias("k", "c")).groupBy("series", "k").agg((F.max("c") - F.min("c")).alias("s"))
+    return spans.groupBy("series").agg((share * F.sqrt(F.sum(F.col("s") * F.col("s")))).alias("radius"))
+
+
+def percentile_radii(points: DataFrame, share: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
+    """(series, radius): r_low + share * (r_high - r_low) of the Euclidean distances above 0 of all pairs of a series' points.
+
+    All pairs of time points are what is measured; they meet by an equi-key in blocks of points and go into counts of distinct
+    distances, which the percentiles are taken from."""
+    block = F.floor(F.col("t") / 512)
+    last = points.groupBy("series").agg(F.floor(F.max("t") / 512).alias("last"))
+    one = points.join(last, "series").select("series", F.col("t").alias("t1"), F.col("v").alias("v1"), block.alias("b1"), F.explode(F.sequence(block, "last")).alias("b2"))
+    two = points.select("series", F.col("t").alias("t2"), F.col("v").alias("v2"), block.alias("b2"))
+    pairs = one.join(two, ["series", "b2"]).filter("t1 < t2").select("series", exprs.euclidean(F.col("v1"), F.col("v2")).alias("d")).filter("d > 0")
+    ends = pairs.groupBy("series").agg(F.percentile("d", [low / 100, high / 100]).alias("p"))
+    return ends.select("series", (F.col("p")[0] + share * (F.col("p")[1] - F.col("p")[0])).alias("radius"))
+
+
+def neighbours(points: DataFrame, radius: float | DataFrame, theiler: int = -1, euclidean: bool = False, inclusive: bool = False) -> DataFrame:
     """Pairs src < dst of one series with Chebyshev distance < radius and more than `theiler` steps apart.
 
+    radius: a number, or (series, radius). euclidean: by that distance; inclusive: also pairs right at the radius.
+
     A grid join: cells of the first and last coordinate of width `radius`; a point meets the points of the 3 x 3 cells
     around it by an equi-join, and the exact distance is checked then."""
-    if radius <= 0:
+    if isinstance(radius, DataFrame):
+        points = points.join(radius.select("series", F.col("radius").alias("_r")), "series").filter("_r > 0")
+    elif radius <= 0:
         raise ValueError("radius must be positive")
-    cell = lambda c: F.floor(c / radius)
+    else:
+        points = points.withColumn("_r", F.lit(float(radius)))
+    cell = lambda c: F.floor(c / F.col("_r"))
     rows = points.withColumns({"c0": cell(F.element_at("v", 1)), "c1": cell(F.element_at("v", -1))})
-    one = rows.select("series", F.col("t").alias("src"), F.col("v").alias("v1"), "c0", "c1")
+    one = rows.select("series", F.col("t").alias("src"), F.col("v").alias("v1"), "c0", "c1", "_r")
     two = (
         rows.select("series", F.col("t").alias("dst"), F.col("v").alias("v2"), F.explode(F.expr("sequence(c0 - 1, c0 + 1)")).alias("c0"), "c1")
         .select("series", "dst", "v2", "c0", F.explode(F.expr("sequence(c1 - 1, c1 + 1)")).alias("c1"))
     )
     near = one.join(two, ["series", "c0", "c1"]).filter((F.col("src") < F.col("dst")) & (F.col("dst") - F.col("src") > theiler))
-    return near.filter(exprs.chebyshev(F.col("v1"), F.col("v2")) < radius).select("series", "src", "dst")
+    d = (exprs.euclidean if euclidean else exprs.chebyshev)(F.col("v1"), F.col("v2"))
+    return near.filter(d <= F.col("_r") if inclusive else d < F.col("_r")).select("series", "src", "dst")
 
 
 def diameter(points: DataFrame, dim: int) -> DataFrame:
@@ -140,10 +181,31 @@ def diameter(points: DataFrame, dim: int) -> DataFrame:
     return points.groupBy("series").agg(F.sqrt(sum(spans[1:], spans[0])).alias("diameter"))
 
 
-def recurrence(series: DataFrame, radius: float = 0.1, dim: int = 2, lag: int = 1, theiler: int = -1, self_loops: bool = False) -> DataFrame:
-    """Recurrence edges (series, src, dst, weight 1): close points of the embedding, by an absolute radius."""
-    points = takens(series, dim, lag)
-    edges = neighbours(points, radius, theiler).withColumn("weight", F.lit(1.0))
+#: Dimension where none can be estimated, and what a radius is measured in.
+FALLBACK_DIM = 2
+SCALES = ("absolute", "diameter", "percentile")
+
+
+def dimensions(series: DataFrame, lag: int = 1, by_length: bool = False) -> DataFrame:
+    """(series, dim): Cao's estimate, where there is none 2, or by the length (a tenth of it, from 3 to 10)."""
+    n = series.groupBy("series").agg(F.count("*").alias("n"))
+    other = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.col("n") / 10))) if by_length else F.lit(FALLBACK_DIM)
+    return n.join(cao_dimension(series, lag), "series", "left").select("series", F.coalesce("dim", other).cast("int").alias("dim"))
+
+
+def recurrence(
+    series: DataFrame, radius: float = 0.1, dim: int | None = 2, lag: int = 1, theiler: int = -1, self_loops: bool = False, scale: str = "absolute", low: float = 0.0, high: float = 100.0
+) -> DataFrame:
+    """Recurrence edges (series, src, dst, weight 1): close points of the embedding.
+
+    dim None: each series' own, as estimated. scale: the radius is absolute; or a share of the diagonal of the points' bounding
+    box; or a share of the way between two percentiles of their Euclidean distances, which then decide the edges as well."""
+    if scale not in SCALES:
+        raise ValueError(f"unknown scale {scale!r}: one of {SCALES}")
+    points = takens(series, dim, lag) if dim else takens_by(series, dimensions(series, lag, scale == "percentile"), lag)
+    if scale != "absolute":
+        radius = radii(points, radius) if scale == "diameter" else percentile_radii(points, radius, low, high)
+    edges = neighbours(points, radius, theiler, scale == "percentile", scale == "percentile").withColumn("weight", F.lit(1.0))
     if self_loops:
         edges = edges.unionByName(points.select("series", F.col("t").alias("src"), F.col("t").alias("dst"), F.lit(1.0).alias("weight")))
     return edges
@@ -175,44 +237,53 @@ def quantile_graph(series: DataFrame, bins: int, loops: bool = False) -> DataFra
     return out if loops else out.filter("src <> dst")
 
 
-def cao_dimension(series: DataFrame, lag: int = 1, max_dim: int = 15, threshold: float = 0.95, change: float = 0.10) -> DataFrame:
-    """Embedding dimension of each series by Cao's ratios E1(d) = E(d + 1) / E(d): the first d from 2 on with E1 >= threshold
-    and a relative change below `change`. A grouped function, as each series needs its own nearest-neighbour searches.
-    Neighbours are searched in blocks of points, so that memory stays linear in the series' length."""
-
-    def mean_stretch(x: np.ndarray, d: int) -> float:
-        m = len(x) - d * lag
-        if m < 3:
-            return float("nan")
-        now = np.stack([x[k * lag : k * lag + m] for k in range(d)])
-        more = x[d * lag : d * lag + m]
-        ratios = []
-        for at in range(0, m, 256):
-            dist = np.abs(now[:, at : at + 256, None] - now[:, None, :]).max(axis=0)
-            rows = np.arange(dist.shape[0])
-            dist[rows, at + rows] = np.inf
+def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15) -> DataFrame:
+    """(series, dim, e, e_star): Cao's E(d), the mean stretch of nearest neighbours from d to d + 1 dimensions, and E*(d), their
+    mean distance in the coordinate that is new, for d = 1 ... max_dim. Series are scaled to a deviation of 1.
+
+    Points are dealt into blocks of QUERIES; a block meets its whole series by an equi-key, one block a task at a time."""
+    ship_package(series.sparkSession)
+    stats = series.groupBy("series").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.max("t").alias("_last"))
+    scaled = series.join(stats, "series").select("series", F.col("t").cast("long").alias("t"), F.try_divide(F.col("x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("x"), "_last")
+    points = scaled.select("series", "t", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / QUERIES))).alias("block"))
+    key = dict(series.dtypes)["series"]
+
+    def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["x"].to_numpy(float)
+        at, out = int(pdf["block"].iloc[0]) * QUERIES, []
+        for d in range(1, max_dim + 1):
+            m = len(x) - d * lag
+            mine = np.arange(at, min(at + QUERIES, m))
+            if m < 3 or not len(mine):
+                continue
+            dist = np.zeros((len(mine), m))
+            for k in range(d):
+                now = x[k * lag : k * lag + m]
+                np.maximum(dist, np.abs(now[mine, None] - now[None, :]), out=dist)
+            dist[np.arange(len(mine)), mine] = np.inf
             best = dist.argmin(axis=1)
-            near = dist[rows, best]
+            near, more = dist[np.arange(len(mine)), best], np.abs(x[d * lag :][mine] - x[d * lag :][best])
             ok = near >= 1e-15
-            ratios.append(np.maximum(near, np.abs(more[at + rows] - more[best]))[ok] / near[ok])
-        joined = np.concatenate(ratios)
-        return float(joined.mean()) if len(joined) else float("nan")
+            out.append((d, int(ok.sum()), float((np.maximum(near, more)[ok] / near[ok]).sum()), len(mine), float(more.sum())))
+        return pd.DataFrame([(pdf["series"].iloc[0], *r) for r in out], columns=["series", "dim", "n", "sum", "all", "new"])
 
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["x"].to_numpy(float)
-        sd = x.std()
-        x = (x - x.mean()) / (sd if sd > 0 else 1.0)
-        e = [mean_stretch(x, d) for d in range(1, max_dim + 1)]
-        e1 = [b / a if a and np.isfinite(a) and np.isfinite(b) else float("nan") for a, b in zip(e, e[1:])]
-        found = None
-        for d in range(2, len(e1)):
-            if e1[d - 1] >= threshold and abs(e1[d] - e1[d - 1]) / e1[d - 1] < change:
-                found = d
-                break
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "dim": pd.array([found], dtype="Int64")})
-
-    kind = dict(series.dtypes)["series"]
-    return series.groupBy("series").applyInPandas(estimate, f"series {kind}, dim long")
+    parts = points.groupBy("series", "block").applyInPandas(stretch, f"series {key}, dim int, n long, sum double, all long, new double")
+    return parts.groupBy("series", "dim").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("e"), F.try_divide(F.sum("new"), F.sum("all")).alias("e_star"))
+
+
+#: Points of a series whose neighbours one task seeks at a time.
+QUERIES = 256
+
+
+def cao_dimension(series: DataFrame, lag: int = 1, max_dim: int = 15, threshold: float = 0.95, change: float = 0.10) -> DataFrame:
+    """Embedding dimension of each series by Cao's ratios E1(d) = E(d + 1) / E(d): the first d from 2 to max_dim - 2 with
+    E1 >= threshold and a relative change to E1(d + 1) below `change`; NULL where there is none."""
+    order = Window.partitionBy("series").orderBy("dim")
+    ratios = cao_ratios(series, lag, max_dim).withColumn("e1", F.try_divide(F.lead("e").over(order), F.col("e")))
+    ratios = ratios.withColumn("e2", F.lead("e1").over(order))
+    good = F.col("dim").between(2, max_dim - 2) & (F.col("e1") >= threshold) & (F.abs(F.col("e2") - F.col("e1")) / F.col("e1") < change)
+    found = ratios.groupBy("series").agg(F.min(F.when(good, F.col("dim"))).cast("long").alias("dim"))
+    return series.select("series").distinct().join(found, "series", "left")
 
 
 TECHNIQUES = {

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.functions import exprs
-from panelloom.operators import cells, profile, propagate, scores, spatial, split, temporal
+from panelloom.operators import cells, profile, propagate, scores, spatial, split, temporal, vectors
 from panelloom.plans.ctes import sql
+from panelloom.session import stored
 from panelloom.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,7 +160,6 @@ def scaler_parameters(spark, sf):
 
 @query("whiten_random")
 def whiten_random(spark, sf):
-    """Rows only: the hash that deals the cells is Spark's."""
     return cells.whiten(panels.hourly(spark, sf)).groupBy("node").agg(F.count_if("kept").alias("kept"), F.count_if("eval").alias("held_out"))
 
 
@@ -181,10 +181,10 @@ def month_split(spark, sf):
     return split.month_split(_samples(spark, sf)).select("sample", "phase")
 
 
-@query("sample_overlap", "smp", "SELECT DISTINCT a.sample FROM smp a JOIN smp b ON b.first_t <= a.last_t AND a.first_t <= b.last_t WHERE a.sample % 2 = 0 AND month(b.start_ts) = 3 AND month(b.end_ts) = 3")
+@query("sample_overlap", "smp", "SELECT DISTINCT a.sample FROM smp a JOIN smp b ON b.first_t <= a.last_t AND a.first_t <= b.last_t WHERE a.sample % 2 = 0 AND month(b.start_ts) = 3 AND month(b.end_ts) = 4")
 def sample_overlap(spark, sf):
     s = _samples(spark, sf)
-    return split.overlapping(s.filter("sample % 2 = 0"), s.filter("month(start_ts) = 3 AND month(end_ts) = 3"))
+    return split.overlapping(s.filter("sample % 2 = 0"), s.filter("month(start_ts) = 3 AND month(end_ts) = 4"))
 
 
 @query(
@@ -194,7 +194,8 @@ def sample_overlap(spark, sf):
   FROM (SELECT DISTINCT t, ts FROM daily) a JOIN (SELECT DISTINCT t, ts FROM daily) b ON b.t = a.t + 6),
 sz AS (SELECT CAST(floor(floor(count(*) FILTER (rst) * 0.1) / 4) AS BIGINT) AS size FROM s7),
 hd AS (SELECT sample - 7 AS stop FROM (SELECT sample, sample - lag(sample) OVER (ORDER BY sample) AS gap FROM s7 WHERE tst) WHERE gap IS NULL OR gap > 1),
-val AS (SELECT s7.* FROM s7 WHERE rst AND EXISTS (SELECT 1 FROM hd, sz WHERE s7.sample BETWEEN stop - size AND stop - 1))
+vi AS (SELECT DISTINCT ((s % n) + n) % n AS sample FROM (SELECT unnest(range(stop - size, stop)) AS s FROM hd, sz), (SELECT count(*) AS n FROM s7)),
+val AS (SELECT s7.* FROM s7 SEMI JOIN vi ON vi.sample = s7.sample WHERE rst)
 SELECT sample, 'test' AS phase FROM s7 WHERE tst UNION ALL SELECT sample, 'val' FROM val
 UNION ALL SELECT sample, 'train' FROM s7 WHERE rst AND NOT EXISTS (SELECT 1 FROM val v WHERE v.first_t <= s7.last_t AND s7.first_t <= v.last_t)""",
 )
@@ -205,7 +206,8 @@ def out_of_sample_split(spark, sf):
 @query(
     "month_shift_mask",
     "daily",
-    ", l AS (SELECT node, ts - INTERVAL 1 MONTH AS ts, arg_min(observed, t) AS later FROM daily GROUP BY 1, 2) SELECT d.node, d.t, d.observed AND NOT coalesce(l.later, true) AS eval FROM daily d LEFT JOIN l ON l.node = d.node AND l.ts = d.ts",
+    ", mo AS (SELECT DISTINCT year(ts) * 12 + month(ts) - 1 AS m FROM daily), gm AS (SELECT m AS dest, coalesce(lead(m) OVER (ORDER BY m), min(m) OVER ()) AS m FROM mo), "
+    "l AS (SELECT node, ts + to_months(CAST(dest - gm.m AS INTEGER)) AS ts, arg_min(observed, t) AS later FROM daily JOIN gm ON gm.m = year(ts) * 12 + month(ts) - 1 GROUP BY 1, 2) SELECT d.node, d.t, d.observed AND NOT coalesce(l.later, true) AS eval FROM daily d LEFT JOIN l ON l.node = d.node AND l.ts = d.ts",
 )
 def month_shift_mask(spark, sf):
     return split.month_shift_mask(panels.daily_orders(spark, sf)).select("node", "t", "eval")
@@ -238,8 +240,7 @@ def correlation_distance(spark, sf):
 def _vector_query(metric: str, form: str):
     @query(f"{metric}_neighbours", "vec", f", pr AS (SELECT a.id AS dst, b.id AS src, round({form}, 9) AS d FROM vec a, vec b WHERE a.id <> b.id) SELECT src, dst, round(d, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS rank FROM pr) WHERE rank <= 5")
     def knn(spark, sf):
-        d = spatial.vector_distances(panels.vectors(spark, sf), metric).withColumn("d", F.round("d", 9))
-        return spatial.knn_graph(d, 5).select("src", "dst", r6("d", "d"), "rank")
+        return vectors.knn(panels.vectors(spark, sf), 5, metric, digits=9).select("src", "dst", r6("d", "d"), "rank")
 
 
 _vector_query("euclidean", "list_distance(a.v, b.v)")
@@ -253,7 +254,7 @@ _vector_query("chebyshev", "list_max(list_transform(list_zip(a.v, b.v), lambda z
     ", pr AS (SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.id < b.id), r AS (SELECT min(d) + 0.1 * (max(d) - min(d)) AS r FROM pr) SELECT src, dst, round(d, 6) AS d FROM pr, r WHERE d <= r",
 )
 def radius_graph(spark, sf):
-    return rounded(spatial.radius_graph(spatial.vector_distances(panels.vectors(spark, sf)), 0.1), "d")
+    return rounded(vectors.radius_graph(panels.vectors(spark, sf), 0.1), "d")
 
 
 @query("gaussian_affinity", "aff", "SELECT src, dst, round(weight, 6) AS weight FROM aff")
@@ -293,10 +294,15 @@ def similarity_graph(spark, sf):
     return rounded(_graph(spark, sf), "weight")
 
 
-@query("threshold_graph", "aff", "SELECT src, dst, 1.0::DOUBLE AS weight FROM aff WHERE round(weight, 9) >= 0.9")
+_TAU = "(SELECT quantile_disc(round(weight, 9), 0.9) FROM aff)"
+
+
+@query("threshold_graph", "aff", f"SELECT src, dst, 1.0::DOUBLE AS weight FROM aff WHERE round(weight, 9) >= {_TAU}")
 def threshold_graph(spark, sf):
-    weights = spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9))
-    return spatial.threshold(weights, 0.9)
+    """The heaviest tenth of the affinities."""
+    weights = stored(spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9)), "affinity")
+    tau = weights.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY weight)")).first()[0]
+    return spatial.threshold(weights, tau)
 
 
 @query("symmetrize", "aff", "SELECT src, dst, round(max(weight), 6) AS weight FROM (SELECT src, dst, weight FROM aff WHERE src < dst UNION ALL SELECT dst, src, weight FROM aff WHERE src < dst) GROUP BY 1, 2")
@@ -309,7 +315,7 @@ def complete_graph(spark, sf):
     return spatial.complete_graph(panels.stations(spark, sf))
 
 
-@query("edge_set_overlap", "graph", ", tg AS (SELECT src, dst FROM aff WHERE round(weight, 9) >= 0.9) SELECT count(g.src) AS left, count(t.src) AS right, count(*) FILTER (g.src IS NOT NULL AND t.src IS NOT NULL) AS both, count(*) AS either, "
+@query("edge_set_overlap", "graph", f", tg AS (SELECT src, dst FROM aff WHERE round(weight, 9) >= {_TAU}) SELECT count(g.src) AS left, count(t.src) AS right, count(*) FILTER (g.src IS NOT NULL AND t.src IS NOT NULL) AS both, count(*) AS either, "
     "count(*) FILTER (g.src IS NOT NULL AND t.src IS NOT NULL) / nullif(count(*), 0) AS jaccard FROM graph g FULL JOIN tg t ON g.src = t.src AND g.dst = t.dst")
 def edge_set_overlap(spark, sf):
     return profile.edge_sets(_graph(spark, sf), threshold_graph(spark, sf))
@@ -506,7 +512,7 @@ def _scored(spark, sf):
     + "SELECT count(*) AS n, round(avg(abs(p - v)), 6) AS mae, round(avg((p - v) * (p - v)), 6) AS mse, round(sqrt(avg((p - v) * (p - v))), 6) AS rmse, round(avg(CASE WHEN v <> 0 THEN abs((p - v) / v) END), 6) AS mape, "
     "round(CASE WHEN sum(v) > 1e-6 THEN sum(abs(p - v)) / sum(v) ELSE sum(abs(p - v)) END, 6) AS mre, round(avg(abs(p - v) / (abs(v) + 1e-6)), 6) AS mre2, "
     "round(avg(CASE WHEN abs(p) + abs(v) > 1e-6 THEN 2 * abs(p - v) / (abs(p) + abs(v) + 1e-6) ELSE 0 END), 6) AS smape, round(sum(abs(p - v)) / sum(v), 6) AS wape, round(avg(abs(p - v)) / (max(v) - min(v)), 6) AS nmae, "
-    "round(sqrt(avg((p - v) * (p - v))) / (max(v) - min(v)), 6) AS nrmse, round(1 - sum((p - v) * (p - v)) / (sum(v * v) - sum(v) * sum(v) / count(v)), 6) AS r2 FROM sc",
+    "round(sqrt(avg((p - v) * (p - v))) / (max(v) - min(v)), 6) AS nrmse, round(sqrt(sum((p - v) * (p - v)) / sum(v * v)), 6) AS nrmse_2, round(1 - sum((p - v) * (p - v)) / (sum(v * v) - sum(v) * sum(v) / count(v)), 6) AS r2 FROM sc",
 )
 def metrics_pointwise(spark, sf):
     out = scores.errors(_scored(spark, sf))
@@ -607,12 +613,14 @@ ORACLE["components"] = _recursive("SELECT node, component FROM comp")
 
 @query("component_profile")
 def component_profile(spark, sf):
-    return rounded(profile.component_profile(_graph(spark, sf)), "share", "density")
+    return rounded(profile.component_profile(_graph(spark, sf)), "share", "density", "clustering")
 
 
 ORACLE["component_profile"] = _recursive(
-    ", sz AS (SELECT component, count(*) AS nodes FROM comp GROUP BY 1), ed AS (SELECT component, count(*) AS edges FROM und JOIN comp ON comp.node = und.src GROUP BY 1) SELECT sz.component, CAST(row_number() OVER (ORDER BY nodes DESC, sz.component) - 1 AS INT) AS component_id, nodes, "
-    "round(nodes / (SELECT sum(nodes) FROM sz), 6) AS share, edges, round(2 * edges / (nodes * (nodes - 1)), 6) AS density FROM sz JOIN ed ON ed.component = sz.component"
+    ", sz AS (SELECT component, count(*) AS nodes FROM comp GROUP BY 1), ed AS (SELECT component, count(*) AS edges FROM und JOIN comp ON comp.node = und.src GROUP BY 1), "
+    "dg AS (SELECT src AS node, count(*) AS degree FROM graph GROUP BY 1), tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM und x JOIN und y ON y.src = x.dst JOIN und z ON z.src = x.src AND z.dst = y.dst), tn AS (SELECT node, count(*) AS n FROM (SELECT unnest([a, b, c]) AS node FROM tri) GROUP BY 1), "
+    "cl AS (SELECT component, avg(CASE WHEN degree > 1 THEN coalesce(2 * n / (degree * (degree - 1)), 0) ELSE 0 END) AS clustering FROM dg JOIN comp ON comp.node = dg.node LEFT JOIN tn ON tn.node = dg.node GROUP BY 1) SELECT sz.component, CAST(row_number() OVER (ORDER BY nodes DESC, sz.component) - 1 AS INT) AS component_id, nodes, "
+    "round(nodes / (SELECT sum(nodes) FROM sz), 6) AS share, edges, round(2 * edges / (nodes * (nodes - 1)), 6) AS density, round(clustering, 6) AS clustering FROM sz JOIN ed ON ed.component = sz.component JOIN cl ON cl.component = sz.component"
 )
 
 _HOPS = "hp AS (SELECT src, dst, 1 AS hops FROM graph UNION SELECT h.src, g.dst, h.hops + 1 FROM hp h JOIN graph g ON g.src = h.dst WHERE h.hops < 36), sh AS (SELECT src, dst, min(hops) AS hops FROM hp WHERE src <> dst GROUP BY 1, 2)"
@@ -677,14 +685,12 @@ def dense_profile(spark, sf):
 
 @query("eigenvector_centrality")
 def eigenvector_centrality(spark, sf):
-    """Rows only: an iteration."""
     return rounded(profile.eigenvector_centrality(_graph(spark, sf)), "x")
 
 
 @query("small_world")
 def small_world(spark, sf):
-    """Rows only: a ratio of iterated path lengths."""
-    return profile.small_world(_graph(spark, sf))
+    return rounded(profile.small_world(_graph(spark, sf)), "c", "avg_path", "c_random", "path_random", "sigma")
 
 
 # Series generators
@@ -697,5 +703,4 @@ def sine_series(spark, sf):
 
 @query("logistic_series")
 def logistic_series(spark, sf):
-    """Rows only: a chaotic recurrence, whose digits depend on the order of operations."""
     return panels.logistic(spark, 60)

@@ -96,6 +96,27 @@ def arrays_to_long(samples: DataFrame, column: str, window: int | None = None) -
     return by_step.select("sample", "t", F.posexplode("nodes").alias("node", "value"))
 
 
+def noise(t: Column, seed: int = 1) -> Column:
+    """Uniform in -1 ... 1, by two steps of a multiplicative generator from t."""
+    return ((t + seed) * 48271 % 2147483647 * 69621 % 2147483647) / 2147483647.0 * 2 - 1
+
+
+def recurrent(spark: SparkSession, kind: str, n: int) -> DataFrame:
+    """Test series (t, x) whose steps build on the one before: random_walk, ar1 or lorenz (a noisy approach to a fixed point)."""
+    u = lambda i: noise(i.cast("long"))
+    forms = {
+        "random_walk": (u(F.lit(0)), lambda x, i: x + u(i)),
+        "ar1": (u(F.lit(0)), lambda x, i: F.lit(0.7) * x + F.lit(0.5) * u(i)),
+        "lorenz": (F.lit(0.1), lambda x, i: x + F.lit(0.1) * (F.lit(10.0) * (F.lit(0.5) - x) + F.lit(0.1) * u(i))),
+    }
+    if kind not in forms:
+        raise ValueError(f"unknown series {kind!r}: one of {sorted(forms)}")
+    first, step = forms[kind]
+    steps = F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>")
+    grown = F.aggregate(steps, F.array(first), lambda seen, i: F.concat(seen, F.array(step(F.element_at(seen, -1), i))))
+    return spark.range(1).select(F.posexplode(grown).alias("t", "x")).withColumn("t", F.col("t").cast("long"))
+
+
 def closed_form(spark: SparkSession, kind: str, n: int, amplitude: float = 1.0, frequency: float = 0.1) -> DataFrame:
     """Test series (t, x) by formula: sine, linear, constant or multi_frequency."""
     t = F.col("t").cast("double")
@@ -103,6 +124,8 @@ def closed_form(spark: SparkSession, kind: str, n: int, amplitude: float = 1.0,
         "sine": amplitude * F.sin(2 * F.pi() * frequency * t),
         "linear": amplitude * t,
         "constant": F.lit(float(amplitude)),
+        "random": amplitude * noise(F.col("t")),
+        "noisy_sine": amplitude * F.sin(2 * F.pi() * frequency * t) + 0.1 * noise(F.col("t")),
         "multi_frequency": F.sin(2 * F.pi() * frequency * t) + 0.5 * F.sin(6 * F.pi() * frequency * t),
     }
     if kind not in forms:
