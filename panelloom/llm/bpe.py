@@ -6,7 +6,9 @@ are compared, so strangers never pass. Tier two: the others start as a linked li
 lowest rank (leftmost of equals) to merge until no pair has a rank: n log n however long the pre-token.
 
 Nulls and edges: a null text is empty and gives no ids; ids of a null array decode to no bytes; every byte is a token, so
-any text can be encoded; special tokens' strings are ordinary text. Other columns stay as they are.
+any text can be encoded; special tokens' strings are ordinary text; pairs of equal rank merge from the left; texts of any
+length are encoded whole; repeated rows get equal ids; an empty table gives an empty result. Other columns stay as they are, but
+for one that is named like the output, which takes its place.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ import base64
 import heapq
 import re
 import unicodedata
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
+from panelloom.llm import frames
 from panelloom.llm.frames import ship_package
 from panelloom.llm.words import _BYTE_VALUES, chunks, mix, prefix_sums, range_hash
 
@@ -189,7 +192,7 @@ class Encoder:
         return list(chain.from_iterable(map(self.memory.__getitem__, tokens)))
 
 
-def _encode(shared, column: str, out: str):
+def _encode(shared, column: str, out: str, kept: list[str]):
     def run(batches):
         encoder: Encoder = shared.value
         for piece in chunks(batches, column):
@@ -199,12 +202,12 @@ def _encode(shared, column: str, out: str):
                 values.append(np.array(ids, dtype=np.int32))
                 sizes.append(len(ids))
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, out])
+            yield frames.batch(piece, kept, **{out: ids})
 
     return run
 
 
-def _decode(shared, column: str, out: str):
+def _decode(shared, column: str, out: str, kept: list[str]):
     def run(batches):
         tokens: pa.Array = shared.value
         for whole in batches:
@@ -220,23 +223,16 @@ def _decode(shared, column: str, out: str):
                 offsets = ends[counts] if len(joined) else np.zeros(len(ids) + 1, np.int64)
                 data = joined.buffers()[2]
                 decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data if data is not None else pa.py_buffer(b"")])
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, out])
+                yield frames.batch(batch, kept, **{out: decoded})
 
     return run
 
 
-def _schema(df: DataFrame, name: str, kind: str) -> StructType:
-    if name in df.columns:
-        raise ValueError(f"there is a column {name} already")
-    extra = StructType.fromDDL(f"`{name}` {kind}")
-    return StructType([*df.schema.fields, *extra.fields])
-
-
 def bpe_encode(df: DataFrame, vocab: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """df with an array of ids of each whole text. vocab: path of a .tiktoken file that the driver reads."""
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Encoder(load_ranks(vocab), pattern))
-    return df.mapInArrow(_encode(shared, text_col, out), _schema(df, out, "array<int>"))
+    return frames.with_columns(df, partial(_encode, shared, text_col, out), f"`{out}` array<int>")
 
 
 def bpe_decode(df: DataFrame, vocab: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -247,4 +243,4 @@ def bpe_decode(df: DataFrame, vocab: str, ids_col: str = "ids", out: str = "deco
     for token, rank in ranks.items():
         tokens[rank] = token
     shared = df.sparkSession.sparkContext.broadcast(pa.array(tokens, pa.binary()))
-    return df.mapInArrow(_decode(shared, ids_col, out), _schema(df, out, "binary"))
+    return frames.with_columns(df, partial(_decode, shared, ids_col, out), f"`{out}` binary")

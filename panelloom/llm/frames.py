@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelloom import session
 from panelloom.session import release, shared_dir, stored, stored_by  # noqa: F401  operators take them from here
@@ -58,3 +60,19 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     split = maybe_in(df, F.xxhash64(*keys), key_bitmap(gone, F.xxhash64(*keys)))
     sure, others = split.filter("NOT _maybe").drop("_maybe"), split.filter("_maybe").drop("_maybe")
     return sure.unionByName(others.join(gone, keys, "left_anti"))
+
+
+def with_columns(df: DataFrame, make, ddl: str) -> DataFrame:
+    """df with the columns of ddl, made by the Arrow mapper make(kept): kept are df's columns to pass on.
+
+    One rule for clashing names: a new column takes the place of df's columns of that name, whatever their case; the mapper
+    still reads them. Columns are told apart as Spark does, so df must not have one name twice."""
+    new = StructType.fromDDL(ddl)
+    taken = {f.name.lower() for f in new.fields}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    return df.mapInArrow(make(kept), StructType([*(df.schema[c] for c in kept), *new.fields]))
+
+
+def batch(piece: pa.RecordBatch, kept: list[str], **new: pa.Array) -> pa.RecordBatch:
+    """The kept columns of a piece and new ones."""
+    return pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *new.values()], names=[*kept, *new])

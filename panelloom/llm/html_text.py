@@ -169,7 +169,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             flush()
         if name in VOID or attrs.endswith("/"):
             continue
-        chrome = name in CHROME or name in ("header", "noscript") and not depth or bool(attrs) and _furniture(attrs, depth > 0)
+        chrome = name in CHROME or name in ("header", "noscript") and not depth or bool(attrs) and _furniture(attrs, depth > 0 or name in ("article", "main"))
         if name in ("article", "main") and not chrome:
             if skip and not depth:
                 skip.clear()  # furniture that was never closed

@@ -4,25 +4,27 @@ The network reads a text's UTF-8 bytes in stretches of at most STRETCH bytes; al
 byte gets a label distribution from a forward and a backward gated recurrent layer. A document's probabilities are the mean
 of the distributions at its letters' bytes; the likeliest language is predicted, and its probability is the score.
 
-Training is backpropagation through time with Adam, on the driver, from a bounded sample: `sample` labelled rows by hash of
-the id, `pieces` pieces of each. Gates use x / (1 + |x|), scaled to 0..1 where a gate needs that, in place of the
+Training is backpropagation through time with Adam, on the driver, from a bounded sample: about `sample` labelled rows by hash of
+the id, as many of each language as there are (of at most MOST_LANGUAGES), `pieces` pieces of each row. Gates use x / (1 + |x|), scaled to 0..1 where a gate needs that, in place of the
 exponential forms: the same network with cheaper curves.
 
 Nulls and edges: a null text, or one without any letter, is `und` with score 0; no labelled row at all gives `und` for
-every row; null labels are never learned from; repeated rows get equal predictions; other columns stay as they are.
+every row; null labels are never learned from, and of an id's several rows the first in order; of equal probabilities the
+first language in order is predicted; texts of any length are read whole; repeated rows get equal predictions; an empty table
+gives an empty result. Other columns stay as they are, but for those that are named like an output, which takes their place.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from panelloom.llm.bpe import _schema
+from panelloom.llm import frames
 from panelloom.llm.frames import ship_package
 from panelloom.llm.words import chunks, text_buffers
 
@@ -31,6 +33,7 @@ STRETCH = 128
 HIDDEN = 16
 _BLOCK = 2048
 UNKNOWN = "und"
+MOST_LANGUAGES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 _IN_LETTERS = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 
@@ -189,7 +192,7 @@ def stretches(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     return seq, begin
 
 
-def _predict(shared, column: str, labels: bool):
+def _predict(shared, column: str, labels: bool, kept: list[str]):
     def run(batches):
         net: ByteGRU | None = shared.value
         for piece in chunks(batches, column):
@@ -220,13 +223,11 @@ def _predict(shared, column: str, labels: bool):
                 known = net is not None and text is not None and _LETTER.search(text) is not None and weight[r] > 0
                 lang.append(net.classes[best[r]] if known else UNKNOWN)
                 score.append(float(min(1.0, prob[r, best[r]])) if known else 0.0)
-            out = [*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            names = [*piece.schema.names, "lang_pred", "score"]
+            out = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
             if labels:
                 raw = marks.tobytes()
-                out.append(pa.array([raw[off[r] : off[r + 1]] for r in range(rows)], pa.binary()))
-                names.append("byte_labels")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                out["byte_labels"] = pa.array([raw[off[r] : off[r + 1]] for r in range(rows)], pa.binary())
+            yield frames.batch(piece, kept, **out)
 
     return run
 
@@ -234,14 +235,19 @@ def _predict(shared, column: str, labels: bool):
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000, pieces: int = 2, piece_chars: int = 400, **fit) -> ByteGRU | None:
     """A network from `sample` rows by hash of the id, `pieces` pieces of `piece_chars` characters of each; None without labels."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = rows.select(F.xxhash64(F.col(id_col)).alias("_h")).orderBy("_h").limit(sample).distinct()  # at most `sample` rows of 8 bytes
+    # a bound on the hash for each language, so that about as many rows of each lie below it; a row for each language
+    sizes = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / (F.count("*").over(Window.partitionBy()) * F.col("_n")))
+    bounds = sizes.select("_lang", share.alias("_share"))
     room = F.greatest(F.char_length(F.col(text_col)) - piece_chars, F.lit(1))
     cuts = [F.substring(F.col(text_col), F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), room.cast("long")).cast("int") + 1, F.lit(piece_chars)).alias(f"p{k}") for k in range(pieces)]
     got = (
         rows.withColumn("_h", F.xxhash64(F.col(id_col)))
-        .join(F.broadcast(ids), "_h", "left_semi")
-        .select(F.col(lang_col).alias("lang"), *cuts, "_h")
-        .limit(2 * sample)  # rows that repeat an id can't raise the bound
+        .join(F.broadcast(bounds), F.col(lang_col) == F.col("_lang"))
+        .filter(F.pmod(F.col("_h"), F.lit(1 << 40)) < F.col("_share") * (1 << 40))
+        .groupBy("_h")
+        .agg(F.min(F.struct(F.col(lang_col).alias("lang"), *cuts)).alias("r"))
+        .select("r.*", "_h")
         .collect()
     )
     got.sort(key=lambda r: (r["_h"], r["lang"], r["p0"]))
@@ -258,10 +264,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(df: DataFrame, net: ByteGRU | None, text_col: str = "text", labels: bool = False) -> DataFrame:
     """df with lang_pred and score, and with byte_labels (class number of each byte) if asked for."""
     ship_package(df.sparkSession)
-    schema = [*_schema(df, "lang_pred", "string").fields, *_schema(df, "score", "double").fields[-1:]]
-    if labels:
-        schema += _schema(df, "byte_labels", "binary").fields[-1:]
-    return df.mapInArrow(_predict(df.sparkSession.sparkContext.broadcast(net), text_col, labels), StructType(schema))
+    shared = df.sparkSession.sparkContext.broadcast(net)
+    return frames.with_columns(df, partial(_predict, shared, text_col, labels), "lang_pred string, score double" + ", byte_labels binary" * labels)
 
 
 def fold(id_col: Column, parts: int) -> Column:

@@ -7,20 +7,22 @@ of the next three frames. A pair is coded as frame << 20 | bin << 12 | later bin
 in order of time.
 
 Nulls and edges: a null text is an empty one, whose payload is `block` zero bytes; null media reads back as null; equal
-texts give equal values; the last frame is filled with silence (128). Other columns stay as they are.
+texts give equal values; the last frame is filled with silence (128); of equally strong bins the lowest counts; texts of any
+length are stored whole; repeated rows give equal values; an empty table gives an empty result. Other columns stay as they are,
+but for those that are named like an output, which takes their place.
 """
 
 from __future__ import annotations
 
 import io
 import wave
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from panelloom.llm.bpe import _schema
+from panelloom.llm import frames
 from panelloom.llm.frames import ship_package
 from panelloom.llm.words import chunks
 
@@ -66,7 +68,7 @@ def fingerprints(samples: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
 
 
-def _store(column: str, block: int):
+def _store(column: str, block: int, kept: list[str]):
     def run(batches):
         for piece in chunks(batches, column):
             sizes, media = [], []
@@ -74,26 +76,24 @@ def _store(column: str, block: int):
                 raw = (text or "").encode()
                 sizes.append(len(raw))
                 media.append(to_wav(raw + bytes(-len(raw) % block if raw else block)))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*piece.schema.names, "n_bytes", "media"])
+            yield frames.batch(piece, kept, n_bytes=pa.array(sizes, pa.int64()), media=pa.array(media, pa.binary()))
 
     return run
 
 
-def _read(column: str):
+def _read(column: str, kept: list[str]):
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                payloads, codes, frames = [], [], []
+                payloads, codes, counts = [], [], []
                 for media in batch.column(batch.schema.names.index(column)).to_pylist():
                     payload = None if media is None else from_wav(media)
                     payloads.append(payload)
                     samples = None if payload is None else np.frombuffer(payload, np.uint8)
                     codes.append(None if samples is None else fingerprints(samples))
-                    frames.append(None if samples is None else max(1, -(-(len(samples) - FRAME) // HOP) + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(payloads, pa.binary()), pa.array(frames, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=[*batch.schema.names, "payload", "n_frames", "fingerprint"]
-                )
+                    counts.append(None if samples is None else max(1, -(-(len(samples) - FRAME) // HOP) + 1))
+                yield frames.batch(batch, kept, payload=pa.array(payloads, pa.binary()), n_frames=pa.array(counts, pa.int64()), fingerprint=pa.array(codes, pa.list_(pa.int64())))
 
     return run
 
@@ -101,12 +101,10 @@ def _read(column: str):
 def store_media(df: DataFrame, text_col: str = "text", block: int = 64) -> DataFrame:
     """df with n_bytes and the media column: a WAV file for each row."""
     ship_package(df.sparkSession)
-    schema = StructType([*_schema(df, "n_bytes", "long").fields, *_schema(df, "media", "binary").fields[-1:]])
-    return df.mapInArrow(_store(text_col, block), schema)
+    return frames.with_columns(df, partial(_store, text_col, block), "n_bytes long, media binary")
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with payload (the stored samples), n_frames and fingerprint (time-coded peak pairs) of each WAV file."""
     ship_package(df.sparkSession)
-    schema = StructType([*_schema(df, "payload", "binary").fields, *StructType.fromDDL("n_frames long, fingerprint array<long>").fields])
-    return df.mapInArrow(_read(media_col), schema)
+    return frames.with_columns(df, partial(_read, media_col), "payload binary, n_frames long, fingerprint array<long>")

@@ -18,8 +18,9 @@ How the work is laid out:
    windows are dealt by their own content instead, and the smallest owner of each window decides.
 
 Nulls and edges: a null or short text has no window and keeps its words; a null id is never compared and never removed
-from; rows that repeat an id are one document to the rule (equal ids never remove each other) and keep a row each;
-an empty table gives an empty result; other columns of the input are ignored.
+from; rows that repeat an id are one document to the rule (equal ids never remove each other) and keep a row each; texts of
+any length are read whole (anchors are sought in pieces of PIECE_WORDS windows); an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

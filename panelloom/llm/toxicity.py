@@ -5,26 +5,29 @@ its first three, four and five bytes, hashed into BUCKETS weights; the chain has
 transition weights. The field is trained on the driver by gradient ascent of the conditional likelihood on labelled tokens:
 in documents labelled toxic, tokens with a feature that such documents use in far more contexts than clean ones (different
 words before it, in the sample) count as toxic, all others as clean. The sample holds at most `sample` labelled documents, by hash of the id,
-toxic and clean ones in equal parts where there are enough, each of at most `sample_chars` characters; longer ones are
-passed over in training only.
+toxic and clean ones in equal parts where there are enough; of a longer text the field learns from `sample_chars` characters, from
+a place that the id's hash picks.
 
 Marginals are exact for texts of any length: blocks of BLOCK tokens get their transfer matrices, blocks are chained per
 document, and a second pass fills in the states. A document's score is a logistic function, fitted on the sample, of its
 largest marginal and of the sum of marginals from 0.2 on; an empty text gets the score of no evidence.
 
 Nulls and edges: a null text is an empty one; null labels or ids are never learned from; without a toxic or a clean label
-the scores are 0 or 1 for all; repeated rows score alike; other columns stay as they are.
+the scores are 0 or 1 for all; an id labelled both ways is never learned from, and of an id's several texts the least; texts
+of any length are scored whole; repeated rows score alike; an empty table gives an empty result. Other columns stay as they
+are, but for those that are named like an output, which takes their place.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from panelloom.llm.bpe import _schema
+from panelloom.llm import frames
 from panelloom.llm.frames import ship_package
 from panelloom.llm.words import _BYTE_VALUES, ALNUM, Words, chunks, mix, prefix_sums, range_hash, words
 
@@ -223,11 +226,13 @@ def token_labels(w: Words, feats: np.ndarray, toxic: np.ndarray, ratio: float =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000, sample_chars: int = 20000) -> ChainCRF | float:
     """A trained field; where one of the two labels is missing, the constant score instead."""
-    labels = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    picked = [labels.filter(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (0, 1)]
+    labels = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_y"), F.max(F.col(label_col).cast("int")).alias("_most"))
+    labels = labels.filter("_y = _most").select("_id", "_y")
+    picked = [labels.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most `sample` rows
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("t")).filter(F.char_length("t") <= sample_chars)
-    got = rows.join(F.broadcast(ids), "_id").limit(2 * sample).collect()
+    text, room = F.col(text_col), F.greatest(F.char_length(text_col) - sample_chars + 1, F.lit(1)).cast("long")
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.substring(text, F.pmod(F.xxhash64(F.col(id_col)), room).cast("int") + 1, F.lit(sample_chars)).alias("t"))
+    got = rows.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("t").alias("t")).collect()
     got.sort(key=lambda r: (r["_id"], r["_y"], r["t"]))
     toxic = np.array([int(r["_y"] > 0) for r in got])
     if len(set(toxic.tolist())) < 2:
@@ -237,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return crf
 
 
-def _tag(shared, column: str, at_least: float):
+def _tag(shared, column: str, at_least: float, kept: list[str]):
     def run(batches):
         crf = shared.value
         for piece in chunks(batches, column):
@@ -260,7 +265,7 @@ def _tag(shared, column: str, at_least: float):
                     else:
                         spans[r].append({"begin": int(w.begin[i] - base[r]), "end": int(w.end[i] - base[r]), "p": float(p[i])})
                     before = i
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score, pa.float64()), pa.array(spans, _SPANS)], names=[*piece.schema.names, "score", "toxic_spans"])
+            yield frames.batch(piece, kept, score=pa.array(score, pa.float64()), toxic_spans=pa.array(spans, _SPANS))
 
     return run
 
@@ -268,5 +273,5 @@ def _tag(shared, column: str, at_least: float):
 def tag(df: DataFrame, model: ChainCRF | float, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """df with score and toxic_spans (first byte, byte after the last, largest marginal) of each whole text."""
     ship_package(df.sparkSession)
-    schema = [*_schema(df, "score", "double").fields, *_schema(df, "toxic_spans", "array<struct<begin:int,end:int,p:float>>").fields[-1:]]
-    return df.mapInArrow(_tag(df.sparkSession.sparkContext.broadcast(model), text_col, at_least), StructType(schema))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return frames.with_columns(df, partial(_tag, shared, text_col, at_least), "score double, toxic_spans array<struct<begin:int,end:int,p:float>>")

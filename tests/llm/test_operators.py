@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -372,3 +373,109 @@ def test_license_scan_misses(spark):
     damaged = [(k, " ".join(filler(rng.randrange(30)) + t.split()[k % 2 : 8 + k % 2] + filler(30))) for k, (_, t) in enumerate(small)]
     found = {(r.doc_id, r.license_id) for r in license_scan.license_scan(frame(spark, damaged), spark.createDataFrame(small, "license_id string, text string")).collect()}
     assert len(found) >= 599 and found <= {(k, f"t{k}") for k in range(600)}
+
+
+CLASHING = "doc_id long, text string, ids string, Decoded string, media int, payload string, N_Bytes int, n_frames int, score string, lang_pred int, toxic_spans int, fingerprint string, word string"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(i, t, *["x", "y", 1, "z", 2, 3, "s", 4, 5, "f", "w"]) for i, t in texts], CLASHING)
+
+
+def test_new_columns_take_the_place_of_clashing_ones(spark):
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = clashing(spark, [(1, "Some words"), (1, "Some words"), (2, None)])
+    coded = bpe_decode(bpe_encode(df, path, tokenizers.PATTERN), path)
+    assert [c.lower() for c in coded.columns].count("decoded") == 1 and all(bytes(r.decoded) == (r.text or "").encode() for r in coded.collect())
+    stored = read_media(store_media(df))
+    assert len({c.lower() for c in stored.columns}) == len(stored.columns) and sorted(r.n_bytes for r in stored.collect()) == [0, 10, 10]
+    told = language_id.identify(df, None)
+    assert told.columns.count("score") == 1 and {r.lang_pred for r in told.collect()} == {"und"}
+    tagged = toxicity.tag(df, 0.25)
+    assert {r.score for r in tagged.collect()} == {0.25} and all(r.toxic_spans == [] for r in tagged.collect())
+    assert store_media(df, "word").first().n_bytes == 1
+
+
+def test_empty_tables(spark):
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    assert read_media(store_media(none)).count() == bpe_decode(bpe_encode(none, path, tokenizers.PATTERN), path).count() == 0
+    assert toxicity.train(none, labels) == 0.0 and toxicity.tag(none, 0.0).count() == 0
+    bare = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.train(bare) is None and language_id.identify(bare, None).count() == 0
+    assert license_scan.license_scan(none).count() == 0
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000))
+    rows = [(1, long), (1, long), (2, long), (3, long + " tail"), (4, "short one")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
+    assert [(i, c) for i, _, c in got] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)] and got[0][1] == 120_000 - 4
+    cut = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(frame(spark, rows), 50).collect())
+    assert cut == [(1, 120_000, 0), (1, 120_000, 0), (2, 120_000, 120_000), (3, 120_001, 120_000), (4, 2, 0)]
+    media = {r.doc_id: r for r in read_media(store_media(frame(spark, rows))).collect()}
+    assert bytes(media[2].payload).rstrip(b"\0") == long.encode() and media[1].fingerprint == media[2].fingerprint
+    hits = license_scan.license_scan(frame(spark, [(9, long + " Released under the MIT License."), (9, long)])).collect()
+    assert [(r.doc_id, r.license_id) for r in hits] == [(9, "mit-notice")]
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    got = jaccard_components(frame(spark, [(7, a), (9, a), (9, b), (12, b), (20, "lone text")]))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(7, 7), (9, 7), (9, 7), (12, 7), (20, 20)]
+
+
+def test_spectra_against_a_plain_transform():
+    rng = np.random.default_rng(5)
+    samples = rng.integers(0, 256, 900).astype(np.uint8)
+    from panelloom.llm import media
+
+    full = np.append(samples, np.full(-(len(samples) - 256) % 128, 128, np.uint8)).astype(float) - 128
+    t = np.arange(256)
+    peaks = []
+    for at in range(0, len(full) - 255, 128):  # the sums of the transform, written out
+        frame_ = full[at : at + 256] * (0.5 - 0.5 * np.cos(2 * np.pi * t / 255))
+        power = [abs((frame_ * np.exp(-2j * np.pi * k * t / 256)).sum()) ** 2 for k in range(129)]
+        peaks.append(2 + int(np.argmax(power[2:])))
+    assert media.peaks(samples).tolist() == peaks
+    pairs = sorted((i << 20) | (peaks[i] << 12) | (peaks[i + d] << 4) | d for d in (1, 2, 3) for i in range(len(peaks) - d))
+    assert media.fingerprints(samples).tolist() == pairs
+
+
+PAGES = [  # markup, main text
+    ("<main><p>a</p><aside>no</aside><p>b</p></main>", "a\nb"),
+    ("<article class='ad-free review'><p>kept</p></article>", "kept"),
+    ("<article><table class='share-price-table'><tr><td>1</td><td>2</td></tr></table></article>", "1\n2"),
+    ("<article class='post related-story'><p>x</p></article>", "x"),
+    ("<article><h1>T</h1><p>one &amp; <i>two</i>&#33;</p><script>no()</script><style>no</style></article>", "T\none & two!"),
+    ("<article><p>a<br>b</p><form><input value=q><label>no</label></form></article>", "a b"),
+    ("<header>site</header><article><header><h1>title</h1></header>text</article><footer>no</footer>", "title\ntext"),
+    ("<article><p title='x > y'>quoted</p></article>", "quoted"),
+    ('<article><p title="x>open</p><p>next</p></article>', "open\nnext"),
+    ("<article><!-- <p>no</p> --><p>yes</p></article>", "yes"),
+    ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
+    ("<nav>no</nav><div role='navigation'>no</div><main>yes</main>", "yes"),
+    ("<article><ul><li>x<li>y</ul></article>", "x\ny"),
+    ("<article><pre>  a\n   b </pre></article>", "a b"),
+    ("<article><p>m <math><mi>n</mi></math> o</p></article>", "m n o"),
+    ("<article><p>a</p></article><section class='comments'><p>no</p></section>", "a"),
+    ("<article><p>a</p><div class='cookie notice'>no</div></article>", "a"),
+    ("<ARTICLE><P>upper</P></ARTICLE>", "upper"),
+    ("<article><svg><text>no</text></svg><p>y</p></article>", "y"),
+    ("<body><div id=sidebar>no</div><p>open text</p></body>", "open text"),
+]
+
+
+def test_html_by_hand(spark):
+    rows = [(k, f"http://h{k}/", page) for k, (page, _) in enumerate(PAGES)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: text for k, (_, text) in enumerate(PAGES)}
+
+
+@pytest.mark.parametrize("bad", ['<a title="x ', "<!-- x ", "<script>", "<a x='", "<div", "</", "<p title=\"x>"])
+def test_html_is_parsed_in_linear_time(bad):
+    began = time.time()
+    html_text.blocks(bad * (1_000_000 // len(bad)))
+    assert time.time() - began < 5
