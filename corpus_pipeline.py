@@ -3,14 +3,19 @@
 Each stage takes (spark, docs, sf_dir), with docs as the stage before has left them, and returns a DataFrame that is written
 as Parquet and reread. All stages but the last return the columns of documents; only the last adds tokens.
 
-1. language_id: the network is trained on the labelled rows of the documents given; `und` rows go, and rows for which no
-   language reaches LEAST of the letters. Clean documents of the learned languages stay.
+1. language_id: the network is trained on the labelled rows of the documents given; `und` rows go, and rows whose likeliest
+   language is hardly likelier than chance: its probability must reach 1/k + LEAST (1 - 1/k) with k learned languages. Clean
+   documents of the learned languages stay.
 2. near_duplicates: of each group of linked documents the one with the smallest id stays; documents without words are
    linked with nothing and stay.
 3. repeated_passages: words in windows of 50 words that a document with a smaller id has go; a text that loses nothing is
    left as it is, else its words left are joined by blanks. Documents stay, even empty ones.
 4. benchmark_leaks: documents with a window of ten benchmark words go.
 5. tokens: ids of the byte-level BPE, and the text as their decoding.
+
+Edges, for all stages: null texts have no language and go with the first stage; empty ones as well; texts of any length are
+taken whole; rows that repeat an id and a text keep a row each where a document stays; of equally good documents of a group the
+smallest id stays; columns beside COLUMNS are dropped, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,28 +27,26 @@ from pyspark.sql import functions as F
 from panelloom.llm import language_id as lid
 from panelloom.llm.bpe import bpe_decode, bpe_encode
 from panelloom.llm.decontaminate import decontaminate
-from panelloom.llm.frames import key_bitmap, maybe_in, stored
+from panelloom.llm.frames import key_bitmap, maybe_in, stored, without
 from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.substring_dedup import substring_dedup
 
-#: Share of a document's letters that its language must reach.
-LEAST = 0.3
+#: How far above chance a document's language must be, as a share of the way to certainty.
+LEAST = 0.07
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = lid.train(docs.select("doc_id", "text", "lang"))
     told = lid.identify(docs.select(*COLUMNS), net)
-    return told.filter((F.col("lang_pred") != lid.UNKNOWN) & (F.col("score") >= LEAST)).select(*COLUMNS)
+    chance = 1 / len(net.classes) if net is not None else 1.0
+    return told.filter((F.col("lang_pred") != lid.UNKNOWN) & (F.col("score") >= chance + LEAST * (1 - chance))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs)
-    # ids that go; the others pass by the bitmap without a shuffle of texts
     gone = stored(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    split = maybe_in(docs.select(*COLUMNS), F.col("doc_id"), key_bitmap(gone, F.col("doc_id")))
-    sure = split.filter("NOT _maybe").select(*COLUMNS)
-    return sure.unionByName(split.filter("_maybe").select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS))
+    return without(docs.select(*COLUMNS), gone, ["doc_id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
