@@ -45,10 +45,20 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
     return cells.training(panels.hourly(spark, sf))
 
 
+def _weights(panel: DataFrame) -> DataFrame:
+    """Affinities of the panel's nodes, rounded to nine digits, so that ties fall alike everywhere; distances are computed once."""
+    distances = stored(spatial.masked_euclidean(panel), "distances")
+    return spatial.gaussian(distances, gamma=0.1).withColumn("weight", F.round("weight", 9))
+
+
+def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The similarity graph of the hourly panel, and the panel: both written once, since what builds on them reads them often."""
+    p = stored(_panel(spark, sf), "panel")
+    return stored(spatial.top_k(_weights(p), 3), "graph"), p
+
+
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    """The similarity graph of the hourly panel; weights rounded to nine digits, so that ties fall alike everywhere."""
-    weights = spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9))
-    return spatial.top_k(weights, 3)
+    return stored(spatial.top_k(_weights(_panel(spark, sf)), 3), "graph")
 
 
 def _series(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,14 +310,14 @@ _TAU = "(SELECT quantile_disc(round(weight, 9), 0.9) FROM aff)"
 @query("threshold_graph", "aff", f"SELECT src, dst, 1.0::DOUBLE AS weight FROM aff WHERE round(weight, 9) >= {_TAU}")
 def threshold_graph(spark, sf):
     """The heaviest tenth of the affinities."""
-    weights = stored(spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9)), "affinity")
+    weights = stored(_weights(_panel(spark, sf)), "affinity")
     tau = weights.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY weight)")).first()[0]
     return spatial.threshold(weights, tau)
 
 
 @query("symmetrize", "aff", "SELECT src, dst, round(max(weight), 6) AS weight FROM (SELECT src, dst, weight FROM aff WHERE src < dst UNION ALL SELECT dst, src, weight FROM aff WHERE src < dst) GROUP BY 1, 2")
 def symmetrize(spark, sf):
-    return rounded(spatial.symmetrize(spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).filter("src < dst")), "weight")
+    return rounded(spatial.symmetrize(spatial.gaussian(stored(spatial.masked_euclidean(_panel(spark, sf)), "distances"), gamma=0.1).filter("src < dst")), "weight")
 
 
 @query("complete_graph", "st", "SELECT a.node AS src, b.node AS dst, 1.0::DOUBLE AS weight FROM st a JOIN st b ON a.node <> b.node")
@@ -471,7 +481,8 @@ def second_order_support(spark, sf):
 
 @query("graph_convolution", "graph", _SUP + " SELECT way, t, src AS node, round(sum(weight * CASE WHEN train THEN value ELSE 0 END), 6) AS y FROM sup JOIN panel p ON p.node = sup.dst GROUP BY 1, 2, 3")
 def graph_convolution(spark, sf):
-    return rounded(propagate.convolve(propagate.supports(_graph(spark, sf)), _panel(spark, sf)), "y")
+    g, p = _both(spark, sf)
+    return rounded(propagate.convolve(propagate.supports(g), p), "y")
 
 
 _GCN = ", gn AS (SELECT g.src, g.dst, g.weight / sqrt(a.strength * b.strength) AS w FROM graph g JOIN deg a ON a.node = g.src JOIN deg b ON b.node = g.dst), gy AS (SELECT t, dst AS node, sum(w * CASE WHEN train THEN value ELSE 0 END) AS y FROM gn JOIN panel p ON p.node = gn.src GROUP BY 1, 2)"
@@ -479,18 +490,18 @@ _GCN = ", gn AS (SELECT g.src, g.dst, g.weight / sqrt(a.strength * b.strength) A
 
 @query("gcn_propagate", "deg", _GCN + " SELECT t, node, round(y, 6) AS y FROM gy")
 def gcn_propagate(spark, sf):
-    return rounded(propagate.gcn(_graph(spark, sf), _panel(spark, sf)), "y")
+    return rounded(propagate.gcn(*_both(spark, sf)), "y")
 
 
 @query("gcn_affine_fit", "deg", _GCN + " SELECT round(regr_slope(value, y), 6) AS slope, round(regr_intercept(value, y), 6) AS intercept FROM gy JOIN panel p ON p.t = gy.t AND p.node = gy.node WHERE train")
 def gcn_affine_fit(spark, sf):
-    p = _panel(spark, sf)
-    rows = propagate.gcn(_graph(spark, sf), p).join(p.filter("train").select("t", "node", "value"), ["t", "node"])
+    g, p = _both(spark, sf)
+    rows = propagate.gcn(g, p).join(p.filter("train").select("t", "node", "value"), ["t", "node"])
     return rounded(propagate.affine_fit(rows), "slope", "intercept")
 
 
 def _imputed(spark, sf):
-    return propagate.impute(_graph(spark, sf), _panel(spark, sf))
+    return propagate.impute(*_both(spark, sf))
 
 
 @query("impute_neighbours", "imp", "SELECT node, t, round(CASE WHEN observed THEN value ELSE prediction END, 6) AS output FROM imp")
@@ -657,7 +668,7 @@ def assortativity(spark, sf):
     "SELECT en.t, round(coalesce(rough, 0) / (energy + 1e-8), 6) AS smoothness FROM en LEFT JOIN rg ON rg.t = en.t",
 )
 def edge_smoothness(spark, sf):
-    return rounded(profile.edge_smoothness(_graph(spark, sf), panels.hourly(spark, sf)), "smoothness")
+    return rounded(profile.edge_smoothness(*_both(spark, sf)), "smoothness")
 
 
 @query(
@@ -667,7 +678,7 @@ def edge_smoothness(spark, sf):
     "en AS (SELECT t, sum(x * x) AS energy, sum(CASE WHEN u IS NULL THEN x * x ELSE 0 END) AS alone FROM u GROUP BY 1) SELECT en.t, round((coalesce(rough, 0) + alone) / (energy + 1e-8), 6) AS smoothness FROM en LEFT JOIN rg ON rg.t = en.t",
 )
 def laplacian_smoothness(spark, sf):
-    return rounded(profile.laplacian_smoothness(_graph(spark, sf), _panel(spark, sf)), "smoothness")
+    return rounded(profile.laplacian_smoothness(*_both(spark, sf)), "smoothness")
 
 
 @query("modularity", "graph", ", bp AS (SELECT g.src % 3 AS a, sum(CASE WHEN g.src % 3 = g.dst % 3 THEN weight ELSE 0 END) AS inside, sum(weight) AS total FROM graph g GROUP BY 1) SELECT round(sum(inside / m - (total / m) * (total / m)), 6) AS modularity FROM bp, (SELECT sum(total) AS m FROM bp)")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import cells, profile, scores, spatial, split, temporal, windows
-from panelloom.plans.catalog import ORACLE, _BINS, _geo_affinity, _graph, _panel, _predictions, _samples, _scored, _series, _SCORED, _SPREAD, _TK, _TRI, query, r6, rounded  # noqa: F401
+from panelloom.operators import cells, profile, propagate, scores, spatial, split, temporal, windows
+from panelloom.plans.catalog import _SCORED, _SPREAD, _TK, _TRI, ORACLE, _both, _geo_affinity, _graph, _panel, _scored, _series, _weights, query, r6, rounded
 from panelloom.plans.ctes import sql
 from panelloom.session import stored
 from panelloom.sources import panels, sinks
@@ -142,10 +142,7 @@ def epoch_report(spark, sf):
 
 @query("imputation_table", "imp", "SELECT ts, node, round(prediction, 6) AS prediction, value AS target, eval, observed FROM imp")
 def imputation_table(spark, sf):
-    g, p = _graph(spark, sf), _panel(spark, sf)
-    from panelloom.operators import propagate
-
-    return rounded(sinks.imputation_table(propagate.impute(g, p)), "prediction")
+    return rounded(sinks.imputation_table(propagate.impute(*_both(spark, sf))), "prediction")
 
 
 # Graph options
@@ -155,13 +152,13 @@ _SHARE = ", sk AS (SELECT CAST(round_even(0.1 * (count(DISTINCT src) - 1), 0) AS
 
 @query("topk_share", "aff", _SHARE + " SELECT src, dst, round(weight, 6) AS weight FROM sr")
 def topk_share(spark, sf):
-    weights = stored(spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9)), "affinity")
+    weights = stored(_weights(_panel(spark, sf)), "affinity")
     return rounded(spatial.top_k(weights, 0.1, symmetric=False), "weight")
 
 
 @query("topk_loops", "aff", _SHARE + ", al AS (SELECT src, dst, weight FROM sr UNION ALL SELECT DISTINCT src, src, 1.0 FROM aff) SELECT src, dst, 1.0::DOUBLE AS weight FROM (SELECT src, dst FROM al UNION SELECT dst, src FROM al)")
 def topk_loops(spark, sf):
-    weights = stored(spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9)), "affinity")
+    weights = stored(_weights(_panel(spark, sf)), "affinity")
     own = weights.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
     return spatial.top_k(weights.unionByName(own), 0.1, binary=True, loops=True)
 
@@ -177,7 +174,7 @@ def geo_knn_loops(spark, sf):
 
 @query("dense_adjacency", "graph", ", nd AS (SELECT DISTINCT src AS node FROM graph) SELECT a.node AS src, list(round(coalesce(g.weight, 0), 6) ORDER BY b.node) AS row FROM nd a CROSS JOIN nd b LEFT JOIN graph g ON g.src = a.node AND g.dst = b.node GROUP BY 1")
 def dense_adjacency(spark, sf):
-    g = stored(_graph(spark, sf), "graph")
+    g = _graph(spark, sf)
     return spatial.dense(g, profile.nodes_of(g)).select("src", F.transform("row", lambda w: F.round(w, 6)).alias("row"))
 
 
@@ -199,9 +196,6 @@ def recurrence_auto(spark, sf):
     return temporal.recurrence(_series(spark, sf), radius=0.1, dim=None, scale="diameter")
 
 
-_CAO_Z = ", z AS (SELECT s.series, t, (x - m) / (CASE WHEN sd > 0 THEN sd ELSE 1 END) AS x FROM ser s JOIN (SELECT series, avg(x) AS m, stddev_pop(x) AS sd FROM ser GROUP BY 1) q ON q.series = s.series), tk AS (SELECT a.series, a.t, a.x AS x0, b.x AS x1 FROM z a JOIN z b ON b.series = a.series AND b.t = a.t + 1)"
-
-
 @query("cao_ratios")
 def cao_ratios(spark, sf):
     """Rows only: nearest neighbours in up to 15 dimensions, ties by time (held against brute force in the tests)."""
@@ -213,8 +207,7 @@ def cao_ratios(spark, sf):
 
 def _graph1(spark, sf):
     """The graph of each node's nearest neighbour: it falls into several components."""
-    weights = spatial.gaussian(spatial.masked_euclidean(_panel(spark, sf)), gamma=0.1).withColumn("weight", F.round("weight", 9))
-    return stored(spatial.top_k(weights, 1), "graph1")
+    return stored(spatial.top_k(_weights(_panel(spark, sf)), 1), "graph1")
 
 
 _ONE = ", g1 AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM rk WHERE r <= 1 UNION ALL SELECT dst, src, weight FROM rk WHERE r <= 1) GROUP BY 1, 2), "
@@ -275,7 +268,7 @@ ORACLE["whiten_random"] = sql("panel", f"SELECT node, count(*) FILTER (observed
 
 @query("graph_record", "und deg", f", s1 AS (SELECT {_SPREAD.format(c='CAST(degree AS DOUBLE)', p='degree')} FROM deg), s2 AS (SELECT {_SPREAD.format(c='strength', p='strength')} FROM deg), s3 AS (SELECT {_SPREAD.format(c='weight', p='weight')} FROM und) SELECT (SELECT count(*) FROM deg) AS nodes, (SELECT count(*) FROM und) AS edges, s1.*, s2.*, s3.* FROM s1, s2, s3")
 def graph_record(spark, sf):
-    out = profile.record(stored(_graph(spark, sf), "graph"))
+    out = profile.record(_graph(spark, sf))
     names = [f"{how}_{what}" for what in ("degree", "strength", "weight") for how in ("avg", "median", "min", "max", "std")]
     return out.select("nodes", "edges", *(r6(F.col(c).cast("double"), c) for c in names))
 

@@ -25,11 +25,16 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    if not conf.get("spark.checkpoint.dir", None) and not getattr(spark.sparkContext, "_own_shared_dir", None):
-        spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="panelloom-")
-    return conf.get("spark.checkpoint.dir", None) or spark.sparkContext._own_shared_dir
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own
+    (tests), and a cluster an error, since its machines would not see each other's files."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir", None):
+        return folder
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(sc, "_own_shared_dir", None):
+        sc._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="panelloom-")
+    return sc._own_shared_dir
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
