@@ -29,8 +29,8 @@ from panelloom.llm import frames
 from panelloom.llm.frames import ship_package
 from panelloom.llm.words import _BYTE_VALUES, chunks, mix, prefix_sums, range_hash
 
-#: Pre-tokens a task remembers before it starts anew: some 100 MB.
-REMEMBERED = 300_000
+#: Pre-tokens a task remembers before it starts anew: some 50 MB.
+REMEMBERED = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -235,12 +235,28 @@ def bpe_encode(df: DataFrame, vocab: str, pattern: str, text_col: str = "text",
     return frames.with_columns(df, partial(_encode, shared, text_col, out), f"`{out}` array<int>")
 
 
-def bpe_decode(df: DataFrame, vocab: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the bytes that each array of ids stands for."""
-    ship_package(df.sparkSession)
-    ranks = load_ranks(vocab)
+def _tokens(ranks: dict[bytes, int]) -> pa.Array:
     tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = df.sparkSession.sparkContext.broadcast(pa.array(tokens, pa.binary()))
+    return pa.array(tokens, pa.binary())
+
+
+def bpe_round_trip(df: DataFrame, vocab: str, pattern: str, text_col: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the ids of each whole text and the bytes that those ids decode to: both in one Python worker of each task."""
+    ship_package(df.sparkSession)
+    ranks = load_ranks(vocab)
+    encoder, tokens = (df.sparkSession.sparkContext.broadcast(x) for x in (Encoder(ranks, pattern), _tokens(ranks)))
+
+    def make(kept: list[str]):
+        encode, decode = _encode(encoder, text_col, ids, kept), _decode(tokens, ids, out, [*kept, ids])
+        return lambda batches: decode(encode(batches))
+
+    return frames.with_columns(df, make, f"`{ids}` array<int>, `{out}` binary")
+
+
+def bpe_decode(df: DataFrame, vocab: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the bytes that each array of ids stands for."""
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(_tokens(load_ranks(vocab)))
     return frames.with_columns(df, partial(_decode, shared, ids_col, out), f"`{out}` binary")

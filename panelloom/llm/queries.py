@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from panelloom.llm.bpe import bpe_decode, bpe_encode
+from panelloom.llm.bpe import bpe_round_trip
 from panelloom.llm.decontaminate import contamination
 from panelloom.llm.html_text import extract_text
 from panelloom.llm.jaccard_join import jaccard_components
@@ -80,7 +80,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocab: str | None = None) -> DataFrame:
     vocab = vocab or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = bpe_decode(bpe_encode(docs, vocab, public_tokenizers.PATTERN).drop("text"), vocab)
+    out = bpe_round_trip(docs, vocab, public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

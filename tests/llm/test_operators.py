@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from panelloom.llm import html_text, language_id, license_scan, toxicity, warc
-from panelloom.llm.bpe import Encoder, PerfectHash, bpe_decode, bpe_encode, load_ranks
+from panelloom.llm.bpe import Encoder, PerfectHash, bpe_decode, bpe_encode, bpe_round_trip, load_ranks
 from panelloom.llm.decontaminate import contamination, decontaminate
 from panelloom.llm.jaccard_join import jaccard_components, jaccard_links
 from panelloom.llm.media import from_wav, read_media, store_media, to_wav
@@ -187,7 +187,9 @@ def test_bpe_like_the_public_library(spark):
     out = bpe_decode(bpe_encode(frame(spark, rows), path, tokenizers.PATTERN), path).collect()
     for r in out:
         assert r.ids == public.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
-    assert bpe_encode(frame(spark, []), path, tokenizers.PATTERN).count() == 0
+    both = bpe_round_trip(frame(spark, rows), path, tokenizers.PATTERN)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, out))
+    assert bpe_encode(frame(spark, []), path, tokenizers.PATTERN).count() == bpe_round_trip(frame(spark, []), path, tokenizers.PATTERN).count() == 0
 
 
 def test_media(spark):
