@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import language_id as lid
-from panelloom.llm.bpe import bpe_decode, bpe_encode
+from panelloom.llm.bpe import bpe_round_trip
 from panelloom.llm.decontaminate import decontaminate
 from panelloom.llm.frames import key_bitmap, maybe_in, stored, without
 from panelloom.llm.jaccard_join import jaccard_components
@@ -65,7 +65,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(docs.select(*COLUMNS), vocab, public_tokenizers.PATTERN), vocab)
+    coded = bpe_round_trip(docs.select(*COLUMNS), vocab, public_tokenizers.PATTERN)
     return coded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
