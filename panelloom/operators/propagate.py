@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def convolve(support: DataFrame, panel: DataFrame, value: str = "x") -> DataFram
     return support.join(p, "dst").groupBy("way", "t", F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("_x")).alias("y"))
 
 
+def convolve_orders(edges: DataFrame, panel: DataFrame, orders: int = 2, value: str = "x") -> DataFrame:
+    """(way, hops, t, node, y): convolutions by both supports of each order from 1 to `orders`, under one another."""
+    base = supports(edges)
+    parts = [convolve(power(base, k), panel, value).withColumn("hops", F.lit(k)) for k in range(1, orders + 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gcn(edges: DataFrame, panel: DataFrame, value: str = "x") -> DataFrame:
     """Symmetric normalisation: y = sum of w / sqrt(d_src d_dst) x over the neighbours."""
     degree = edges.groupBy("src").agg(F.sum("weight").alias("deg"))

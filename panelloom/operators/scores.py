@@ -38,9 +38,26 @@ def correlation_columns(x: Column, y: Column) -> dict[str, Column]:
     }
 
 
-def errors(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Errors over all rows where prediction and target are there, or by group."""
+def masked_loss(rows: DataFrame, kind: str = "absolute", reduction: str = "mean", finite_only: bool = True) -> DataFrame:
+    """One row (loss): absolute or squared errors where `mask`, as their mean (0 where nothing is masked in) or sum.
+
+    finite_only: errors that are NaN or infinite count for nothing."""
+    if kind not in ("absolute", "squared") or reduction not in ("mean", "sum"):
+        raise ValueError("kind must be absolute or squared, reduction mean or sum")
+    e = F.abs(F.col("prediction") - F.col("target"))
+    loss = e if kind == "absolute" else e * e
+    keep = F.col("mask") & loss.isNotNull()
+    if finite_only:
+        keep = keep & ~F.isnan(loss) & (loss < float("inf"))
+    total = F.coalesce(F.sum(F.when(keep, loss)), F.lit(0.0))
+    return rows.agg((total if reduction == "sum" else total / F.greatest(F.count_if(keep).cast("double"), F.lit(1e-6))).alias("loss"))
+
+
+def errors(rows: DataFrame, by: list[str] | None = None, at: int | None = None) -> DataFrame:
+    """Errors over all rows where prediction and target are there, or by group; at: of that step (column `step`) alone."""
     valid = rows.filter("prediction IS NOT NULL AND target IS NOT NULL")
+    if at is not None:
+        valid = valid.filter(F.col("step") == at)
     return valid.groupBy(*(by or [])).agg(*(c.alias(k) for k, c in error_columns(F.col("prediction"), F.col("target")).items()))
 
 

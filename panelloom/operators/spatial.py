@@ -104,6 +104,8 @@ def _finish(edges: DataFrame, symmetric: bool, binary: bool) -> DataFrame:
     return out.withColumn("weight", F.lit(1.0)) if binary else out
 
 
+#: Columns that a distance reads: series, or coordinates.
+INPUTS = {"masked_euclidean": {"t", "node", "value", "train"}, "haversine": {"node", "latitude", "longitude"}}
 #: Affinities that take distances of 0 and more only, and distances that may be negative.
 NON_NEGATIVE_ONLY = {"gaussian"}
 MAY_BE_NEGATIVE: set[str] = set()
@@ -201,6 +203,8 @@ class SimilarityGraph:
         return cls(**spec)
 
     def __call__(self, rows: DataFrame) -> DataFrame:
+        if missing := INPUTS.get(self.names[0], set()) - set(rows.columns):
+            raise ValueError(f"{self.names[0]} reads columns {sorted(missing)}, which aren't there")
         for name, table, part in zip(self.names, (DISTANCES, AFFINITIES, SPARSIFIERS), ("distance_args", "affinity_args", "sparsifier_args")):
             rows = table[name](rows, **self.kwargs.get(part, {}))
         return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,10 +53,11 @@ def out_of_sample(samples_: DataFrame, window: int, test: tuple[int, ...] = (3,
     samples that end `window` samples before a run of test samples begins; train: the rest that shares no step with them."""
     a, b = F.month("start_ts"), F.month("end_ts")
     rows = samples_.withColumn("is_test", a.isin(list(test)) & b.isin(list(test))).withColumn("is_rest", ~a.isin(list(test)) & ~b.isin(list(test)))
-    order = Window.orderBy("sample")
-    tests = rows.filter("is_test").withColumn("new", F.coalesce(F.col("sample") - F.lag("sample").over(order) > 1, F.lit(True)))
+    tests = rows.filter("is_test").select("sample")
+    # a run of test samples begins where the sample before isn't one
+    starts = tests.join(tests.select((F.col("sample") + 1).alias("sample")), "sample", "left_anti")
     block = rows.agg(F.floor(F.floor(F.count_if("is_rest") * share) / 4).cast("long").alias("size"))
-    heads = tests.filter("new").select((F.col("sample") - window).alias("stop")).join(F.broadcast(block))
+    heads = starts.select((F.col("sample") - window).alias("stop")).join(F.broadcast(block))
     # blocks that begin before the first sample go on at the last one
     total = rows.agg(F.count("*").alias("total"))
     val = heads.filter("size > 0").select(F.explode(F.sequence(F.col("stop") - F.col("size"), F.col("stop") - 1)).alias("sample"))

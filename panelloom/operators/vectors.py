@@ -51,17 +51,29 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.abs(a - b).max(axis=1) if len(a) else np.zeros(0)
 
 
-def _strips(one: pd.DataFrame, two: pd.DataFrame, metric: str) -> Iterator:
+def _strips(one: pd.DataFrame, two: pd.DataFrame, metric: str, loops: bool = False) -> Iterator:
     """Rows of the first block, a strip at a time: numbers, matrix, slack, and the exact distances of given places."""
     a, b = np.stack(one["v"].to_numpy()).astype(float), np.stack(two["v2"].to_numpy()).astype(float)
     ia, ib = one["id"].to_numpy(), two["id2"].to_numpy()
     for at in range(0, len(a), _ROWS):
         part = a[at : at + _ROWS]
         near, slack = _near(part, b, metric)
-        near[ia[at : at + _ROWS, None] == ib[None, :]] = np.inf
+        if not loops:
+            near[ia[at : at + _ROWS, None] == ib[None, :]] = np.inf
         yield ia[at : at + _ROWS], ib, near, slack, lambda i, j, part=part: _exact(part[i], b[j], metric)
 
 
+def sane(vectors: DataFrame) -> DataFrame:
+    """vectors again; ValueError where one holds NaN or infinity, or where all are the same."""
+    odd = F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull())
+    first, last, bad = vectors.filter("v IS NOT NULL").agg(F.min("v"), F.max("v"), F.count_if(odd)).first()  # one row
+    if bad:
+        raise ValueError(f"{bad} vectors hold NaN, infinity or nothing")
+    if first is not None and first == last:
+        raise ValueError("all vectors are the same")
+    return vectors
+
+
 def _met(vectors: DataFrame, metric: str, half: bool):
     """Both sides of all pairs of blocks: (i, j) with i <= j if half."""
     if metric not in METRICS:
@@ -79,15 +91,15 @@ def _met(vectors: DataFrame, metric: str, half: bool):
     return one.groupBy("i", "j").cogroup(two.groupBy("i2", "j2")), dict(vectors.dtypes)["id"]
 
 
-def knn(vectors: DataFrame, k: int, metric: str = "euclidean", digits: int | None = None) -> DataFrame:
+def knn(vectors: DataFrame, k: int, metric: str = "euclidean", digits: int | None = None, loops: bool = False) -> DataFrame:
     """(src, dst, d, rank): edges neighbour -> centre for each centre's k nearest (ties by id). digits: distances are rounded
-    to that many digits before they are ranked."""
+    to that many digits before they are ranked. loops: a centre is one of its own neighbours."""
     met, kind = _met(vectors, metric, False)
     unit = 0.0 if digits is None else 10.0**-digits
 
     def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for ia, ib, near, slack, exact in _strips(one, two, metric) if len(one) and len(two) else ():
+        for ia, ib, near, slack, exact in _strips(one, two, metric, loops) if len(one) and len(two) else ():
             kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
             # what may still tie with the k-th once it is rounded
             reach = np.sqrt(np.maximum(kth, 0)) + unit if metric == "euclidean" else kth + unit

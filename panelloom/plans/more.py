@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import cells, profile, propagate, scores, spatial, split, temporal, windows
-from panelloom.plans.catalog import _SCORED, _SPREAD, _TK, _TRI, ORACLE, _both, _geo_affinity, _graph, _panel, _scored, _series, _weights, query, r6, rounded
+from panelloom.operators import cells, profile, propagate, scores, spatial, split, temporal, vectors, windows
+from panelloom.plans.catalog import _SCORED, _SPREAD, _SUP, _TK, _TRI, ORACLE, _both, _geo_affinity, _graph, _panel, _scored, _series, _weights, query, r6, rounded
 from panelloom.plans.ctes import sql
 from panelloom.session import stored
 from panelloom.sources import panels, sinks
@@ -34,6 +34,22 @@ def available_rows(spark, sf):
     return windows.available(panels.hourly(spark, sf)).select("t", "node", "value")
 
 
+_INFER = (
+    ", mo AS (SELECT DISTINCT year(ts) * 12 + month(ts) - 1 AS m FROM daily), gm AS (SELECT m AS dest, coalesce(lag(m) OVER (ORDER BY m), max(m) OVER ()) AS m FROM mo), "
+    "l AS (SELECT node, ts + to_months(CAST(dest - gm.m AS INTEGER)) AS ts, arg_min(observed, t) AS later FROM daily JOIN gm ON gm.m = year(ts) * 12 + month(ts) - 1 GROUP BY 1, 2)"
+)
+
+
+@query("panel_loaded", "daily", _INFER + " SELECT d.node, d.t, (d.observed AND NOT coalesce(l.later, true)) OR (d.node = '5-LOW' AND d.observed) AS eval, coalesce(value, 0) AS filled FROM daily d LEFT JOIN l ON l.node = d.node AND l.ts = d.ts")
+def panel_loaded(spark, sf):
+    return panels.load(spark, sf, "daily_orders", infer_from="previous", masked=["5-LOW"], impute="zero").select("node", "t", "eval", "filled")
+
+
+@query("panel_coarse", "p5", "SELECT node, (date_diff('day', (SELECT min(date_trunc('day', ts)) FROM p5), date_trunc('day', ts)) * 24 + hour(ts) // 6 * 6 - (SELECT hour(min(ts)) // 6 * 6 FROM p5)) // 6 AS t, sum(value) AS value FROM p5 GROUP BY 1, 2")
+def panel_coarse(spark, sf):
+    return panels.load(spark, sf, "by_type", freq="6 hours", aggregation="sum").select("node", "t", "value")
+
+
 # Samples, phases, batches
 
 _WEEKS = ", wk AS (SELECT a.t AS sample, a.t AS first_t, a.t + 6 AS last_t, a.ts AS start_ts, b.ts AS end_ts FROM (SELECT DISTINCT t, ts FROM daily) a JOIN (SELECT DISTINCT t, ts FROM daily) b ON b.t = a.t + 6)"
@@ -135,6 +151,22 @@ def peak_loss(spark, sf):
     return rounded(windows.peak_loss(_scored(spark, sf).withColumn("sample", F.floor(F.col("t") / 24))), "peak_loss")
 
 
+@query("masked_loss", "imp", "SELECT round(sum(pow(prediction - value, 2)) FILTER (eval), 4) AS loss FROM imp")
+def masked_loss(spark, sf):
+    rows = propagate.impute(*_both(spark, sf)).withColumn("target", F.col("value")).withColumn("mask", F.col("eval"))
+    return rounded(scores.masked_loss(rows, "squared", "sum"), "loss", digits=4)
+
+
+@query("metrics_at_step", "imp", _SCORED + "SELECT count(*) AS n, round(avg(abs(p - v)), 6) AS mae FROM sc WHERE t % 24 = 5")
+def metrics_at_step(spark, sf):
+    return rounded(scores.errors(_scored(spark, sf).withColumn("step", F.col("t") % 24), at=5).select("n", "mae"), "mae")
+
+
+@query("convolution_orders", "graph", _SUP + ", s2 AS (SELECT a.way, a.src, b.dst, sum(a.weight * b.weight) AS weight FROM sup a JOIN sup b ON a.way = b.way AND a.dst = b.src WHERE a.src <> b.dst GROUP BY 1, 2, 3), so AS (SELECT way, CAST(1 AS INT) AS hops, src, dst, weight FROM sup UNION ALL SELECT way, CAST(2 AS INT), src, dst, weight FROM s2) SELECT way, hops, t, src AS node, round(sum(weight * CASE WHEN train THEN value ELSE 0 END), 6) AS y FROM so JOIN panel p ON p.node = so.dst GROUP BY 1, 2, 3, 4")
+def convolution_orders(spark, sf):
+    return rounded(propagate.convolve_orders(*_both(spark, sf), 2), "y")
+
+
 @query("epoch_report", "imp", _SCORED + ", m AS (SELECT round(avg(abs(p - v)), 6) AS mae, round(avg((p - v) * (p - v)), 6) AS mse FROM sc) SELECT 'test' AS phase, CAST(3 AS INT) AS epoch, metric, value FROM (UNPIVOT m ON mae, mse INTO NAME metric VALUE value)")
 def epoch_report(spark, sf):
     return rounded(scores.long_report(scores.errors(_scored(spark, sf)).select("mae", "mse"), "test", 3), "value")
@@ -178,6 +210,11 @@ def dense_adjacency(spark, sf):
     return spatial.dense(g, profile.nodes_of(g)).select("src", F.transform("row", lambda w: F.round(w, 6)).alias("row"))
 
 
+@query("knn_loops", "vec", ", pr AS (SELECT a.id AS dst, b.id AS src, round(list_distance(a.v, b.v), 9) AS d FROM vec a, vec b) SELECT src, dst, round(d, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS rank FROM pr) WHERE rank <= 3")
+def knn_loops(spark, sf):
+    return vectors.knn(vectors.sane(panels.vectors(spark, sf)), 3, digits=9, loops=True).select("src", "dst", r6("d", "d"), "rank")
+
+
 # Recurrence
 
 @query("recurrence_scaled", "ser", _TK + ", rd AS (SELECT series, 0.1 * sqrt(pow(max(x0) - min(x0), 2) + pow(max(x1) - min(x1), 2)) AS r FROM tk GROUP BY 1) SELECT a.series, a.t AS src, b.t AS dst, 1.0::DOUBLE AS weight FROM tk a JOIN tk b ON a.series = b.series AND a.t < b.t JOIN rd ON rd.series = a.series WHERE greatest(abs(a.x0 - b.x0), abs(a.x1 - b.x1)) < r")

@@ -73,10 +73,31 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 PANELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"hourly": hourly, "by_type": by_type, "daily_orders": daily_orders}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, freq: str | None = None, aggregation: str = "nearest", infer_from: str | None = None, masked: list | None = None, impute: str | None = None) -> DataFrame:
+    """A named panel, and in this order, where asked for: resampled to a coarser grid; with an evaluation mask inferred from the
+    'next' or 'previous' month; with all cells of the `masked` nodes held out; with `filled` values, by 'mean', 'zero', 'calendar'
+    (hierarchical means) or 'neighbours' in time."""
+    from panelloom.operators import cells, split
+
     if name not in PANELS:
         raise ValueError(f"unknown panel {name!r}: one of {sorted(PANELS)}")
-    return PANELS[name](spark, sf_dir)
+    fills = {"mean": cells.mean_fill, "zero": lambda p: p.withColumn("filled", F.coalesce("value", F.lit(0.0))), "calendar": cells.hierarchical_fill, "neighbours": lambda p: cells.fill_gaps(p, out="filled")}
+    if impute is not None and impute not in fills:
+        raise ValueError(f"unknown fill {impute!r}: one of {sorted(fills)}")
+    out = PANELS[name](spark, sf_dir)
+    if freq is not None:
+        coarse = cells.resample_to(out, freq, aggregation)
+        bounds = coarse.agg(F.min("ts").alias("_lo"), F.min("ts").alias("_any"))  # one row
+        step = F.expr(f"unix_micros(CAST(TIMESTAMP_NTZ '1970-01-01' + INTERVAL {freq} AS TIMESTAMP)) - unix_micros(CAST(TIMESTAMP_NTZ '1970-01-01' AS TIMESTAMP))")
+        t = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_lo").cast("timestamp"))) / step
+        out = coarse.join(F.broadcast(bounds)).withColumn("t", F.round(t).cast("long")).drop("_lo", "_any")
+    if infer_from is not None:
+        out = split.month_shift_mask(out, infer_from)
+    elif "eval" not in out.columns:
+        out = out.withColumn("eval", F.lit(False))
+    if masked:
+        out = mask_nodes(out, masked)
+    return out if impute is None else fills[impute](out)
 
 
 def mask_nodes(df: DataFrame, nodes: list) -> DataFrame:

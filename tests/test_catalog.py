@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 
 from panelloom.plans import catalog, more  # noqa: E402, F401
 
-FAST = ["panel_hourly", "mask_counts", "fill_hierarchical", "similarity_graph", "geo_topk", "horizontal_visibility", "natural_visibility", "recurrence_graph", "transition_graph", "metrics_pointwise", "components", "month_split", "sample_windows", "recurrence_scaled", "batches", "component_profile_several", "euclidean_neighbours", "radius_graph", "ar1_series"]
+FAST = ["panel_hourly", "mask_counts", "fill_hierarchical", "similarity_graph", "geo_topk", "horizontal_visibility", "natural_visibility", "recurrence_graph", "transition_graph", "metrics_pointwise", "components", "month_split", "sample_windows", "recurrence_scaled", "batches", "component_profile_several", "euclidean_neighbours", "radius_graph", "ar1_series", "panel_loaded"]
 
 
 @pytest.fixture(scope="module")

@@ -164,3 +164,26 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
         session.shared_dir(Session())
     monkeypatch.setattr(Cluster, "getConf", staticmethod(lambda: {"spark.checkpoint.dir": "s3a://bucket/x"}))
     assert session.shared_dir(Session()) == "s3a://bucket/x"
+
+
+def test_sanity_and_loader_errors(spark):
+    bad = spark.createDataFrame([(1, [1.0, float("nan")]), (2, [0.0, 1.0])], "id long, v array<double>")
+    same = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "id long, v array<double>")
+    for rows in (bad, same):
+        with pytest.raises(ValueError):
+            vectors.sane(rows)
+    assert vectors.sane(same.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        panels.load(spark, "/nowhere", "weekly")
+    with pytest.raises(ValueError):
+        panels.load(spark, "/nowhere", "hourly", impute="magic")
+    with pytest.raises(ValueError):
+        spatial.SimilarityGraph("haversine")(bad)
+
+
+def test_masked_loss_of_nothing(spark):
+    from panelloom.operators import scores
+
+    rows = spark.createDataFrame([(1.0, 2.0, False), (1.0, float("nan"), True), (None, 1.0, True)], "prediction double, target double, mask boolean")
+    assert scores.masked_loss(rows).first().loss == 0.0
+    assert scores.masked_loss(rows.withColumn("mask", F.lit(True)), "squared", "sum").first().loss == 1.0
