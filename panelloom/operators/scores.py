@@ -78,8 +78,8 @@ def overlap(predictions: DataFrame, how: str = "mean") -> DataFrame:
     keys = ["node", "t"]
     if how == "mean":
         return predictions.groupBy(*keys).agg(F.avg("prediction").alias("prediction"))
-    if how == "last":  # the first sample that holds the step has it in its last place
-        return predictions.groupBy(*keys).agg(F.min_by("prediction", "sample").alias("prediction"))
+    if how == "last":  # the first sample that holds the step has it in its last place; missing predictions don't count
+        return predictions.filter("prediction IS NOT NULL").groupBy(*keys).agg(F.min_by("prediction", "sample").alias("prediction"))
     order = Window.partitionBy(*keys).orderBy("sample")
     ranked = predictions.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     if how == "central":

@@ -186,4 +186,6 @@ def test_masked_loss_of_nothing(spark):
 
     rows = spark.createDataFrame([(1.0, 2.0, False), (1.0, float("nan"), True), (None, 1.0, True)], "prediction double, target double, mask boolean")
     assert scores.masked_loss(rows).first().loss == 0.0
+    told = spark.createDataFrame([(0, 1, 5, None), (1, 1, 5, 2.0), (2, 1, 5, 3.0), (0, 1, 6, None)], "sample long, node long, t long, prediction double")
+    assert [tuple(r) for r in scores.overlap(told, "last").collect()] == [(1, 5, 2.0)]
     assert scores.masked_loss(rows.withColumn("mask", F.lit(True)), "squared", "sum").first().loss == 1.0
