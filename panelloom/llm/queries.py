@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from panelloom.llm.ann import nearest_neighbours
 from panelloom.llm.bpe import bpe_round_trip
+from panelloom.llm import collocations
 from panelloom.llm.decontaminate import contamination
 from panelloom.llm.html_text import extract_text
 from panelloom.llm.jaccard_join import jaccard_components
 from panelloom.llm.language_id import fold, identify, train
 from panelloom.llm import license_scan
 from panelloom.llm.media import read_media, store_media
+from panelloom.llm import ranked_search
 from panelloom.llm.substring_dedup import substring_dedup
 from panelloom.llm import toxicity
 from panelloom.llm.warc import capture_index
@@ -93,6 +96,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=10, cover_percent=50, top=2000)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -104,6 +119,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE = {"op10_license_scan": license_scan.oracle()}
+ORACLE = {"op10_license_scan": license_scan.oracle(), "op12_ranked_search": ranked_search.oracle(), "op13_collocations": collocations.oracle()}
