@@ -36,8 +36,8 @@ from panelloom.llm.words import LOWER, mix, prefix_sums, range_hash, text_buffer
 
 LONGEST = 3
 #: Bytes of text of one language that a task handles at once, and of text whose runs one range of the sketch adds up.
-PIECE_BYTES = 4 << 20
-RANGE_BYTES = 8 << 20
+PIECE_BYTES = 3 << 19
+RANGE_BYTES = 4 << 20
 #: Bits of the map of frequent cells: 32 MB.
 MAP_BITS = 28
 _CUTS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
