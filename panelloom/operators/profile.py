@@ -1,8 +1,7 @@
 """Profiles of graphs. An undirected graph is a table (src, dst, weight) with both directions of each edge.
 
-Counts, clustering, components, hop paths and smoothness are joins and aggregates. Weighted paths, betweenness, spectra and
-communities need a component's whole matrix; they run as grouped functions, one component a group, and refuse components
-over `limit` nodes instead of trying.
+Counts, clustering, components, paths and smoothness are joins and aggregates. Spectra and communities of components of at most
+`limit` nodes are made from their matrix, one component a group; those of larger ones by rounds of joins.
 """
 
 from __future__ import annotations
@@ -12,12 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.louvain import louvain
+from panelloom.operators.paths import hop_paths, node_centralities, weighted_paths
+from panelloom.operators.spectrum import laplacian_ends
 from panelloom.session import release, ship_package, stored
 
 EPS = 1e-8
-#: Rounds of label or path loops at most: labels halve their way each round, paths grow by a step.
+#: Rounds of label loops at most: labels halve their way each round.
 LABEL_ROUNDS = 64
-HOP_ROUNDS = 10_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -130,24 +131,6 @@ def record(edges: DataFrame, paths: DataFrame | None = None, comps: DataFrame |
     return out.withColumn("is_weighted", (F.col("min_weight") != 1.0) | (F.col("max_weight") != 1.0))
 
 
-def hop_paths(edges: DataFrame) -> DataFrame:
-    """(src, dst, hops) of all connected pairs of different nodes, by breadth-first frontiers for all sources at once.
-
-    The result is quadratic in the size of a component, which all-pairs paths are."""
-    step = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "step")
-    done = stored(step.withColumn("hops", F.lit(1)), "paths")
-    front = done
-    for hops in range(2, HOP_ROUNDS):
-        nxt = front.select("src", F.col("dst").alias("m")).join(step.select(F.col("src").alias("m"), "dst"), "m").filter("src <> dst").select("src", "dst").distinct()
-        old, front = front, stored(nxt.join(done, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "front")
-        if front.isEmpty():
-            release(step)
-            return done
-        before, done = done, stored(done.unionByName(front), "paths")
-        release(before, *([old] if old is not before else []))
-    raise RuntimeError(f"paths of more than {HOP_ROUNDS} hops")
-
-
 def path_profile(paths: DataFrame) -> DataFrame:
     """Mean path length, diameter, radius, mean eccentricity and mean closeness of the reachable pairs."""
     by_node = paths.groupBy("src").agg(F.max("hops").alias("ecc"), F.sum("hops").alias("far"), F.count("*").alias("reach"))
@@ -259,15 +242,16 @@ def _communities(a: np.ndarray, rounds: int = 20) -> np.ndarray:
         a = ones.T @ a @ ones
 
 
-def _whole_components(edges: DataFrame, comps: DataFrame, limit: int) -> DataFrame:
-    """(component, src, dst, weight) of the components of at most `limit` nodes: larger ones aren't sent anywhere."""
-    small = comps.groupBy("component").agg(F.count("*").alias("_n")).filter(F.col("_n") <= limit).select("component")
-    return edges.join(comps.join(small, "component", "left_semi"), F.col("src") == F.col("node")).select("component", "src", "dst", "weight")
+def _by_size(edges: DataFrame, comps: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(component, src, dst, weight) of the components of at most `limit` nodes, which go into a group each, and of the others."""
+    size = comps.groupBy("component").agg(F.count("*").alias("_n"))
+    rows = edges.join(comps.join(size, "component"), F.col("src") == F.col("node"))
+    return tuple(rows.filter(c).select("component", "src", "dst", "weight") for c in (F.col("_n") <= limit, F.col("_n") > limit))
 
 
 def communities(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> DataFrame:
-    """(node, community): the smallest node of its community, by greedy modularity in several levels; components of more than
-    `limit` nodes keep their component as their community."""
+    """(node, community): the smallest node of its community, by greedy modularity in several levels: node by node in components
+    of at most `limit` nodes, by rounds of joins in larger ones."""
     ship_package(edges.sparkSession)
     kind = dict(comps.dtypes)["node"]
 
@@ -277,13 +261,18 @@ def communities(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> DataFr
         least = pd.Series(ids).groupby(part).min()
         return pd.DataFrame({"node": ids, "community": least.to_numpy()[part]})
 
-    found = _whole_components(edges, comps, limit).groupBy("component").applyInPandas(find, f"node {kind}, community {kind}")
+    small, large = _by_size(edges, comps, limit)
+    found = small.groupBy("component").applyInPandas(find, f"node {kind}, community {kind}")
+    if not large.isEmpty():
+        found = found.unionByName(louvain(large.select("src", "dst", "weight")))
     return comps.join(found, "node", "left").select("node", F.coalesce("community", "component").alias("community"))
 
 
 def dense_profile(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> DataFrame:
-    """Per component of at most `limit` nodes: spectrum of the normalised Laplacian, weighted paths, betweenness, communities.
-    Larger components get NULLs: their matrix isn't built."""
+    """Per component: ends of the normalised Laplacian's spectrum, its energy, weighted paths, mean betweenness, communities.
+
+    Components of at most `limit` nodes are measured from their matrix; larger ones by Lanczos steps (to 1e-7), delta stepping,
+    path counts and community rounds: the paths of all their pairs, which these figures are made of, have n n rows."""
     ship_package(edges.sparkSession)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -312,7 +301,18 @@ def dense_profile(edges: DataFrame, comps: DataFrame, limit: int = 1000) -> Data
 
     kind = dict(comps.dtypes)["component"]
     schema = f"component {kind}, gap double, largest double, energy double, weighted_path double, weighted_diameter double, betweenness double, communities long"
-    measured = _whole_components(edges, comps, limit).groupBy("component").applyInPandas(measure, schema)
+    small, large = _by_size(edges, comps, limit)
+    measured = small.groupBy("component").applyInPandas(measure, schema)
+    if not large.isEmpty():
+        large = stored(large, "large")
+        whole = large.select("src", "dst", "weight")
+        of = comps.join(large.select("component").distinct(), "component", "left_semi")
+        lengths = weighted_paths(whole).groupBy("src").agg(F.avg("length").alias("p"), F.count("*").alias("n"), F.max("length").alias("d"))
+        each = of.join(lengths, of.node == lengths.src).groupBy("component").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("weighted_path"), F.max("d").alias("weighted_diameter"))
+        through = of.join(node_centralities(whole), "node").groupBy("component").agg(F.avg("betweenness").alias("betweenness"))
+        parts = of.join(louvain(whole), "node").groupBy("component").agg(F.count_distinct("community").alias("communities"))
+        ends = laplacian_ends(whole, of).drop("error")
+        measured = measured.unionByName(ends.join(each, "component").join(through, "component").join(parts, "component"))
     return comps.groupBy("component").agg(F.count("*").alias("nodes")).join(measured, "component", "left")
 
 

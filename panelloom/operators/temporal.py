@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import exprs
+from panelloom.operators.visibility import whole_visibility
 from panelloom.session import ship_package
 
 
@@ -36,47 +37,6 @@ def _ahead(series: DataFrame, limit: int) -> DataFrame:
     return series.withColumn("ahead", F.collect_list("x").over(frame))
 
 
-#: Sources in one block of a visibility graph without a limit.
-SOURCES = 256
-
-
-def _seen(x: np.ndarray, i: int, kind: str) -> np.ndarray:
-    """Steps from point i to the later points that it sees."""
-    rest = x[i + 1 :]
-    if kind == "horizontal":
-        high = np.flatnonzero(rest >= x[i])
-        rest = rest[: high[0] + 1] if len(high) else rest
-        below = np.maximum.accumulate(np.append(-np.inf, rest[:-1]))
-        return np.flatnonzero(below < np.minimum(x[i], rest)) + 1
-    # slopes with some slack find the candidates, the written formula decides
-    slope = (rest - x[i]) / np.arange(1, len(rest) + 1)
-    slack = 1e-9 * max(1.0, float(np.abs(x[i:]).max()))
-    likely = np.flatnonzero(slope > np.maximum.accumulate(np.append(-np.inf, slope[:-1])) - slack) + 1
-    return np.array([j for j in likely.tolist() if (rest[: j - 1] < rest[j - 1] + (x[i] - rest[j - 1]) * (j - np.arange(1, j)) / j).all()], dtype=np.int64)
-
-
-def _unlimited(series: DataFrame, kind: str) -> DataFrame:
-    """All edges: each block of sources meets the points from there on by an equi-key, so a task holds one series at most."""
-    ship_package(series.sparkSession)
-    key = dict(series.dtypes)["series"]
-    block = F.floor(F.col("t") / SOURCES)
-    points = series.select("series", F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), block)).alias("block"))
-
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x, t = pdf["x"].to_numpy(float), pdf["t"].to_numpy(np.int64)
-        src, dst = [], []
-        for i in np.flatnonzero(t // SOURCES == pdf["block"].iloc[0]).tolist():
-            j = _seen(x, i, kind)
-            src.append(np.full(len(j), i))
-            dst.append(i + j)
-        a, b = np.concatenate(src), np.concatenate(dst)
-        weight = np.minimum(x[a], x[b]) if kind == "horizontal" else np.abs((x[b] - x[a]) / (b - a))
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]] * len(a), "src": t[a], "dst": t[b], "weight": weight})
-
-    return points.groupBy("series", "block").applyInPandas(edges, f"series {key}, src long, dst long, weight double")
-
-
 def visibility(series: DataFrame, kind: str = "natural", limit: int | None = None, undirected: bool = False) -> DataFrame:
     """Visibility edges (series, src, dst, weight), with a limit only between points at most `limit` steps apart.
 
@@ -85,7 +45,7 @@ def visibility(series: DataFrame, kind: str = "natural", limit: int | None = Non
     if kind not in ("natural", "horizontal"):
         raise ValueError("kind must be 'natural' or 'horizontal'")
     if limit is None:
-        seers = _unlimited(series, kind)
+        seers = whole_visibility(series, kind)
         return both_ways(seers) if undirected else seers
     rows = _ahead(series, limit)
     if kind == "horizontal":

@@ -339,17 +339,6 @@ def khop_graph(spark, sf):
     return rounded(temporal.khop(_series(spark, sf), 4), "weight")
 
 
-@query(
-    "decay_table",
-    "",
-    "SELECT h, round(pow(0.9, h), 6) AS exponential, round(1 / h, 6) AS inverse, round(1 / (h * h), 6) AS inverse_square, round(1 / (1 + ln(h)), 6) AS logarithmic, round(greatest(0, 1 - (h - 1) / 10.0), 6) AS linear FROM (SELECT CAST(unnest(range(1, 11)) AS DOUBLE) AS h)",
-)
-def decay_table(spark, sf):
-    h = F.col("h")
-    names = ("exponential", "inverse", "inverse_square", "logarithmic", "linear")
-    return spark.range(1, 11).select(F.col("id").cast("double").alias("h")).select("h", *(r6(exprs.decay(n, h, 10), n) for n in names))
-
-
 _SEEN = "SELECT a.series, a.t AS src, b.t AS dst, {w} AS weight FROM ser a JOIN ser b ON a.series = b.series AND b.t BETWEEN a.t + 1 AND a.t + 32 WHERE NOT EXISTS (SELECT 1 FROM ser k WHERE k.series = a.series AND k.t > a.t AND k.t < b.t AND {blocked})"
 
 
@@ -702,16 +691,3 @@ def eigenvector_centrality(spark, sf):
 @query("small_world")
 def small_world(spark, sf):
     return rounded(profile.small_world(_graph(spark, sf)), "c", "avg_path", "c_random", "path_random", "sigma")
-
-
-# Series generators
-
-
-@query("sine_series", "", "SELECT t, round(sin(2 * pi() * 0.1 * t), 6) AS x FROM (SELECT unnest(range(0, 200)) AS t)")
-def sine_series(spark, sf):
-    return rounded(panels.closed_form(spark, "sine", 200), "x")
-
-
-@query("logistic_series")
-def logistic_series(spark, sf):
-    return panels.logistic(spark, 60)

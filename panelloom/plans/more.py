@@ -298,7 +298,6 @@ ORACLE["small_world"] = (
     "gc AS (SELECT (SELECT count(*) FROM deg) AS n, (SELECT count(*) FROM und) AS m), q AS (SELECT c, avg_path, 2 * m / (n * (n - 1)) AS c_random, ln(n) / ln(2 * m / n) AS path_random FROM cc, ap, gc) "
     "SELECT round(c, 6) AS c, round(avg_path, 6) AS avg_path, round(c_random, 6) AS c_random, round(path_random, 6) AS path_random, round((c / c_random) / (avg_path / path_random), 6) AS sigma FROM q"
 )
-ORACLE["logistic_series"] = "WITH RECURSIVE s(t, x) AS (SELECT CAST(0 AS BIGINT), 0.4::DOUBLE UNION ALL SELECT t + 1, 3.8::DOUBLE * x * (1 - x) FROM s WHERE t < 59) SELECT t, x FROM s"
 _CELL = "((t * 69069 + node * 1103515245 + 42 * 12345) % 2147483647 * 48271) % 2147483647 / 2147483647.0::DOUBLE"
 ORACLE["whiten_random"] = sql("panel", f"SELECT node, count(*) FILTER (observed AND {_CELL} < 0.95::DOUBLE) AS kept, count(*) FILTER ((observed OR eval) AND NOT (observed AND {_CELL} < 0.95::DOUBLE)) AS held_out FROM panel GROUP BY 1")
 
@@ -308,38 +307,3 @@ def graph_record(spark, sf):
     out = profile.record(_graph(spark, sf))
     names = [f"{how}_{what}" for what in ("degree", "strength", "weight") for how in ("avg", "median", "min", "max", "std")]
     return out.select("nodes", "edges", *(r6(F.col(c).cast("double"), c) for c in names))
-
-
-# Series generators
-
-_NOISE = "((t + 1) * 48271 % 2147483647 * 69621 % 2147483647) / 2147483647.0::DOUBLE * 2 - 1"
-
-
-@query("noise_series", "", f"SELECT t, round({_NOISE}, 9) AS x FROM (SELECT unnest(range(0, 500)) AS t)")
-def noise_series(spark, sf):
-    return rounded(panels.closed_form(spark, "random", 500), "x", digits=9)
-
-
-@query("noisy_sine_series", "", f"SELECT t, round(sin(2 * pi() * 0.1 * t) + 0.1 * ({_NOISE}), 6) AS x FROM (SELECT unnest(range(0, 500)) AS t)")
-def noisy_sine_series(spark, sf):
-    return rounded(panels.closed_form(spark, "noisy_sine", 500), "x")
-
-
-@query("random_walk_series", "", f"SELECT t, round(sum({_NOISE}) OVER (ORDER BY t), 6) AS x FROM (SELECT unnest(range(0, 500)) AS t)")
-def random_walk_series(spark, sf):
-    return rounded(panels.recurrent(spark, "random_walk", 500), "x")
-
-
-@query("ar1_series")
-def ar1_series(spark, sf):
-    return rounded(panels.recurrent(spark, "ar1", 500), "x")
-
-
-@query("lorenz_series")
-def lorenz_series(spark, sf):
-    return rounded(panels.recurrent(spark, "lorenz", 500), "x")
-
-
-_AHEAD = _NOISE.replace("(t + 1)", "(t + 2)")
-ORACLE["ar1_series"] = f"WITH RECURSIVE s(t, x) AS (SELECT CAST(0 AS BIGINT), 48271::BIGINT * 69621 % 2147483647 / 2147483647.0::DOUBLE * 2 - 1 UNION ALL SELECT t + 1, 0.7::DOUBLE * x + 0.5::DOUBLE * ({_AHEAD}) FROM s WHERE t < 499) SELECT t, round(x, 6) AS x FROM s"
-ORACLE["lorenz_series"] = f"WITH RECURSIVE s(t, x) AS (SELECT CAST(0 AS BIGINT), 0.1::DOUBLE UNION ALL SELECT t + 1, x + 0.1::DOUBLE * (10.0::DOUBLE * (0.5::DOUBLE - x) + 0.1::DOUBLE * ({_AHEAD})) FROM s WHERE t < 499) SELECT t, round(x, 6) AS x FROM s"

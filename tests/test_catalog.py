@@ -8,7 +8,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
-from panelloom.plans import catalog, more  # noqa: E402, F401
+from panelloom.plans import catalog, large, more  # noqa: E402, F401
 
 FAST = ["panel_hourly", "mask_counts", "fill_hierarchical", "similarity_graph", "geo_topk", "horizontal_visibility", "natural_visibility", "recurrence_graph", "transition_graph", "metrics_pointwise", "components", "month_split", "sample_windows", "recurrence_scaled", "batches", "component_profile_several", "euclidean_neighbours", "radius_graph", "ar1_series", "panel_loaded"]
 
