@@ -38,7 +38,8 @@ LONGEST = 3
 #: Bytes of text of one language that a task handles at once, and of text whose runs one range of the sketch adds up.
 PIECE_BYTES = 3 << 19
 RANGE_BYTES = 4 << 20
-#: Bits of the map of frequent cells: 32 MB.
+#: Bits of a cell inside its range (some 1.3 million runs), and of the map of frequent cells: 32 MB.
+CELL_BITS = 24
 MAP_BITS = 28
 _CUTS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _WORD = ~_CUTS & ~np.isin(np.arange(256), [0x20, 0x09])
@@ -96,21 +97,33 @@ class Runs:
         return out.tobytes(), begin
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Numbers of CELL_BITS bits as three bytes each."""
+    return np.ascontiguousarray(cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    three = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
+
+
 def _sketched(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cells of 32 + bits bits and their counts (255 at most: the least count is below), a row for each of 2**bits ranges."""
+    """Cells of CELL_BITS + bits bits, a row for each of 2**bits ranges: those that occur once, then those that occur more often, of
+    which counts holds how often (255 at most: the least count is below)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _by_lang(batches, PIECE_BYTES):
-            cells, n = np.unique(np.concatenate(Runs(lang, texts).hashes) >> np.uint64(32 - bits), return_counts=True)
+            cells, n = np.unique(np.concatenate(Runs(lang, texts).hashes) >> np.uint64(64 - CELL_BITS - bits), return_counts=True)
             if not len(cells):
                 continue
-            ends = np.searchsorted(cells, np.arange(1, (1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            ends = np.searchsorted(cells, np.arange(1, (1 << bits) + 1, dtype=np.uint64) << np.uint64(CELL_BITS))
             begins = np.append(0, ends[:-1])
-            low, n = (cells & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
-            some = np.flatnonzero(ends > begins)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([low[begins[p] : ends[p]].tobytes() for p in some], pa.binary()), pa.array([n[begins[p] : ends[p]].tobytes() for p in some], pa.binary())], names=["range", "cells", "counts"]
-            )
+            low, n = (cells & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+            out = []
+            for p in np.flatnonzero(ends > begins).tolist():
+                own, count = low[begins[p] : ends[p]], n[begins[p] : ends[p]]
+                out.append((p, _packed(np.concatenate((own[count == 1], own[count > 1]))), count[count > 1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["range", "cells", "counts"])
 
     return rows
 
@@ -119,14 +132,16 @@ def _frequent(bits: int, least: int) -> Callable[[pa.Table], pa.Table]:
     """A range's part of the map: the bits of its cells whose counts add up to the least count."""
 
     def part(table: pa.Table) -> pa.Table:
-        cells = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["cells"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table["counts"]])
+        cells = [_unpacked(x.as_py()) for x in table["cells"]]
+        more = [np.frombuffer(x.as_py(), np.uint8) for x in table["counts"]]
+        counts = np.concatenate([x for c, m in zip(cells, more) for x in (np.ones(len(c) - len(m), np.uint8), m)])
+        cells = np.concatenate(cells)
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         edge = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         often = cells[edge][np.add.reduceat(counts[order], edge, dtype=np.int64) >= least]
         own = np.zeros(1 << (MAP_BITS - bits), dtype=bool)
-        own[often >> np.uint32(32 - (MAP_BITS - bits))] = True
+        own[often >> np.uint32(CELL_BITS - (MAP_BITS - bits))] = True
         return pa.table({"range": table["range"][:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     return part
