@@ -40,12 +40,20 @@ def masked_euclidean(df: DataFrame, normalize: bool = True) -> DataFrame:
     return both_ways(pairs, "d")
 
 
+#: Nodes of a block of pairs, and blocks at least.
+PAIR_BLOCK = 2048
+LEAST_BLOCKS = 4
+
+
 def _pairs(nodes: DataFrame, d: Column, columns: list[str]) -> DataFrame:
-    """All pairs src < dst of a table of nodes; equal block numbers stand in for a key."""
-    blocks = 16
-    one = nodes.select(F.lit(0).alias("_k"), F.col("node").alias("src"), *(F.col(c).alias(f"{c}1") for c in columns)).withColumn("_b", F.pmod(F.xxhash64("src"), F.lit(blocks)))
-    two = nodes.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("_b"), F.col("node").alias("dst"), *(F.col(c).alias(f"{c}2") for c in columns))
-    return one.join(two, (one._b == two._b) & (F.col("src") < F.col("dst"))).select("src", "dst", d.alias("d"))
+    """All pairs src < dst of a table of nodes with a symmetric d: a task has two blocks of at most about PAIR_BLOCK nodes."""
+    blocks = max(LEAST_BLOCKS, -(-nodes.count() // PAIR_BLOCK))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    side = lambda n, i, j: nodes.withColumn("_b", block).select(i.alias("_i"), j.alias("_j"), F.col("node").alias(f"_n{n}"), *(F.col(c).alias(f"{c}{n}") for c in columns))
+    one = side(1, F.col("_b"), F.explode(F.sequence("_b", F.lit(blocks - 1).cast("long"))))
+    two = side(2, F.explode(F.sequence(F.lit(0).cast("long"), "_b")), F.col("_b"))
+    met = one.join(two, ["_i", "_j"]).filter("_i < _j OR _n1 < _n2")
+    return met.select(F.least("_n1", "_n2").alias("src"), F.greatest("_n1", "_n2").alias("dst"), d.alias("d")).filter("src < dst")
 
 
 @registered(DISTANCES, "haversine")
@@ -76,6 +84,14 @@ def correlation_distance(df: DataFrame) -> DataFrame:
     return m.select("src", "dst", (1 - F.abs(r)).alias("d"))
 
 
+@registered(DISTANCES, "signed_correlation")
+def signed_correlation(df: DataFrame) -> DataFrame:
+    """Minus the Pearson correlation over common observed steps, both directions: below 0 for series that go together."""
+    x = df.filter("observed")
+    a, b = x.select("t", F.col("node").alias("src"), F.col("value").alias("a")), x.select("t", F.col("node").alias("dst"), F.col("value").alias("b"))
+    return both_ways(a.join(b, "t").filter("src < dst").groupBy("src", "dst").agg((-F.corr("a", "b")).alias("d")).filter("NOT isnan(d)"), "d")
+
+
 @registered(AFFINITIES, "gaussian")
 def gaussian(distances: DataFrame, gamma: float = 1.0, theta: str = "std", diagonal: int = 0) -> DataFrame:
     """exp(-gamma (d / theta)^2) over valid entries, both directions; theta is their sample deviation or lower median.
@@ -105,10 +121,12 @@ def _finish(edges: DataFrame, symmetric: bool, binary: bool) -> DataFrame:
 
 
 #: Columns that a distance reads: series, or coordinates.
-INPUTS = {"masked_euclidean": {"t", "node", "value", "train"}, "haversine": {"node", "latitude", "longitude"}}
+INPUTS = {"masked_euclidean": {"t", "node", "value", "train"}, "signed_correlation": {"t", "node", "value", "observed"}, "haversine": {"node", "latitude", "longitude"}}
 #: Affinities that take distances of 0 and more only, and distances that may be negative.
 NON_NEGATIVE_ONLY = {"gaussian"}
-MAY_BE_NEGATIVE: set[str] = set()
+MAY_BE_NEGATIVE = {"signed_correlation"}
+#: Nodes of a dense matrix at most: its column ids go to all tasks in one row (8 bytes each).
+DENSE_NODES = 100_000
 
 
 def resolve_k(k: float, nodes: int) -> int:
@@ -149,7 +167,9 @@ def geographic_knn(affinity: DataFrame, k: float, weighted: bool = True, loops:
 
 
 def dense(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, row): each node's weights to all nodes in order of their ids, 0 where there is no edge."""
+    """(src, row): each node's weights to all nodes in order of their ids, 0 where there is no edge; at most DENSE_NODES nodes."""
+    if (n := nodes.select("node").distinct().count()) > DENSE_NODES:
+        raise ValueError(f"a dense matrix of {n} nodes: at most {DENSE_NODES}; use the edges")
     ids = nodes.agg(F.sort_array(F.collect_set("node")).alias("ids"))  # one row: a row of the matrix has as many entries
     near = edges.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "weight"))).alias("near"))
     rows = nodes.select(F.col("node").alias("src")).distinct().join(near, "src", "left").join(F.broadcast(ids))

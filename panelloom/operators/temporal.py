@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import exprs
 from panelloom.operators.visibility import whole_visibility
-from panelloom.session import ship_package
+from panelloom.session import release, ship_package, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,15 @@ def khop(steps: DataFrame, k: int, decay: str = "exponential", undirected: bool
     return both_ways(edges) if undirected else edges
 
 
+def khop_numbered(steps: DataFrame, k: int, decay: str = "exponential", undirected: bool = False) -> DataFrame:
+    """(src, dst, weight) of all series as one graph: step t of the n-th series (in order, from 0) is node n * T + t, with T the
+    steps of the longest. A row for each series is numbered in one task."""
+    names = steps.select("series").distinct().withColumn("_n", F.row_number().over(Window.orderBy("series")) - 1)
+    whole = steps.agg((F.max("t") + 1).alias("_T"))  # one row
+    place = lambda c: F.col("_n") * F.col("_T") + F.col(c)
+    return khop(steps, k, decay, undirected).join(names, "series").join(F.broadcast(whole)).select(place("src").alias("src"), place("dst").alias("dst"), "weight")
+
+
 def _ahead(series: DataFrame, limit: int) -> DataFrame:
     """Each point with the next `limit` ones as an array (a window frame, not a join)."""
     frame = Window.partitionBy("series").orderBy("t").rowsBetween(1, limit)
@@ -96,18 +105,62 @@ def radii(points: DataFrame, share: float) -> DataFrame:
     return spans.groupBy("series").agg((share * F.sqrt(F.sum(F.col("s") * F.col("s")))).alias("radius"))
 
 
-def percentile_radii(points: DataFrame, share: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
-    """(series, radius): r_low + share * (r_high - r_low) of the Euclidean distances above 0 of all pairs of a series' points.
+#: Points of a block of pairs; parts that a range of distances is cut into; values of a range that are put in order.
+PAIR_BLOCK = 512
+PARTS = 4096
+FEW = 200_000
 
-    All pairs of time points are what is measured; they meet by an equi-key in blocks of points and go into counts of distinct
-    distances, which the percentiles are taken from."""
-    block = F.floor(F.col("t") / 512)
-    last = points.groupBy("series").agg(F.floor(F.max("t") / 512).alias("last"))
+
+def pair_distances(points: DataFrame) -> DataFrame:
+    """(series, d): Euclidean distances of all pairs of a series' points, which meet by an equi-key in blocks of points."""
+    block = F.floor(F.col("t") / PAIR_BLOCK)
+    last = points.groupBy("series").agg(F.floor(F.max("t") / PAIR_BLOCK).alias("last"))
     one = points.join(last, "series").select("series", F.col("t").alias("t1"), F.col("v").alias("v1"), block.alias("b1"), F.explode(F.sequence(block, "last")).alias("b2"))
     two = points.select("series", F.col("t").alias("t2"), F.col("v").alias("v2"), block.alias("b2"))
-    pairs = one.join(two, ["series", "b2"]).filter("t1 < t2").select("series", exprs.euclidean(F.col("v1"), F.col("v2")).alias("d")).filter("d > 0")
-    ends = pairs.groupBy("series").agg(F.percentile("d", [low / 100, high / 100]).alias("p"))
-    return ends.select("series", (F.col("p")[0] + share * (F.col("p")[1] - F.col("p")[0])).alias("radius"))
+    return one.join(two, ["series", "b2"]).filter("t1 < t2").select("series", exprs.euclidean(F.col("v1"), F.col("v2")).alias("d"))
+
+
+def order_statistics(values: DataFrame, ranks: DataFrame, few: int = FEW) -> DataFrame:
+    """(series, rank, value): the values of given ranks (from 0) among each series' d, exactly, without putting them in order.
+
+    values (series, d) is passed over once a round: each round counts, for the range of values that a rank lies in, how many
+    fall into each of PARTS equal parts, and goes on in the part that holds the rank, with its own least and largest value. Ranges
+    of at most `few` values, or of one value, end it: those values alone are ordered. What is shuffled is counts, PARTS for a range."""
+    ends = values.groupBy("series").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n"))
+    state = stored(ranks.join(ends, "series").filter("rank >= 0 AND rank < n").select("series", "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), "n"), "ranks")
+    while True:
+        wide = state.filter((F.col("n") > few) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            break
+        ranges = wide.select("series", "lo", "hi").distinct()
+        part = F.least(F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))
+        counts = values.join(ranges, "series").filter("d >= lo AND d <= hi").groupBy("series", "lo", "hi", part.alias("part")).agg(F.count("*").alias("n2"), F.min("d").alias("lo2"), F.max("d").alias("hi2"))
+        before = F.coalesce(F.sum("n2").over(Window.partitionBy("series", "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before)
+        inside = wide.join(counts, ["series", "lo", "hi"]).filter("rank >= below + before AND rank < below + before + n2")
+        nxt = inside.select("series", "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("below") + F.col("before")).alias("below"), F.col("n2").alias("n"))
+        old, state = state, stored(state.filter((F.col("n") <= few) | (F.col("lo") == F.col("hi"))).unionByName(nxt), "ranks")
+        release(old)
+    ready = state.filter("lo = hi").select("series", "rank", F.col("lo").alias("value"))
+    short = state.filter("lo < hi")
+    held = values.join(short.select("series", "lo", "hi", "below").distinct(), "series").filter("d >= lo AND d <= hi")
+    placed = held.select("series", (F.col("below") + F.row_number().over(Window.partitionBy("series", "lo", "hi").orderBy("d")) - 1).alias("rank"), F.col("d").alias("value"))
+    return ready.unionByName(short.select("series", "rank").join(placed, ["series", "rank"]).dropDuplicates(["series", "rank"]))
+
+
+def percentile_radii(points: DataFrame, share: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
+    """(series, radius): r_low + share * (r_high - r_low) of the Euclidean distances above 0 of all pairs of a series' points.
+
+    All pairs of time points are what is measured; the percentiles (linear between ranks) are selected by counts."""
+    pairs = pair_distances(points).filter("d > 0")
+    places = pairs.groupBy("series").agg(F.count("*").alias("n")).select("series", F.explode(F.array(*(F.struct(F.lit(k).alias("end"), ((F.col("n") - 1) * (p / 100)).alias("at")) for k, p in enumerate((low, high))))).alias("e")).select("series", "e.end", "e.at")
+    places = stored(places, "places")
+    ranks = places.select("series", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    found = stored(order_statistics(pairs, ranks), "found")
+    value = lambda name: found.select("series", "rank", F.col("value").alias(name))
+    ends = places.withColumns({"r1": F.floor("at"), "r2": F.ceil("at")}).join(value("v1").withColumnRenamed("rank", "r1"), ["series", "r1"]).join(value("v2").withColumnRenamed("rank", "r2"), ["series", "r2"])
+    p = ends.select("series", "end", (F.col("v1") + (F.col("v2") - F.col("v1")) * (F.col("at") - F.col("r1"))).alias("p")).groupBy("series").agg(F.max(F.when(F.col("end") == 0, F.col("p"))).alias("lo"), F.max(F.when(F.col("end") == 1, F.col("p"))).alias("hi"))
+    return p.select("series", (F.col("lo") + share * (F.col("hi") - F.col("lo"))).alias("radius"))
 
 
 def neighbours(points: DataFrame, radius: float | DataFrame, theiler: int = -1, euclidean: bool = False, inclusive: bool = False) -> DataFrame:
@@ -197,14 +250,43 @@ def quantile_graph(series: DataFrame, bins: int, loops: bool = False) -> DataFra
     return out if loops else out.filter("src <> dst")
 
 
-def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15) -> DataFrame:
+def central(series: DataFrame, points: int) -> DataFrame:
+    """The middle `points` steps of each series (all of a shorter one), counted from 0 again."""
+    if points < 1:
+        raise ValueError("points must be positive")
+    n = F.count("*").over(Window.partitionBy("series"))
+    first = F.greatest(F.floor(F.col("_n") / 2) - points // 2, F.lit(0))
+    rows = series.withColumn("_n", n).withColumn("_from", first).filter((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_from") + points))
+    return rows.select("series", (F.col("t") - F.col("_from")).alias("t"), "x")
+
+
+def noisy(series: DataFrame, deviation: float | None = None, seed: int = 42) -> DataFrame:
+    """Series with normal noise of the given deviation of its scaled values; None: a millionth of the least step between two
+    values in order, which parts equal embeddings without moving others. The same seed gives the same noise on any cluster."""
+    if deviation is None:
+        steps = series.withColumn("_d", F.col("x") - F.lag("x").over(Window.partitionBy("series").orderBy("x"))).groupBy("series").agg((F.min("_d") * 1e-6).alias("_s"))
+    else:
+        steps = series.groupBy("series").agg((deviation * F.when(F.stddev_pop("x") > 0, F.stddev_pop("x")).otherwise(1.0)).alias("_s"))
+    uniform = lambda k: (F.pmod(F.xxhash64("series", "t", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    normal = F.sqrt(-2 * F.ln(uniform(0))) * F.cos(2 * F.pi() * uniform(1))
+    return series.join(steps, "series").select("series", "t", (F.col("x") + F.coalesce("_s", F.lit(1e-6)) * normal).alias("x"))
+
+
+def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15, points: int | None = None, noise: float | str | None = None) -> DataFrame:
     """(series, dim, e, e_star): Cao's E(d), the mean stretch of nearest neighbours from d to d + 1 dimensions, and E*(d), their
     mean distance in the coordinate that is new, for d = 1 ... max_dim. Series are scaled to a deviation of 1.
 
+    points: only the middle ones are measured, after scaling. noise: a deviation, or 'auto' for a millionth of the least step.
+
     Points are dealt into blocks of QUERIES; a block meets its whole series by an equi-key, one block a task at a time."""
     ship_package(series.sparkSession)
-    stats = series.groupBy("series").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.max("t").alias("_last"))
-    scaled = series.join(stats, "series").select("series", F.col("t").cast("long").alias("t"), F.try_divide(F.col("x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("x"), "_last")
+    stats = series.groupBy("series").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
+    scaled = series.join(stats, "series").select("series", F.col("t").cast("long").alias("t"), F.try_divide(F.col("x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("x"))
+    if noise is not None:
+        scaled = noisy(scaled, None if noise == "auto" else float(noise))
+    if points is not None:
+        scaled = central(scaled, points)
+    scaled = scaled.join(scaled.groupBy("series").agg(F.max("t").alias("_last")), "series")
     points = scaled.select("series", "t", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / QUERIES))).alias("block"))
     key = dict(series.dtypes)["series"]
 
@@ -235,11 +317,13 @@ def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15) -> DataFrame:
 QUERIES = 256
 
 
-def cao_dimension(series: DataFrame, lag: int = 1, max_dim: int = 15, threshold: float = 0.95, change: float = 0.10) -> DataFrame:
+def cao_dimension(series: DataFrame, lag: int = 1, max_dim: int = 15, threshold: float = 0.95, change: float = 0.10, points: int | None = None, noise: float | str | None = None) -> DataFrame:
     """Embedding dimension of each series by Cao's ratios E1(d) = E(d + 1) / E(d): the first d from 2 to max_dim - 2 with
     E1 >= threshold and a relative change to E1(d + 1) below `change`; NULL where there is none."""
+    if max_dim < 3:
+        raise ValueError("max_dim must be over 2")
     order = Window.partitionBy("series").orderBy("dim")
-    ratios = cao_ratios(series, lag, max_dim).withColumn("e1", F.try_divide(F.lead("e").over(order), F.col("e")))
+    ratios = cao_ratios(series, lag, max_dim, points, noise).withColumn("e1", F.try_divide(F.lead("e").over(order), F.col("e")))
     ratios = ratios.withColumn("e2", F.lead("e1").over(order))
     good = F.col("dim").between(2, max_dim - 2) & (F.col("e1") >= threshold) & (F.abs(F.col("e2") - F.col("e1")) / F.col("e1") < change)
     found = ratios.groupBy("series").agg(F.min(F.when(good, F.col("dim"))).cast("long").alias("dim"))

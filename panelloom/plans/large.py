@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from panelloom.operators import draws, paths, profile, temporal
+import uuid
+
+from pyspark.sql import functions as F
+
+from panelloom.operators import cells, draws, paths, profile, spatial, temporal
 from panelloom.plans.catalog import _HOPS, ORACLE, _graph, _series, query, rounded
 from panelloom.plans.ctes import sql
+from panelloom.session import shared_dir
+from panelloom.sources import panels
+from panelloom.streaming import state_panel
 
 _GRAPH = sql("graph", "")[5:].strip()
 
@@ -111,3 +118,55 @@ def chunked_visibility_whole(spark, sf):
     """Edges of any length inside the windows."""
     return rounded(temporal.chunked_visibility(_series(spark, sf), 48, 24), "weight")
 
+
+# Panels
+
+
+@query(
+    "panel_stream",
+    "p0",
+    ", wm AS (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 DAY AS w FROM events), cl AS (SELECT node, ts, t, value, observed FROM p0, wm WHERE ts + INTERVAL 1 HOUR <= w), sp AS (SELECT node, min(t) AS a, max(t) AS b FROM cl WHERE observed GROUP BY 1) "
+    "SELECT cl.node, epoch(ts)::BIGINT // 3600 AS hour, value, observed, last_value(value IGNORE NULLS) OVER (PARTITION BY cl.node ORDER BY t) AS filled, 0::BIGINT AS late FROM cl JOIN sp ON sp.node = cl.node AND t BETWEEN a AND b",
+)
+def panel_stream(spark, sf):
+    """The events as a stream of cells with state; what the watermark (a day) has passed."""
+    cells_ = state_panel.gap_filled(state_panel.events_stream(spark, sf, "events.parquet"), "1 day")
+    out = state_panel.run_available(cells_, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return out.select("node", F.expr("unix_seconds(ts) div 3600").alias("hour"), "value", "observed", "filled", "late")
+
+
+_MASKED = sql("graph", "SELECT src, dst, round(weight, 6) AS weight FROM graph").replace("AS eval, observed AND NOT (t * 31 + node * 17) % 10 = 0 AS train", "AS eval, observed AND NOT (t * 31 + node * 17) % 10 = 0 AND node NOT IN (3, 7) AS train")
+
+
+@query("graph_of_masked_panel")
+def graph_of_masked_panel(spark, sf):
+    panel = cells.training(panels.load(spark, sf, "hourly", masked=[3, 7]))
+    return rounded(spatial.SimilarityGraph(affinity_args={"gamma": 0.1}, sparsifier_args={"k": 3})(panel), "weight")
+
+
+ORACLE["graph_of_masked_panel"] = _MASKED
+
+
+@query("adjacency_edges", "graph", "SELECT 0 AS sample, (row_number() OVER (PARTITION BY src ORDER BY dst) * 0 + src)::INT AS src, dst::INT AS dst, round(weight, 6) AS weight FROM graph")
+def adjacency_edges(spark, sf):
+    """The graph as a dense matrix, and back to edges; its nodes are 0 ... 35, so places are ids."""
+    g = _graph(spark, sf)
+    rows = spatial.dense(g, panels.hourly(spark, sf).select("node").distinct())
+    samples = rows.groupBy(F.lit(0).alias("sample")).agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "row"))), lambda r: r["row"]).alias("adj"))
+    return rounded(panels.adjacency_to_edges(samples), "weight")
+
+
+@query(
+    "khop_numbered",
+    "ser",
+    ", nm AS (SELECT series, row_number() OVER (ORDER BY series) - 1 AS n FROM (SELECT DISTINCT series FROM ser)), tt AS (SELECT max(t) + 1 AS T FROM ser) "
+    "SELECT n * T + a.t AS src, n * T + a.t + h AS dst, round(pow(0.9, h), 6) AS weight FROM ser a JOIN nm ON nm.series = a.series, tt, (SELECT unnest([1, 2, 3]) AS h) WHERE a.t + h < (SELECT max(t) + 1 FROM ser s WHERE s.series = a.series)",
+)
+def khop_numbered(spark, sf):
+    return rounded(temporal.khop_numbered(_series(spark, sf), 3), "weight")
+
+
+@query("cao_central")
+def cao_central(spark, sf):
+    """Rows only: nearest neighbours in up to 15 dimensions, of the middle 500 steps, with noise (held against brute force in the tests)."""
+    return rounded(temporal.cao_ratios(_series(spark, sf), points=500, noise="auto"), "e", "e_star")

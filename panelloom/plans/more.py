@@ -70,14 +70,14 @@ def _weeks(spark, sf):
     "daily",
     _WEEKS
     + ", tr AS (SELECT node, month(ts) AS m, floor(avg(value)) AS trend FROM daily GROUP BY 1, 2), sc AS (SELECT avg(value) AS b, stddev_pop(value) AS s FROM daily WHERE observed), "
-    "rw AS (SELECT wk.sample, k, d.t, d.node, d.value - tr.trend AS y, d.observed AND NOT (d.observed AND d.t % 10 = 0) AS mask, d.observed AND d.t % 10 = 0 AS eval FROM wk, (SELECT unnest(range(0, 9)) AS k) JOIN daily d ON d.t = wk.first_t + k JOIN tr ON tr.node = d.node AND tr.m = month(d.ts) WHERE wk.sample % 7 = 0) "
+    "rw AS (SELECT wk.sample, k, d.t, d.node, d.value - tr.trend AS y, d.observed AND NOT (d.observed AND d.t % 10 = 0) AS mask, d.observed AND d.t % 10 = 0 AS eval FROM wk, (SELECT unnest(range(0, 9)) AS k) JOIN daily d ON d.t = wk.first_t + k JOIN tr ON tr.node = d.node AND tr.m = month(d.ts)) "
     "SELECT sample, CASE WHEN k < 7 THEN 'window' ELSE 'horizon' END AS part, k AS step, t, node, round(CASE WHEN mask THEN (y - b) / (s + 1e-6) ELSE 0 END, 6) AS x, y, mask, eval FROM rw, sc",
 )
 def sample_windows(spark, sf):
     p = stored(_daily(spark, sf), "daily")
     by_month = p.groupBy("node", F.month("ts").alias("_m")).agg(F.floor(F.avg("value")).cast("double").alias("trend"))
     trend = p.withColumn("_m", F.month("ts")).join(by_month, ["node", "_m"]).select("t", "node", "trend")
-    weekly = split.samples(p, 7).filter("sample % 7 = 0")
+    weekly = split.samples(p, 7)
     out = windows.materialise(p, weekly, 7, 2, trend, cells.standard_scaler(p.filter("observed"), []))
     return rounded(out, "x").withColumn("step", F.col("step").cast("long"))
 

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 SECONDS = {"hour": 3600, "day": 86400}
 
@@ -117,6 +118,35 @@ def arrays_to_long(samples: DataFrame, column: str, window: int | None = None) -
     return by_step.select("sample", "t", F.posexplode("nodes").alias("node", "value"))
 
 
+def adjacency_to_edges(samples: DataFrame, column: str = "adj") -> DataFrame:
+    """(sample, <column> square array of arrays) as edges (sample, src, dst, weight) of the entries that aren't 0 or NULL."""
+    rows = samples.select("sample", F.posexplode(column).alias("src", "_row"))
+    return rows.select("sample", "src", F.posexplode("_row").alias("dst", "weight")).filter("weight <> 0")
+
+
+def as_series(df: DataFrame, value: str = "x", series: str | None = None, step: str = "t") -> DataFrame:
+    """Columns of any table as series (series, t, x double), as the operators on series take them; without `series` it is one.
+
+    A missing column is a KeyError; values that aren't numbers, or steps that aren't whole ones, are a TypeError; both are told
+    from the schema, before any data is read. NULL, NaN and infinite values, and steps that repeat or leave a gap, fail the
+    job that reads them."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    for c in (value, step, *([series] if series else [])):
+        if c not in kinds:
+            raise KeyError(f"no column {c!r}: there are {sorted(kinds)}")
+    if not isinstance(kinds[value], NumericType):
+        raise TypeError(f"{value!r} holds {kinds[value].simpleString()}, not numbers")
+    if not isinstance(kinds[step], IntegralType):
+        raise TypeError(f"{step!r} holds {kinds[step].simpleString()}, not whole steps")
+    key = F.col(series) if series else F.lit(0)
+    rows = df.select(key.alias("series"), F.col(step).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
+    order = F.row_number().over(Window.partitionBy("series").orderBy("t")) - 1
+    bad = F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))
+    whole = F.when(bad, F.raise_error(F.lit("a series holds NULL, NaN or an infinite value"))).otherwise(F.col("x"))
+    dense = F.when(F.col("_at") != F.col("t"), F.raise_error(F.lit("steps of a series must count 0, 1, 2 ..."))).otherwise(F.col("t"))
+    return rows.withColumn("_at", order).select("series", dense.cast("long").alias("t"), whole.cast("double").alias("x"))
+
+
 def noise(t: Column, seed: int = 1) -> Column:
     """Uniform in -1 ... 1, by two steps of a multiplicative generator from t."""
     return ((t + seed) * 48271 % 2147483647 * 69621 % 2147483647) / 2147483647.0 * 2 - 1
