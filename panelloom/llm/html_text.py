@@ -2,17 +2,19 @@
 
 Blocks of a page are chrome (inside menus, headers, footers, sidebars, notices, adverts, forms, reader comments), article
 (inside article or main) or open. The words of all blocks of a page are its stream; a run is RUN consecutive words of it.
-A run that stands on two distinct pages of a host or more is boilerplate, inside an article as well as outside. A block that
-such runs cover wholly goes; from others the runs inside the block are cut, and unique words stay. Of what is left, chrome
-goes too; inside an article, class names are chrome only where all their words are (`related-work` is not).
+A run that touches open blocks of two distinct pages of a host or more is boilerplate, wherever else it stands. A block that such runs cover wholly goes; from others the runs inside the block are cut, and unique words
+stay. What only articles share is text that they quote, or copies: it stays; what only chrome shares goes with the chrome. Of what is left, chrome goes too; inside an
+article, class names are chrome only where all their words are (`related-work` is not). An article inside a sidebar, menu,
+footer, dialog or an element whose whole class or id names furniture (comments) is chrome if that element is closed.
 
 Runs are counted over the whole host, however many pages it has:
 
 1. Pages are stored in pieces of about PIECE_BYTES. A run's anchor is the least hash of its GRAM-grams, with the host; equal
    runs have equal anchors. Each piece sends its distinct anchors, with a page of each, to buckets by their hash; a bucket
-   answers by a bit for each anchor: does it stand on two distinct pages?
+   answers by a bit for each anchor: does it stand in open blocks of two distinct pages?
 2. The runs of anchors that do are sent and answered in the same way, as 64-bit hashes.
-3. Each piece cuts the runs whose bit is set. Pages of one host with equal blocks are one page to the rule.
+3. Each piece cuts the runs whose bit is set. Pages of one host with equal articles (without one: equal open blocks) are one
+   page to the rule, whatever their menus.
 
 A bucket has about BUCKET_KEYS words' keys, each once a piece, so no host and no run lands in one task. Pieces are stored in
 buckets by their number, so that the answers come to them and texts are never shuffled. Anchors are sent as 32 bits: two that
@@ -30,6 +32,7 @@ from __future__ import annotations
 import html
 import re
 import uuid
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -46,13 +49,15 @@ GRAM = 4
 PIECE_BYTES = 1 << 22
 PIECE_ROWS = 50_000
 BUCKET_KEYS = 1 << 22
-#: Owner of a key that a piece has on two pages or more, and buckets of pieces at most (what Spark allows).
+#: Owners of keys that a piece has in open blocks of two pages or more, and of none; buckets of pieces at most (what Spark
+#: allows).
 MANY = 65535
+NONE = 65534
 MOST_PARTS = 100_000
 
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 _STOP = re.compile("[>\"']")
-_ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 # HTML element names by how they count here.
@@ -61,6 +66,8 @@ CHROME = frozenset("nav footer aside form menu dialog button fieldset datalist a
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Chrome that stays chrome around an article, where its end tag follows.
+FIRM = frozenset("nav footer aside menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Words of class, id and role that name page furniture.
 HINTS = frozenset(
@@ -130,25 +137,68 @@ def markup(page: str):
     yield page[done:], "", ""
 
 
+def _closed(tags: list[tuple[str, str, str]]) -> set[int]:
+    """Which start tags have an end tag of their name of their own."""
+    open_: dict[str, list[int]] = {}
+    out = set()
+    for k, (_, name, _) in enumerate(tags):
+        if name.startswith("/"):
+            if mine := open_.get(name[1:]):
+                out.add(mine.pop())
+        elif name:
+            open_.setdefault(name, []).append(k)
+    return out
+
+
+class _Chrome:
+    """Open elements from the outermost chrome element on, with how many of each name, and of firm ones, are open."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[str, bool]] = []
+        self.count: Counter = Counter()
+        self.firm = 0
+
+    def __bool__(self) -> bool:
+        return bool(self.names)
+
+    def push(self, name: str, firm: bool) -> None:
+        self.names.append((name, firm))
+        self.count[name] += 1
+        self.firm += firm
+
+    def pop(self) -> str:
+        name, firm = self.names.pop()
+        self.count[name] -= 1
+        self.firm -= firm
+        return name
+
+    def clear(self) -> None:
+        while self.names:
+            self.pop()
+
+    def inline(self) -> bool:
+        """Chrome inside a line: its words go, the line stays one block."""
+        return self.names[0][0] not in BLOCKS and self.names[0][0] not in CHROME
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, kind) of each block in page order; kind 0 chrome, 1 open, 2 article."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    skip: list[str] = []  # open elements from the outermost chrome element on
+    skip = _Chrome()
     depth = 0  # of article and main
+    tags = list(markup(page))
+    closed = _closed(tags)
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, 0 if skip and not inline() else 2 if depth else 1))
+                out.append((text, 0 if skip and not skip.inline() else 2 if depth else 1))
 
-    def inline() -> bool:  # chrome inside a line: its words go, the line stays one block
-        return skip[0] not in BLOCKS and skip[0] not in CHROME
-
-    for text, name, attrs in markup(page):
-        if text and not (skip and inline()):
+    for k, (text, name, attrs) in enumerate(tags):
+        if text and not (skip and skip.inline()):
             parts.append(text)
         if not name or name in RAW:
             continue
@@ -159,7 +209,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             name = name[1:]
             if name in BLOCKS or name in CHROME:
                 flush()
-            if skip and name in skip:
+            if skip.count[name]:
                 while skip.pop() != name:
                     pass
             elif name in ("article", "main") and depth:
@@ -171,14 +221,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         chrome = name in CHROME or name in ("header", "noscript") and not depth or bool(attrs) and _furniture(attrs, depth > 0 or name in ("article", "main"))
         if name in ("article", "main") and not chrome:
-            if skip and not depth:
-                skip.clear()  # furniture that was never closed
+            if skip and not depth and not skip.firm:
+                skip.clear()  # furniture that was never closed, or that names a whole page's layout
             if not skip:
                 depth += 1
                 continue
         if skip or chrome:
             if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or not skip:  # their end tags may be left out
-                skip.append(name)
+                skip.push(name, chrome and k in closed and (name in FIRM or bool(attrs) and name not in ("html", "body", "form") and _furniture(attrs, True)))
     flush()
     return out
 
@@ -238,16 +288,18 @@ _PIECES = "piece long, n_words long, pages array<struct<page_id:long,url:string,
 
 
 class _Piece:
-    """Runs of a piece's pages (at: first word), with their page, key and anchor, and each page's identity."""
+    """Runs of a piece's pages (at: first word), with their page, key and anchor, whether they touch an open block, and each page's
+    identity: its article, or what it has outside chrome."""
 
     def __init__(self, pages: list[dict]) -> None:
         self.w = w = words(pa.array([p["text"] for p in pages], pa.large_string()), SPACED)
         hosts = words(pa.array(["h" + p["host"].replace(" ", "_") for p in pages], pa.large_string()), np.ones(256, bool)).hashes
-        lines = words(pa.array([p["text"] + "\n" + p["kinds"] + "." for p in pages], pa.large_string()), np.ones(256, bool)).hashes
-        self.identity = mix(lines ^ mix(hosts))
+        lines = [p["text"].split("\n") if p["kinds"] else [] for p in pages]
+        main = ["a" + "\n".join(t for t, k in zip(mine, p["kinds"]) if k == max(p["kinds"])) for mine, p in zip(lines, pages)]
+        self.identity = mix(words(pa.array(main, pa.large_string()), np.ones(256, bool)).hashes ^ mix(hosts))
         total, row_of = len(w.hashes), w.row_of
         if total < RUN:
-            self.at, self.page, self.key, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.at, self.page, self.key, self.anchor, self.open = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
             return
         sums, salt = prefix_sums(w.hashes), mix(hosts)[row_of]
         i = np.arange(total - RUN + 1)
@@ -258,23 +310,28 @@ class _Piece:
         self.page = row_of[self.at]
         self.key = mix(range_hash(sums, self.at, self.at + RUN) ^ salt[self.at])
         self.anchor = anchor[self.at]
+        sizes = [line.count(" ") + 1 for mine in lines for line in mine]
+        open_ = np.repeat(np.frombuffer("".join(p["kinds"] for p in pages).encode(), np.uint8) == ord("1"), sizes)
+        before = np.append(0, np.cumsum(open_))
+        self.open = before[self.at + RUN] > before[self.at]
 
     def keep(self, mask: np.ndarray) -> None:
-        self.at, self.page, self.key, self.anchor = self.at[mask], self.page[mask], self.key[mask], self.anchor[mask]
+        self.at, self.page, self.key, self.anchor, self.open = self.at[mask], self.page[mask], self.key[mask], self.anchor[mask], self.open[mask]
 
 
 class _Keys:
     """The distinct keys of a piece in the order they are sent: by bucket, owner and key.
 
-    owner is a page's identity (its number among `pages`), or MANY where the piece has two pages or more."""
+    owner is the identity of the page that has the key in an open block (its number among `pages`), MANY where the piece has two or
+    more such pages, NONE where it has none."""
 
     def __init__(self, p: _Piece, runs: bool, buckets: int) -> None:
         keys, self.back = np.unique(p.key if runs else p.anchor, return_inverse=True)
         self.pages, who = np.unique(p.identity, return_inverse=True)
         lo, hi = np.full(len(keys), len(self.pages)), np.full(len(keys), -1)
-        np.minimum.at(lo, self.back, who[p.page])
-        np.maximum.at(hi, self.back, who[p.page])
-        owner = np.where(lo < hi, MANY, lo).astype(np.uint16)
+        np.minimum.at(lo, self.back[p.open], who[p.page[p.open]])
+        np.maximum.at(hi, self.back[p.open], who[p.page[p.open]])
+        owner = np.where(hi < 0, NONE, np.where(lo < hi, MANY, lo)).astype(np.uint16)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
         self.order = np.lexsort((keys, owner, bucket))
         self.owner, bucket = owner[self.order], bucket[self.order]
@@ -300,6 +357,13 @@ def _rows(batches):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
+def _sent_pages(pages: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The identities that a bucket's keys name, and the owners as numbers among those."""
+    named, number = np.unique(owner, return_inverse=True)
+    single = named[named < NONE]  # the first ones: NONE and MANY are larger
+    return pages[single], np.append(np.arange(len(single)), named[len(single) :]).astype(np.uint16)[number]
+
+
 def _send(buckets: int, runs: bool):
     """Distinct anchors of each piece, or distinct runs of the answered anchors, for each bucket."""
 
@@ -311,25 +375,27 @@ def _send(buckets: int, runs: bool):
             k = _Keys(p, runs, buckets)
             for b, lo, hi in zip(k.buckets.tolist(), k.ends[:-1].tolist(), k.ends[1:].tolist()):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (k.pages, k.keys[lo:hi], k.owner[lo:hi]))], names=["bucket", "piece", "pages", "keys", "owner"]
+                    [pa.array([b], pa.int32()), pa.array([row["piece"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (*_sent_pages(k.pages, k.owner[lo:hi]), k.keys[lo:hi]))],
+                    names=["bucket", "piece", "pages", "owner", "keys"],
                 )
 
     return send
 
 
 def _answer(runs: bool, batches):
-    """A bit for each key of a bucket that stands on two distinct pages or more; a bucket's rows come one after the other."""
+    """A bit for each key of a bucket that stands in open blocks of two distinct pages or more; a bucket's rows come one after the
+    other."""
     bucket, rows = None, []
 
     def flush():
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64 if runs else np.uint32) for r in rows])
         owner = [np.frombuffer(r["owner"], np.uint16) for r in rows]
-        pages = np.concatenate([np.append(np.frombuffer(r["pages"], np.uint64), np.uint64(0))[np.minimum(o, len(r["pages"]) // 8)] for r, o in zip(rows, owner)])
+        least, most = (np.concatenate([np.append(np.frombuffer(r["pages"], np.uint64), none)[np.minimum(o, len(r["pages"]) // 8)] for r, o in zip(rows, owner)]) for none in (np.uint64(2**64 - 1), np.uint64(0)))
         many = np.concatenate(owner) == MANY
         order = np.argsort(keys, kind="stable")
-        ordered, pages, many = keys[order], pages[order], many[order]
+        ordered = keys[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        repeated = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(pages, first) < np.maximum.reduceat(pages, first))
+        repeated = np.logical_or.reduceat(many[order], first) | (np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first))
         bits = np.zeros(len(keys), bool)
         bits[order] = np.repeat(repeated, np.diff(np.append(first, len(keys))))
         at = np.cumsum([0] + [len(o) for o in owner])
@@ -389,7 +455,7 @@ def _cut(buckets: int):
 
 def _exchange(pieces: DataFrame, buckets: int, parts: int, runs: bool) -> DataFrame:
     """For each piece the answers to its keys, dealt as the pieces are."""
-    sent = pieces.mapInArrow(_send(buckets, runs), "bucket int, piece long, pages binary, keys binary, owner binary")
+    sent = pieces.mapInArrow(_send(buckets, runs), "bucket int, piece long, pages binary, owner binary, keys binary")
     answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_answer, runs), "piece long, bucket int, bits binary")
     name = "runs" if runs else "anchors"
     gathered = answers.repartition(parts, "piece").groupBy("piece").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))

@@ -280,8 +280,9 @@ def test_html_repeats_over_a_whole_host(spark, monkeypatch):
     for k in range(640):
         a, b, c = own(k, 9), own(k, 12), own(k, 3)
         line = f"{a} {rare} {c}" if k % 128 == 0 else a
-        rows.append((k, f"http://big/{k}", f"<body><div>{b}</div><article><p>{line}</p><div id='related-work'>{c}</div></article></body>"))
-        want[k] = "\n".join((b, f"{a} {c}" if k % 128 == 0 else a, c))
+        shared = f"{c} five articles quote this very line and it is theirs to keep" if k % 128 == 1 else c
+        rows.append((k, f"http://big/{k}", f"<body><div>{line}</div><article><p>{b} {rare}</p><div id='related-work'>{shared}</div></article></body>"))
+        want[k] = "\n".join((f"{a} {c}" if k % 128 == 0 else a, b, shared))
     copy = own("copy", 30)
     rows += [(1000 + k, f"http://twice/{k}", f"<body><div>{copy}</div></body>") for k in range(2)]
     rows += [(1002, "http://else/1", f"<body><div>{copy}</div></body>")]
@@ -290,6 +291,37 @@ def test_html_repeats_over_a_whole_host(spark, monkeypatch):
     assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
 
 
+def test_html_keeps_articles_that_stand_at_several_addresses(spark):
+    menu = lambda k: f"<nav><a>entry {k}</a><a>of a menu that all pages of the host share in part</a></nav>"
+    article = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, f"http://h/{k % 5}#{k}", f"{menu(k)}<article>{article}</article>", "x") for k in range(9)] + [(8, "http://h/3#8", f"{menu(8)}<article>{article}</article>", "x")]
+    near = article.replace("word7", "other")
+    rows += [(20, "http://h/20", f"<article>{near}</article>", "x"), (30, "http://g/1", f"{menu(1)}<div>{article}</div>", "x"), (31, "http://g/2", f"{menu(2)}<div>{article}</div>", "x")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((r[0], near if r[0] == 20 else article) for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<aside class='sidebar'><article>Teaser</article></aside><p>x</p>", [("Teaser", 0), ("x", 1)]),
+        ("<div id='comments'><article>reader says</article></div>", [("reader says", 0)]),
+        ("<nav>menu<article>never closed</article>", [("menu", 0), ("never closed", 2)]),
+        ("<div class='page sidebar-left'><article>layout</article></div>", [("layout", 2)]),
+        ("<form><main>form page</main></form>", [("form page", 2)]),
+    ],
+)
+def test_articles_inside_furniture(page, want):
+    assert html_text.blocks(page) == want
+
+
+@pytest.mark.parametrize("page", ["<nav>" * 150_000 + "</p>" * 60_000, "<a " + "b" * 1_000_000 + ">", "<nav>" * 90_000 + "</nav>" * 90_000, "<a " + "b='" * 300_000 + ">"])
+def test_hostile_pages_are_parsed_in_linear_time(page):
+    began = time.time()
+    html_text.blocks(page)
+    assert time.time() - began < 8
+
+
 def test_covered_against_brute_force():
     rng = random.Random(6)
     for _ in range(20):
