@@ -126,13 +126,13 @@ def chunked_visibility_whole(spark, sf):
     "panel_stream",
     "p0",
     ", wm AS (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 DAY AS w FROM events), cl AS (SELECT node, ts, t, value, observed FROM p0, wm WHERE ts + INTERVAL 1 HOUR <= w), sp AS (SELECT node, min(t) AS a, max(t) AS b FROM cl WHERE observed GROUP BY 1) "
-    "SELECT cl.node, epoch(ts)::BIGINT // 3600 AS hour, value, observed, last_value(value IGNORE NULLS) OVER (PARTITION BY cl.node ORDER BY t) AS filled, 0::BIGINT AS late FROM cl JOIN sp ON sp.node = cl.node AND t BETWEEN a AND b",
+    "SELECT cl.node, epoch(ts)::BIGINT // 3600 AS hour, value, observed, last_value(value IGNORE NULLS) OVER (PARTITION BY cl.node ORDER BY t) AS filled FROM cl JOIN sp ON sp.node = cl.node AND t BETWEEN a AND b",
 )
 def panel_stream(spark, sf):
     """The events as a stream of cells with state; what the watermark (a day) has passed."""
     cells_ = state_panel.gap_filled(state_panel.events_stream(spark, sf, "events.parquet"), "1 day")
-    out = state_panel.run_available(cells_, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
-    return out.select("node", F.expr("unix_seconds(ts) div 3600").alias("hour"), "value", "observed", "filled", "late")
+    out, _ = state_panel.run_available(cells_, f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return out.select("node", F.expr("unix_seconds(ts) div 3600").alias("hour"), "value", "observed", "filled")
 
 
 _MASKED = sql("graph", "SELECT src, dst, round(weight, 6) AS weight FROM graph").replace("AS eval, observed AND NOT (t * 31 + node * 17) % 10 = 0 AS train", "AS eval, observed AND NOT (t * 31 + node * 17) % 10 = 0 AND node NOT IN (3, 7) AS train")
@@ -159,8 +159,8 @@ def adjacency_edges(spark, sf):
 @query(
     "khop_numbered",
     "ser",
-    ", nm AS (SELECT series, row_number() OVER (ORDER BY series) - 1 AS n FROM (SELECT DISTINCT series FROM ser)), tt AS (SELECT max(t) + 1 AS T FROM ser) "
-    "SELECT n * T + a.t AS src, n * T + a.t + h AS dst, round(pow(0.9, h), 6) AS weight FROM ser a JOIN nm ON nm.series = a.series, tt, (SELECT unnest([1, 2, 3]) AS h) WHERE a.t + h < (SELECT max(t) + 1 FROM ser s WHERE s.series = a.series)",
+    ", nm AS (SELECT series, row_number() OVER (ORDER BY series) - 1 AS n FROM (SELECT DISTINCT series FROM ser)), tt AS (SELECT max(t) + 1 AS steps FROM ser) "
+    "SELECT n * steps + a.t AS src, n * steps + a.t + h AS dst, round(pow(0.9, h), 6) AS weight FROM ser a JOIN nm ON nm.series = a.series, tt, (SELECT unnest([1, 2, 3]) AS h) WHERE a.t + h < (SELECT max(t) + 1 FROM ser s WHERE s.series = a.series)",
 )
 def khop_numbered(spark, sf):
     return rounded(temporal.khop_numbered(_series(spark, sf), 3), "weight")

@@ -2,7 +2,7 @@
 
 Each node keeps the sums of its open hours, its last hour that left and that hour's value. A timer stands at the end of the
 earliest open hour; when the watermark passes it, the node's hours up to there leave in order, those without rows with the value
-before them. Rows of hours that have left are late: they are counted, in the next hour that leaves, and change nothing.
+before them. Rows behind the watermark are late: Spark drops them before they reach the state, and a run tells how many.
 State per node: the hours inside the watermark's delay, whatever the length of the stream. Restarts go on from the checkpoint.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from panelloom.session import ship_package
 
 HOUR = 3_600_000
-SHAPE = "node long, ts timestamp, value double, observed boolean, filled double, late long"
+SHAPE = "node long, ts timestamp, value double, observed boolean, filled double"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,7 +29,7 @@ class Cells(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getMapState("open", "hour long", "total double, n long")
-        self.last = handle.getValueState("last", "hour long, value double, late long")
+        self.last = handle.getValueState("last", "hour long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sums: dict[int, tuple[float, int]] = {}
@@ -38,22 +38,20 @@ class Cells(StatefulProcessor):
             for h, g in pdf["value"].groupby(hour):
                 total, n = sums.get(int(h), (0.0, 0))
                 sums[int(h)] = (total + float(g.sum()), n + int(g.count()))
-        seen, value, late = self.last.get() if self.last.exists() else (-1, math.nan, 0)
+        seen = self.last.get()[0] if self.last.exists() else -1
         for h, (total, n) in sums.items():
-            if h <= seen:
-                late += n
+            if h <= seen:  # its hour has left, though the row is not behind the watermark of this batch
                 continue
             if self.open.containsKey((h,)):
                 before = self.open.getValue((h,))
                 total, n = total + before[0], n + before[1]
             self.open.updateValue((h,), (total, n))
             self.handle.registerTimer(h + HOUR)
-        self.last.update((seen, value, late))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = expiredTimerInfo.getExpiryTimeInMs()
-        seen, value, late = self.last.get()
+        seen, value = self.last.get() if self.last.exists() else (-1, math.nan)
         hour = end - HOUR
         if not self.open.containsKey((hour,)):
             yield pd.DataFrame()
@@ -67,16 +65,16 @@ class Cells(StatefulProcessor):
         cell = math.copysign(math.floor(abs(total / n) * 64 + 0.5), total) / 64 if n else None
         value = value if cell is None else cell
         out.append((hour, cell, cell is not None, None if math.isnan(value) else value))
-        self.last.update((hour, value, 0))
+        self.last.update((hour, value))
         at, cells, observed, filled = zip(*out)
-        yield pd.DataFrame({"node": key[0], "ts": pd.to_datetime(list(at), unit="ms"), "value": pd.array(cells, "Float64"), "observed": list(observed), "filled": pd.array(filled, "Float64"), "late": [0] * (len(out) - 1) + [late]})
+        yield pd.DataFrame({"node": key[0], "ts": pd.to_datetime(list(at), unit="ms"), "value": pd.array(cells, "Float64"), "observed": list(observed), "filled": pd.array(filled, "Float64")})
 
     def close(self) -> None:
         pass
 
 
 def gap_filled(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream (node, ts, value) as cells (node, ts, value, observed, filled, late), appended hour by hour of each node.
+    """A stream (node, ts, value) as cells (node, ts, value, observed, filled), appended hour by hour of each node.
 
     Rows without a time or a value, or with NaN, are dropped; nodes that send nothing more send no more cells."""
     ship_package(events.sparkSession)
@@ -93,8 +91,9 @@ def events_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", nod
     return reader.parquet(folder).select((F.col("user_id") % nodes).alias("node"), "ts", "value")
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what is there now, appending Parquet under folder/cells, with its checkpoint beside; read it all.
+def run_available(stream: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """Run a stream over what is there now, appending Parquet under folder/cells, with its checkpoint beside: all cells so far, and
+    how many rows of this run came too late.
 
     Called again with new input, it goes on where it stopped. The state store is RocksDB, which keyed state with timers needs;
     the session's own choice is put back afterwards."""
@@ -105,9 +104,10 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     try:
         query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/cells").trigger(availableNow=True).start()
         query.awaitTermination()
+        late = sum(state.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for state in p["stateOperators"])
     finally:
         if before is None:
             spark.conf.unset(name)
         else:
             spark.conf.set(name, before)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/cells")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/cells"), late
