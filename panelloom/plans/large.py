@@ -170,3 +170,32 @@ def khop_numbered(spark, sf):
 def cao_central(spark, sf):
     """Rows only: nearest neighbours in up to 15 dimensions, of the middle 500 steps, with noise (held against brute force in the tests)."""
     return rounded(temporal.cao_ratios(_series(spark, sf), points=500, noise="auto"), "e", "e_star")
+
+
+@query("wide_panel", "panel", "SELECT node, t, value FROM panel WHERE observed")
+def wide_panel(spark, sf):
+    """The panel as a wide table of one column a node, and back to long rows."""
+    p = panels.hourly(spark, sf)
+    wide = p.groupBy("t").pivot("node", list(range(36))).agg(F.first("value"))
+    return panels.unpivot(wide, "t").filter("value IS NOT NULL").select(F.col("node").cast("long").alias("node"), "t", "value")
+
+
+@query("array_samples", "p5", ", nn AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT DISTINCT node FROM p5)) SELECT t // 24 AS sample, (t % 24)::INT AS t, n::INT AS node, value FROM p5 JOIN nn ON nn.node = p5.node WHERE t % 24 < 12")
+def array_samples(spark, sf):
+    """Days of the panel as arrays of steps of arrays of nodes, and back to rows, cut to their first 12 steps."""
+    p = panels.by_type(spark, sf)
+    steps = p.groupBy((F.floor(F.col("t") / 24)).alias("sample"), "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "value"))), lambda r: r["value"]).alias("nodes"))
+    days = steps.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "nodes"))), lambda r: r["nodes"]).alias("x"))
+    return panels.arrays_to_long(days, "x", 12)
+
+
+@query("visibility_both_ways", "ser", _WHOLE.replace("SELECT ab.series", ", vis AS (SELECT ab.series").format(w="least(x, y)", seen="j = i + 1 OR list_max(l[i + 2 : j]) < least(x, y)") + ") SELECT series, src, dst, weight FROM vis UNION ALL SELECT series, dst, src, weight FROM vis")
+def visibility_both_ways(spark, sf):
+    """By the name of the technique, in both directions."""
+    return temporal.build("visibility", _series(spark, sf), kind="horizontal", undirected=True)
+
+
+@query("identity_distance", "geo", "SELECT src, dst, round(d, 6) AS d FROM geo")
+def identity_distance(spark, sf):
+    stations = panels.stations(spark, sf)
+    return rounded(spatial.DISTANCES["identity"](spatial.haversine(stations)), "d")
