@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import exprs
+from panelloom.operators.nearest import nearest_ahead
 from panelloom.operators.visibility import whole_visibility
 from panelloom.session import release, ship_package, stored
 
@@ -272,31 +273,44 @@ def noisy(series: DataFrame, deviation: float | None = None, seed: int = 42) ->
     return series.join(steps, "series").select("series", "t", (F.col("x") + F.coalesce("_s", F.lit(1e-6)) * normal).alias("x"))
 
 
-def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15, points: int | None = None, noise: float | str | None = None) -> DataFrame:
+def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15, points: int | None = None, noise: float | str | None = None, short: int | None = None) -> DataFrame:
     """(series, dim, e, e_star): Cao's E(d), the mean stretch of nearest neighbours from d to d + 1 dimensions, and E*(d), their
     mean distance in the coordinate that is new, for d = 1 ... max_dim. Series are scaled to a deviation of 1.
 
     points: only the middle ones are measured, after scaling. noise: a deviation, or 'auto' for a millionth of the least step.
 
-    Points are dealt into blocks of QUERIES; a block meets its whole series by an equi-key, one block a task at a time."""
+    Series of more than `short` (SHORT) steps are sought by cells, in the dimensions where cells prove most pairs of blocks apart.
+    The others, and shorter series, are dealt into blocks of QUERIES points; a block meets its whole series by an equi-key, one
+    block a task at a time."""
+    if not 1 <= max_dim <= 60:
+        raise ValueError("max_dim must lie in 1 ... 60")
     ship_package(series.sparkSession)
+    short = SHORT if short is None else short
     stats = series.groupBy("series").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
     scaled = series.join(stats, "series").select("series", F.col("t").cast("long").alias("t"), F.try_divide(F.col("x") - F.col("_m"), F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).alias("x"))
     if noise is not None:
         scaled = noisy(scaled, None if noise == "auto" else float(noise))
     if points is not None:
         scaled = central(scaled, points)
-    scaled = scaled.join(scaled.groupBy("series").agg(F.max("t").alias("_last")), "series")
-    points = scaled.select("series", "t", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / QUERIES))).alias("block"))
+    every, by_cells = (1 << (max_dim + 1)) - 2, None
+    if series.groupBy("series").count().filter(F.least("count", F.lit(points)) > short if points is not None else F.col("count") > short).isEmpty():
+        scaled = scaled.join(scaled.groupBy("series").agg(F.max("t").alias("_last")), "series").withColumn("dims", F.lit(every).cast("long"))
+    else:
+        scaled = stored(scaled, "scaled")
+        long = scaled.join(scaled.groupBy("series").count().filter(F.col("count") > short).select("series"), "series", "left_semi")
+        by_cells, sought = nearest_ahead(long, lag, max_dim)
+        rest = F.lit(every).bitwiseAND(F.bitwise_not(F.coalesce("dims", F.lit(0).cast("long"))))
+        scaled = scaled.join(scaled.groupBy("series").agg(F.max("t").alias("_last")).join(sought, "series", "left").withColumn("dims", rest).filter("dims <> 0"), "series")
+    points = scaled.select("series", "t", "x", "dims", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / QUERIES))).alias("block"))
     key = dict(series.dtypes)["series"]
 
     def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["x"].to_numpy(float)
-        at, out = int(pdf["block"].iloc[0]) * QUERIES, []
+        at, dims, out = int(pdf["block"].iloc[0]) * QUERIES, int(pdf["dims"].iloc[0]), []
         for d in range(1, max_dim + 1):
             m = len(x) - d * lag
             mine = np.arange(at, min(at + QUERIES, m))
-            if m < 3 or not len(mine):
+            if m < 3 or not len(mine) or not dims >> d & 1:
                 continue
             dist = np.zeros((len(mine), m))
             for k in range(d):
@@ -310,9 +324,15 @@ def cao_ratios(series: DataFrame, lag: int = 1, max_dim: int = 15, points: int |
         return pd.DataFrame([(pdf["series"].iloc[0], *r) for r in out], columns=["series", "dim", "n", "sum", "all", "new"])
 
     parts = points.groupBy("series", "block").applyInPandas(stretch, f"series {key}, dim int, n long, sum double, all long, new double")
+    if by_cells is not None:
+        ok = F.col("near") >= 1e-15
+        sums = by_cells.groupBy("series", "dim").agg(F.count(F.when(ok, 1)).alias("n"), F.coalesce(F.sum(F.when(ok, F.greatest("near", "more") / F.col("near"))), F.lit(0.0)).alias("sum"), F.count("*").alias("all"), F.sum("more").alias("new"))
+        parts = parts.select("series", "dim", "n", "sum", "all", "new").unionByName(sums.filter(F.col("all") >= 3))
     return parts.groupBy("series", "dim").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("e"), F.try_divide(F.sum("new"), F.sum("all")).alias("e_star"))
 
 
+#: Steps of a series whose neighbours are sought without cells.
+SHORT = 8192
 #: Points of a series whose neighbours one task seeks at a time.
 QUERIES = 256
 
