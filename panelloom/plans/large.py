@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import cells, draws, paths, profile, spatial, temporal
+from panelloom.operators import cells, draws, nearest, paths, profile, spatial, temporal
 from panelloom.plans.catalog import _HOPS, ORACLE, _graph, _series, query, rounded
 from panelloom.plans.ctes import sql
 from panelloom.session import shared_dir
@@ -172,6 +172,19 @@ def cao_central(spark, sf):
     return rounded(temporal.cao_ratios(_series(spark, sf), points=500, noise="auto"), "e", "e_star")
 
 
+_NEAREST = ", em AS (SELECT series, t, x AS x0, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(x, 3) OVER w AS x3 FROM ser WINDOW w AS (PARTITION BY series ORDER BY t)), " + " UNION ALL ".join(
+    f"{'pr AS (' if d == 1 else ''}SELECT a.series, {d} AS dim, a.t, b.t AS nt, greatest({', '.join(f'abs(a.x{k} - b.x{k})' for k in range(d))}) AS near, abs(a.x{d} - b.x{d}) AS more FROM em a JOIN em b ON b.series = a.series AND b.t <> a.t WHERE a.x{d} IS NOT NULL AND b.x{d} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.series, a.t ORDER BY near, nt) = 1"
+    for d in (1, 2, 3)
+) + ") SELECT series, dim::INT AS dim, t, round(near, 6) AS near, nt AS \"at\", round(more, 6) AS more FROM pr"
+
+
+@query("nearest_ahead", "ser", _NEAREST)
+def nearest_ahead(spark, sf):
+    """By cells in every dimension, whatever share of the pairs of blocks is left."""
+    found, _ = nearest.nearest_ahead(_series(spark, sf), 1, 3, worth=1.0)
+    return rounded(found, "near", "more")
+
+
 @query("wide_panel", "panel", "SELECT node, t, value FROM panel WHERE observed")
 def wide_panel(spark, sf):
     """The panel as a wide table of one column a node, and back to long rows."""

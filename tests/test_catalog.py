@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 
 from panelloom.plans import catalog, large, more  # noqa: E402, F401
 
-FAST = ["panel_hourly", "mask_counts", "fill_hierarchical", "similarity_graph", "geo_topk", "horizontal_visibility", "natural_visibility", "recurrence_graph", "transition_graph", "metrics_pointwise", "components", "month_split", "sample_windows", "recurrence_scaled", "batches", "component_profile_several", "euclidean_neighbours", "radius_graph", "panel_loaded", "horizontal_visibility_all", "node_centralities", "weighted_nodes", "random_graphs", "khop_numbered", "graph_of_masked_panel", "recurrence_percentile", "panel_stream"]
+FAST = ["panel_hourly", "mask_counts", "fill_hierarchical", "similarity_graph", "geo_topk", "horizontal_visibility", "natural_visibility", "recurrence_graph", "transition_graph", "metrics_pointwise", "components", "month_split", "sample_windows", "recurrence_scaled", "batches", "component_profile_several", "euclidean_neighbours", "radius_graph", "panel_loaded", "horizontal_visibility_all", "node_centralities", "weighted_nodes", "random_graphs", "khop_numbered", "graph_of_masked_panel", "recurrence_percentile", "nearest_ahead", "panel_stream"]
 
 
 @pytest.fixture(scope="module")
