@@ -26,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.frames import ship_package, stored
@@ -266,6 +266,21 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     )
 
 
+def longest_matches(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(item_id, item_at, n_words, doc_id, doc_at): the longest verbatim match in all docs of each item's suffix, and a place of it,
+    where it has `n` words or holds the whole of a shorter item, and no match that begins earlier in the item ends as late.
+
+    Shards tell their own longest matches; the longest of them all is that of the table, however it was dealt. Rows that repeat an
+    item id are told as one item."""
+    size = F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    least = items.select(F.col("item_id").cast("long").alias("item_id"), size.alias("size")).groupBy("item_id").agg(F.min(F.least("size", F.lit(n))).alias("least"))
+    told = contamination(docs, items, n, id_col, text_col, block_words).select("doc_id", F.explode("longest").alias("m")).select("m.item_id", "m.item_at", (-F.col("m.n_words")).alias("less"), "doc_id", "m.doc_at")
+    best = told.groupBy("item_id", "item_at").agg(F.min(F.struct("less", "doc_id", "doc_at")).alias("b")).select("item_id", "item_at", (-F.col("b.less")).alias("n_words"), "b.doc_id", "b.doc_at")
+    earlier = Window.partitionBy("item_id").orderBy("item_at").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.join(least, "item_id").filter("n_words >= least").withColumn("_end", F.max(F.col("item_at") + F.col("n_words")).over(earlier))
+    return best.filter("_end IS NULL OR _end < item_at + n_words").select("item_id", "item_at", "n_words", "doc_id", "doc_at")
+
+
 def _clean(block, column: str):
     def run(batches):
         test: TestBlock = block.value

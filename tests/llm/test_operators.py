@@ -14,7 +14,7 @@ import pytest
 
 from panelloom.llm import html_text, language_id, license_scan, toxicity, warc
 from panelloom.llm.bpe import Encoder, PerfectHash, bpe_decode, bpe_encode, bpe_round_trip, load_ranks
-from panelloom.llm.decontaminate import contamination, decontaminate
+from panelloom.llm.decontaminate import contamination, decontaminate, longest_matches
 from panelloom.llm.jaccard_join import jaccard_components, jaccard_links
 from panelloom.llm.media import from_wav, read_media, store_media, to_wav
 from panelloom.llm.substring_dedup import SuffixAutomaton, _window_runs, substring_dedup
@@ -165,6 +165,38 @@ def test_longest_match_among_near_copies(spark):
     assert hits == {k: e if e >= 20 else 0 for k, e in enumerate(ends)}
 
 
+@pytest.mark.parametrize("block_words, parts", [(1_000_000, 1), (1_000_000, 3), (30, 2)])
+def test_longest_matches_of_all_suffixes(spark, block_words, parts):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(["ab", "CD", "ef", "\u00e9t\u00e9"]) for _ in range(n))
+    items = [(1, text(40)), (2, text(25)), (3, "Ab cd eF"), (4, None), (5, text(12))]
+    whole = [t for _, t in items if t]
+    rows = [(k, f"{text(rng.randrange(60))} {' '.join(rng.choice(whole).split()[rng.randrange(5):]) if k % 3 else ''} {text(30)}") for k in range(20)]
+    rows += [(50, None), (51, ""), (52, items[0][1].upper()), (52, items[0][1].upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = longest_matches(frame(spark, rows).repartition(parts), bench, block_words=block_words).collect()
+    texts = [(i, windows(t)[0]) for i, t in rows]
+
+    def run(a, b):
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        return k
+
+    want = {}
+    for item, t in items:
+        w, end = windows(t)[0], 0
+        for i in range(len(w)):
+            n = max(run(w[i:], d[k:]) for _, d in texts for k in range(len(d)) or [0])
+            if n >= min(10, len(w)) and i + n > end:
+                want[item, i] = n
+                end = i + n
+    assert {(r.item_id, r.item_at): r.n_words for r in got} == want and len(got) == len(want)
+    for r in got:
+        w = windows(dict(items)[r.item_id])[0][r.item_at : r.item_at + r.n_words]
+        assert any(i == r.doc_id and d[r.doc_at : r.doc_at + r.n_words] == w for i, d in texts)
+
+
 def test_perfect_hash():
     keys = [b"k%d" % k for k in range(5000)]
     p = PerfectHash(keys)
