@@ -45,7 +45,7 @@ _RUNS = "doc_id long, tag int, anchor long, seg long, start int, n_win int"
 _NARROW = "anchor long, seg long, owner long, n_win int, words string"
 _WIDE = "anchor long, seg long, owner long, at int, win long"
 _MASKS = "anchor long, seg long, mask long"
-_RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept string"
+_RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept string, tag int"
 
 
 class SuffixAutomaton:
@@ -250,15 +250,16 @@ def _apply(n: int, marked: bool):
                 spans.append(gone)
                 kept.append(b" ".join(text).decode())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "spans", "kept"],
+                [piece.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string()), piece.column("tag")],
+                names=["doc_id", "n_words", "n_removed", "spans", "kept", "tag"],
             )
 
     return run
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, spans (first and last removed word) and kept (words left, by one space).
+    """Per row of docs: doc_id, n_words, n_removed, spans (first and last removed word), kept (words left, by one space) and tag
+    (Spark's hash of the text, which tells rows of one id apart).
 
     See the module's docstring for the rule, the layout and the edge cases.
     """
@@ -308,6 +309,6 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     )
     marks = stored(marks, "marks")
     split = maybe_in(docs, F.col("doc_id"), key_bitmap(marks, F.col("doc_id")))
-    plain = split.filter("NOT _maybe").select("doc_id", "text").mapInArrow(_apply(n, False), _RESULT)
-    cut = split.filter("_maybe").join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_apply(n, True), _RESULT)
+    plain = split.filter("NOT _maybe").select("doc_id", "tag", "text").mapInArrow(_apply(n, False), _RESULT)
+    cut = split.filter("_maybe").join(marks, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "marks").mapInArrow(_apply(n, True), _RESULT)
     return plain.unionByName(cut)
