@@ -51,11 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substring_dedup(docs, min_words=50)
-    changed = stored(cut.filter("n_removed > 0").select("doc_id", "kept"), "changed")
-    split = maybe_in(docs.select(*COLUMNS), F.col("doc_id"), key_bitmap(changed, F.col("doc_id")))
+    changed = stored(cut.filter("n_removed > 0").select("doc_id", "tag", "kept").distinct(), "changed")
+    split = maybe_in(docs.select(*COLUMNS, F.hash("text").alias("tag")), F.col("doc_id"), key_bitmap(changed, F.col("doc_id")))
     same = split.filter("NOT _maybe").select(*COLUMNS)
     text = F.coalesce("kept", "text")
-    other = split.filter("_maybe").join(changed, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")).alias("n_chars"))
+    other = split.filter("_maybe").join(changed, ["doc_id", "tag"], "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long")).alias("n_chars"))
     return same.unionByName(other)
 
 
