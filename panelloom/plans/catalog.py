@@ -48,7 +48,7 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 def _weights(panel: DataFrame) -> DataFrame:
     """Affinities of the panel's nodes, rounded to nine digits, so that ties fall alike everywhere; distances are computed once."""
     distances = stored(spatial.masked_euclidean(panel), "distances")
-    return spatial.gaussian(distances, gamma=0.1).withColumn("weight", F.round("weight", 9))
+    return spatial.gaussian(distances, gamma=0.1, digits=9)
 
 
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
