@@ -118,10 +118,11 @@ def arrays_to_long(samples: DataFrame, column: str, window: int | None = None) -
     return by_step.select("sample", "t", F.posexplode("nodes").alias("node", "value"))
 
 
-def adjacency_to_edges(samples: DataFrame, column: str = "adj") -> DataFrame:
-    """(sample, <column> square array of arrays) as edges (sample, src, dst, weight) of the entries that aren't 0 or NULL."""
+def adjacency_to_edges(samples: DataFrame, column: str = "adj", zeros: bool = False) -> DataFrame:
+    """(sample, <column> square array of arrays) as edges (sample, src, dst, weight) of the entries that aren't 0 or NULL; zeros:
+    of those that aren't NULL."""
     rows = samples.select("sample", F.posexplode(column).alias("src", "_row"))
-    return rows.select("sample", "src", F.posexplode("_row").alias("dst", "weight")).filter("weight <> 0")
+    return rows.select("sample", "src", F.posexplode("_row").alias("dst", "weight")).filter("weight IS NOT NULL" if zeros else "weight <> 0")
 
 
 def as_series(df: DataFrame, value: str = "x", series: str | None = None, step: str = "t") -> DataFrame:

@@ -49,3 +49,7 @@ def test_small_world_of_no_nodes(spark):
 def test_top_k_keeps_0_and_drops_what_is_below(spark):
     e = spark.createDataFrame([(0, 1, 0.0), (0, 2, -0.5), (1, 0, 0.0), (2, 0, -0.5)], "src long, dst long, weight double")
     assert sorted(map(tuple, spatial.top_k(e, 2).collect())) == [(0, 1, 0.0), (1, 0, 0.0)]
+
+
+def test_adjacency_tells_weights_of_0_from_no_edge(spark, far_apart):
+    same_as_sql(spark, far_apart, "adjacency_edges")
