@@ -50,3 +50,8 @@ def decay(name: str, h: Column, k: int | Column) -> Column:
     if name not in DECAYS:
         raise ValueError(f"unknown decay {name!r}: one of {sorted(DECAYS)}")
     return DECAYS[name](h, F.lit(k) if isinstance(k, int) else k)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as IEEE has it: by 0, NaN for 0 and an infinity for the rest (plain division is an error there)."""
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))

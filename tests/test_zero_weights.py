@@ -53,3 +53,7 @@ def test_top_k_keeps_0_and_drops_what_is_below(spark):
 
 def test_adjacency_tells_weights_of_0_from_no_edge(spark, far_apart):
     same_as_sql(spark, far_apart, "adjacency_edges")
+
+
+def test_clustering_of_weights_of_0(spark, far_apart):
+    same_as_sql(spark, far_apart, "clustering")
