@@ -3,7 +3,8 @@
 Vectors are dealt into blocks of about BLOCK rows by a hash of the id; every two blocks meet in one task, by an equi-key, and
 send only what can be in the answer: the k best of each row, or the pairs within the radius. So a task holds two blocks at a
 time, and what is shuffled is n * k * blocks rows instead of n * n. Inside a task a matrix product finds the candidates, with
-some slack; their distances are then taken by the written formula.
+some slack (Chebyshev neighbours: coordinates coded in one byte, against the k-th distance so far); their distances are then
+taken by the written formula.
 
 Rows without a vector are left out; cosine distances of a zero vector aren't defined and are left out.
 """
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from panelloom.session import ship_package
 
 #: Rows of a block at most, about; fewer where the table is small, so that there are SPREAD blocks.
-BLOCK = 8192
+BLOCK = 32768
 SPREAD = 6
 #: Rows of the first block that are compared at once: BLOCK columns of eight bytes for each.
-_ROWS = 256
+_ROWS = 64
+#: Chebyshev: rows of a strip and of a tile (their matrix of bytes stays in a core's cache), and rows that give a first bound.
+_STRIP, _TILE, _FEW = 64, 2048, 256
 METRICS = ("euclidean", "cosine", "chebyshev")
 
 
@@ -63,6 +66,71 @@ def _strips(one: pd.DataFrame, two: pd.DataFrame, metric: str, loops: bool = Fal
         yield ia[at : at + _ROWS], ib, near, slack, lambda i, j, part=part: _exact(part[i], b[j], metric)
 
 
+class _Codes:
+    """Coordinates as whole numbers 0 ... 126, by one non-decreasing map for each: so no pair within a distance is lost."""
+
+    def __init__(self, b: np.ndarray) -> None:
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle, spread = (np.nan_to_num(f(axis=0), nan=0.0, posinf=0.0, neginf=0.0) for f in (b.mean, b.std))
+        self.step = 8 * float(spread.max(initial=0)) / 126 or 1.0
+        self.base = middle - 63 * self.step
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.nan_to_num(np.clip(np.floor((x - self.base) / self.step), 0, 126)).astype(np.uint8)
+
+    def within(self, a: np.ndarray, turned: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (row of a, column of the codes, a coordinate a row) that may be at most limit[row] apart in each coordinate."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            low, high = self.of(a - limit[:, None]), self.of(a + limit[:, None])
+        wide = (high - low).max(axis=1, initial=0)
+        out, step = np.zeros((len(a), turned.shape[1]), np.uint8), np.empty((len(a), turned.shape[1]), np.uint8)
+        for k in range(a.shape[1]):
+            np.subtract(turned[k][None, :], low[:, k, None], out=step)  # what is below wraps round to 130 and more
+            np.maximum(out, step, out=out)
+        return np.divmod(np.flatnonzero(out <= wide[:, None]), turned.shape[1])
+
+
+def _chebyshev_best(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, k: int, unit: float, loops: bool) -> Iterator:
+    """Places in a, places in b, and distances: all that may be among a row's k nearest, or tie with them once rounded.
+
+    A strip of a meets b tile by tile; the k-th distance so far bounds what a tile still has to look at by codes of one byte,
+    and the written formula decides about what they leave."""
+    size = max(float(np.abs(x[np.isfinite(x)]).max(initial=0)) for x in (a, b))
+    more = 1.01 * unit + size * 2.0**-40
+    codes = _Codes(b)
+    turned = np.ascontiguousarray(codes.of(b).T)
+    few = min(len(b), max(_FEW, 2 * k + 2))
+    for at in range(0, len(a), _STRIP):
+        rows = a[at : at + _STRIP]
+        with np.errstate(invalid="ignore"):
+            some = np.abs(rows[:, None, :] - b[None, :few, :]).max(axis=2)
+        if not loops:
+            some[ia[at : at + _STRIP, None] == ib[None, :few]] = np.inf
+        limit = np.nan_to_num(np.sort(some, axis=1)[:, k - 1], nan=np.inf, posinf=np.inf) if few >= k else np.full(len(rows), np.inf)
+        best, found = np.full((len(rows), k), np.inf), []
+        for first in range(0, len(b), _TILE):
+            i, j = codes.within(rows, turned[:, first : first + _TILE], limit + more)
+            j += first
+            with np.errstate(invalid="ignore"):
+                d = _exact(rows[i], b[j], "chebyshev")
+            real = np.isfinite(d) & (d <= limit[i] + more)
+            if not loops:
+                real &= ia[at + i] != ib[j]
+            i, j, d = i[real], j[real], d[real]
+            found.append((i, j, d))
+            by = np.lexsort((d, i))
+            place = np.arange(len(by)) - np.searchsorted(i[by], i[by])
+            by, place = by[place < k], place[place < k]
+            nearer = np.full((len(rows), k), np.inf)
+            nearer[i[by], place] = d[by]
+            best = np.sort(np.concatenate((best, nearer), axis=1), axis=1)[:, :k]
+            limit = np.minimum(limit, best[:, -1])
+        i, j, d = (np.concatenate(c) for c in zip(*found))
+        keep = d <= limit[i] + more
+        yield i[keep] + at, j[keep], d[keep]
+
+
 def sane(vectors: DataFrame) -> DataFrame:
     """vectors again; ValueError where one holds NaN or infinity, or where all are the same."""
     odd = F.exists("v", lambda x: F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull())
@@ -97,8 +165,18 @@ def knn(vectors: DataFrame, k: int, metric: str = "euclidean", digits: int | Non
     met, kind = _met(vectors, metric, False)
     unit = 0.0 if digits is None else 10.0**-digits
 
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each centre, of a strip's rows: copies that tie aren't all sent."""
+        return rows.sort_values(["dst", "d", "src"]).groupby("dst", sort=False).head(k)
+
     def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         out = []
+        if metric == "chebyshev" and len(one) and len(two):
+            ia, ib = one["id"].to_numpy(), two["id2"].to_numpy()
+            a, b = (np.stack(v.to_numpy()).astype(float) for v in (one["v"], two["v2"]))
+            for i, j, d in _chebyshev_best(a, b, ia, ib, k, unit, loops):
+                out.append(first(pd.DataFrame({"src": ib[j], "dst": ia[i], "d": d if digits is None else np.round(d, digits)})))
+            return pd.concat(out)
         for ia, ib, near, slack, exact in _strips(one, two, metric, loops) if len(one) and len(two) else ():
             kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
             # what may still tie with the k-th once it is rounded
@@ -106,7 +184,7 @@ def knn(vectors: DataFrame, k: int, metric: str = "euclidean", digits: int | Non
             limit = (reach * reach if metric == "euclidean" else reach) + slack
             i, j = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
             d = exact(i, j)
-            out.append(pd.DataFrame({"src": ib[j], "dst": ia[i], "d": d if digits is None else np.round(d, digits)}))
+            out.append(first(pd.DataFrame({"src": ib[j], "dst": ia[i], "d": d if digits is None else np.round(d, digits)})))
         return pd.concat(out) if out else pd.DataFrame({"src": one["id"][:0], "dst": one["id"][:0], "d": np.zeros(0)})
 
     found = met.applyInPandas(best, f"src {kind}, dst {kind}, d double")
