@@ -17,6 +17,7 @@ whole sequence as one). Two documents link when 100 * intersection >= percent *
    more than its size, hubs go on, and prefixes are made anew from the counts of the buckets left. Then every remaining pair
    of different components that shares enough prefix shingles is verified, so no link between components is lost.
    jaccard_links skips the contraction: every linked pair of classes comes out.
+   All pairs of a bucket are held against short sketches as they meet.
 5. Candidates whose sketches differ in more bits than a link allows go (sets that differ in d shingles differ in at most d
    parities); for the others the sets themselves are fetched and intersected, shingles being compared by 64-bit hashes.
 
@@ -51,6 +52,8 @@ PAIRS_PER_ROW = 64
 TURNS = 6
 #: A turn that leaves more of the pairs than this isn't worth another one.
 SHRINK = 0.7
+#: Longs of the sketches that all pairs of a bucket are held against as they meet.
+SHORT = 8
 
 _SCAN = "doc_id long, tag long, n int, f1 long, f2 long, sketch array<long>, token long, cnt long"
 _PREFIX = "token long, id long, n int, place int, light int"
@@ -295,13 +298,16 @@ class _Join:
         release(sets, ends, close)
         return links
 
-    def _sized(self, pairs: DataFrame) -> DataFrame:
+    def _sized(self, pairs: DataFrame, short: bool = False) -> DataFrame:
         """Pairs (a, b) that can link: by size, by shared shingles in the prefixes that the pair's own overlap demands, and by
-        what can still come after the last of those."""
+        what can still come after the last of those; short: and by sketches of at most SHORT longs."""
         p = self.percent
         overlap = f"(({p} * (n1 + n2) + {99 + p}) div {100 + p})"
         need = "least(p1 & 7, p2 & 7)"
         pairs = pairs.filter(f"greatest(n1, n2) * {p} <= least(n1, n2) * 100").filter(f"shiftright(p1, 3) < n1 - {overlap} + {need} AND shiftright(p2, 3) < n2 - {overlap} + {need}")
+        if short:  # inside the join, so that a large group that shares shingles but doesn't link makes no rows
+            differ = " + ".join(f"bit_count(s{k}1 ^ s{k}2)" for k in range(SHORT))
+            pairs = pairs.filter(f"m1 <> m2 OR {differ} <= n1 + n2 - 2 * {overlap}")
         last = lambda k: F.max(F.shiftright(f"p{k}", 3)).alias(f"last{k}")
         grouped = (
             pairs.groupBy("a", "b")
@@ -325,10 +331,14 @@ class _Join:
 
     def all_pairs(self, b: DataFrame) -> DataFrame:
         """Every pair of different components that can link."""
-        x = b.select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("place").alias("p1"), F.col("comp").alias("c1"))
-        y = b.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("comp").alias("c2"))
+        fold = f"transform(sequence(0, {SHORT - 1}), i -> CASE WHEN i < size(sketch) THEN aggregate(sequence(i, size(sketch) - 1, {SHORT}), 0L, (u, j) -> u ^ sketch[j]) ELSE 0L END)"
+        short = stored(self.sketches.select("id", "n", F.least(F.size("sketch"), F.lit(SHORT)).alias("m"), F.expr(fold).alias("s")), "short")
+        b = b.join(short, ["id", "n"])
+        side = lambda k: (F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}"), F.col("comp").alias(f"c{k}"), F.col("m").alias(f"m{k}"), *(F.col("s")[i].alias(f"s{i}{k}") for i in range(SHORT)))
+        x = b.select("token", F.col("id").alias("a"), *side(1))
+        y = b.select("token", F.col("id").alias("b"), *side(2))
         near = x.join(y, (x.token == y.token) & (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")))
-        return self._sized(near.select("a", "b", "n1", "n2", "p1", "p2"))
+        return self._sized(near, short=True)
 
     @staticmethod
     def left_over(b: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, float, int]:
